@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import simhash
+from strandloom.llm import chat, decontaminate, linededup, mixture, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,3 +14,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = decontaminate.mark_hits(docs, table(spark, sf_dir, "benchmark"))
+    marked = marked.withColumn("n_hit", decontaminate.n_hit("hits"))
+    return marked.select(
+        "doc_id",
+        F.col("hits.n_words").alias("n_words"),
+        "n_hit",
+        F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    body = F.col("text").cast("binary")
+    facts = docs.select("doc_id", "text", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
+    facts = facts.withColumn("text_crc32", F.crc32(F.coalesce(body, F.lit(b""))))
+    placed = sharding.assign(facts)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixture.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linededup.with_bitmaps(docs, linededup.keep_bitmaps(docs))
+    digest = linededup.kept_digest(F.col("text").cast("binary"), "keep").alias("d")
+    return kept.select("doc_id", digest).select("doc_id", "d.n_lines", "d.n_dropped", "d.kept_sha256")
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT -7L AS conv_id, * FROM VALUES (0L, 'user', '{odd}'), (1L, 'assistant', '{odd}') AS t(turn, role, text)")
+    windows = chat.read_windows(chat.format_windows(given.unionByName(more)))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    part = windows.select("conv_id", "span", F.size("turns").alias("n"), told.alias("told"), F.array_join("targets", "").alias("loss"), F.char_length("formatted").alias("chars"))
+    whole = part.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("span", "told", "loss"))).alias("parts"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"))
+    loss = F.array_join("parts.loss", "")
+    return whole.select(
+        "conv_id",
+        "n_turns",
+        F.sha2(F.array_join("parts.told", ""), 256).alias("turns_sha256"),
+        F.char_length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )

@@ -16,6 +16,7 @@ QUERIES: dict[str, Query] = {
     "op6_shards": q.op6_shards,
     "op7_mixture": q.op7_mixture,
     "op8_line_dedup": q.op8_line_dedup,
+    "op9_warc": q.op9_warc,
     "op10_chat": q.op10_chat,
 }
 

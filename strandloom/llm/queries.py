@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import chat, decontaminate, linededup, mixture, sharding, simhash
+from strandloom.llm import chat, decontaminate, linededup, mixture, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,3 +68,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(loss, 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder = warc.write_archives(pages)
+    captures = warc.scan_captures(spark, folder)
+    keyed = captures.withColumn("key", F.concat(warc.url_key(F.col("url")), F.lit(" "), F.when(F.col("page") == "", "-").otherwise(F.col("page"))))
+    index = warc.build_index(keyed)
+    found = warc.lookup(pages.select(warc.capture_key(F.col("url"), F.col("page_id")).alias("key")), index)
+    read = warc.read_records(found, folder, with_payload=False)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -12,7 +12,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": q.op1_simhash,
+    "op2_media_webp": q.op2_media_webp,
     "op4_decontaminate": q.op4_decontaminate,
+    "op5_quality": q.op5_quality,
     "op6_shards": q.op6_shards,
     "op7_mixture": q.op7_mixture,
     "op8_line_dedup": q.op8_line_dedup,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import chat, decontaminate, linededup, mixture, sharding, simhash, warc
+from strandloom.llm import chat, decontaminate, linededup, media, mixture, quality, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,3 +79,16 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.lookup(pages.select(warc.capture_key(F.col("url"), F.col("page_id")).alias("key")), index)
     read = warc.read_records(found, folder, with_payload=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store(table(spark, sf_dir, "documents"))
+    read = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), media.facts_udf("media").alias("f"))
+    return read.select("doc_id", "n_bytes", "f.payload_bytes", "f.payload_sha256", "f.tail_crc32", "media_bytes", "media_sha256", "f.feature")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranker = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), quality.score(F.col("text"), ranker).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.ACCEPT).cast("int"))

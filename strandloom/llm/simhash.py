@@ -228,21 +228,35 @@ def near_links(fps: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row of docs (doc_id, text).
+    """doc_id, fingerprint (16 hex digits), component_id, group and text_hash of every row of docs (doc_id, text).
 
-    component_id is the smallest doc_id that links reach, the row's own included. A null or empty text has
-    fingerprint zero and links like any other. Repeated rows and equal texts share a fingerprint.
-    A null doc_id is carried, but is no candidate for component_id, which is null only if all of
-    a component's are. Other columns of docs are left aside.
+    component_id is the smallest doc_id that links reach, the row's own included; group is a fingerprint that stands for the
+    component, and text_hash is xxhash64(text). A null or empty text has fingerprint zero and links like any other.
+    Repeated rows and equal texts share a fingerprint. A null doc_id is carried, but is no candidate for
+    component_id, which is null only if all of a component's are. Other columns of docs are left aside.
     """
-    prints = docs.select("doc_id", fingerprint_udf(F.col("text").cast("binary")).alias("fp"))
+    prints = docs.select("doc_id", fingerprint_udf(F.col("text").cast("binary")).alias("fp"), F.xxhash64("text").alias("text_hash"))
     prints = cut(prints, "fingerprints")
     kinds = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "kinds")
     labels = connected_components(near_links(kinds.select("fp"), radius), "simhash")
     linked = cut(labels.withColumnRenamed("node", "fp").join(kinds, "fp"), "linked")
     least = cut(linked.groupBy("label").agg(F.min("first").alias("least")), "least")
-    of = linked.join(least, "label").select("fp", "least")
-    whole = kinds.join(of, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    of = linked.join(least, "label").select("fp", "label", "least")
+    whole = kinds.join(of, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"), F.coalesce("label", "fp").alias("group"))
     whole = cut(whole, "components")
     out = prints.join(whole, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group", "text_hash")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """docs without near-duplicates: of each group the row of smallest doc_id (null last), then smallest text hash, stays."""
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    marked = near_duplicates(docs, radius).groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    best = marked.groupBy("group").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), rank).alias("k"))
+    best = cut(best.select(F.col("k.doc_id").alias("_doc"), F.col("k.text_hash").alias("_hash"), F.col("k.n").alias("_n")), "kept")
+    same = docs["doc_id"].eqNullSafe(best["_doc"]) & (F.xxhash64(docs["text"]) == best["_hash"])
+    kept = docs.join(best, same)
+    if not best.where("_n > 1").isEmpty():  # equal rows: the first of them stays
+        once = kept.where("_n = 1").select(*docs.columns)
+        return once.unionByName(kept.where("_n > 1").dropDuplicates(["_doc", "_hash"]).select(*docs.columns))
+    return kept.select(*docs.columns)

@@ -13,6 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_simhash": q.op1_simhash,
     "op2_media_webp": q.op2_media_webp,
+    "op3_passages": q.op3_passages,
     "op4_decontaminate": q.op4_decontaminate,
     "op5_quality": q.op5_quality,
     "op6_shards": q.op6_shards,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import chat, decontaminate, linededup, media, mixture, quality, sharding, simhash, warc
+from strandloom.llm import chat, decontaminate, linededup, media, mixture, passages, quality, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,3 +92,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranker = quality.train(docs, table(spark, sf_dir, "labels"))
     scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), quality.score(F.col("text"), ranker).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= quality.ACCEPT).cast("int"))
+
+
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.passage_classes(table(spark, sf_dir, "documents"))
+    covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_words", "class_id", "n_links", F.size("spans").alias("n_spans"), covered.alias("n_repeated_words"), "spans")

@@ -22,6 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -214,7 +215,7 @@ RECORDS = "page_id long, url string, record_type string, payload_digest string,
 
 def _read_ranges(key, ranges: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
     rows = []
-    data = files["content"].iloc[0] if len(files) else b""
+    data = zstandard.decompress(files["content"].iloc[0]) if len(files) else b""
     for offset, length in zip(ranges["offset"], ranges["length"]):
         headers, start, end = parse_record(data[offset : offset + length], 0)
         block = data[offset + start : offset + end - 4]
@@ -233,9 +234,14 @@ def _read_ranges(key, ranges: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame
     return out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
+def _squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pdf.assign(content=[zstandard.compress(x) for x in pdf["content"]])
+
+
 def read_records(captures: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
     """The records at the captures' byte ranges; a response's payload and its digest are those of the bytes read."""
-    files = archives(captures.sparkSession, folder)
+    files = archives(captures.sparkSession, folder).mapInPandas(_squeeze, "path string, content binary")  # shuffled below
     schema = RECORDS if with_payload else RECORDS.replace(", payload binary", "")
 
     def read(key, ranges: pd.DataFrame, contents: pd.DataFrame) -> pd.DataFrame:

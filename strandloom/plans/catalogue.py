@@ -1,29 +1,6 @@
-"""All registered queries of the library proper, with the DuckDB SQL that each is held against."""
+"""All registered queries of the library proper."""
 
-from __future__ import annotations
+from strandloom.plans import flagship, joined, ordered  # noqa: F401
+from strandloom.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def sentence_completion_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of documents' lines that end a sentence, per language."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    lines = docs.select("lang", F.explode(F.split("text", "\n")).alias("line"))
-    done = F.count_if(F.trim("line").rlike(r"[.!?…]$"))
-    return lines.groupBy("lang").agg(F.count("*").alias("n_lines"), done.alias("n_complete"))
-
-
-QUERIES["sentence_completion_rate"] = sentence_completion_rate
-ORACLES["sentence_completion_rate"] = r"""
-SELECT lang, count(*) AS n_lines,
-       count(*) FILTER (WHERE regexp_matches(trim(line, ' '), '[.!?…]$')) AS n_complete
-FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY lang
-"""
+__all__ = ["ORACLES", "QUERIES"]

@@ -1,0 +1,28 @@
+"""The tables as the roles that operators know: segments, chapters, utterances."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timed segments of each user's stream: start, and an end `value` minutes later; an error ends a sentence, a signup is a new speaker."""
+    start = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)") / F.lit(1e6)
+    seg = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", start.alias("start_s"))
+    return seg.withColumn("end_s", F.col("start_s") + F.col("value") * 60)
+
+
+SEG = """seg AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) / 1e6 AS start_s, epoch_us(ts) / 1e6 + value * 60 AS end_s FROM events)"""
+
+
+def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's signups as chapter starts."""
+    return segments(spark, sf_dir).where("event_type = 'signup'").select("user_id", F.col("event_id").alias("chapter_id"), "start_s")
+
+
+CHAP = "chap AS (SELECT user_id, event_id AS chapter_id, start_s, lead(start_s) OVER (PARTITION BY user_id ORDER BY start_s, event_id) AS end_s FROM seg WHERE event_type = 'signup')"

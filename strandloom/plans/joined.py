@@ -92,7 +92,7 @@ def candidate_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {SEG}, {CHAP}, b AS (SELECT user_id, chapter_id, (start_s + lag(start_s) OVER w) / 2 AS lo, (start_s + lead(start_s) OVER w) / 2 AS hi FROM chap WINDOW w AS (PARTITION BY user_id ORDER BY start_s, chapter_id))
-SELECT b.user_id, b.chapter_id, count(*) AS n_words, round(avg(s.value), 4) AS mean_value FROM b JOIN seg s ON s.user_id = b.user_id
+SELECT b.user_id, b.chapter_id, count(*) AS n_words, round(sum(s.value * 100))::BIGINT AS hundredths FROM b JOIN seg s ON s.user_id = b.user_id
   AND (s.start_s + s.end_s) / 2 >= coalesce(b.lo, '-infinity'::DOUBLE) AND (s.start_s + s.end_s) / 2 < coalesce(b.hi, 'infinity'::DOUBLE) GROUP BY 1, 2
 """)
 def midpoint_word_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +102,7 @@ def midpoint_word_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounds = bounds.select("user_id", "chapter_id", F.coalesce("at", F.lit(float("-inf"))).alias("at"))
     words = segments(spark, sf_dir).select("user_id", "event_id", "value", ((F.col("start_s") + F.col("end_s")) / 2).alias("at"))
     owned = joins.asof(words, bounds, "user_id", "at", "event_id", ["chapter_id"]).where("chapter_id IS NOT NULL")
-    return owned.groupBy("user_id", "chapter_id").agg(F.count("*").alias("n_words"), F.round(F.avg("value"), 4).alias("mean_value"))
+    return owned.groupBy("user_id", "chapter_id").agg(F.count("*").alias("n_words"), F.round(F.sum(F.col("value") * 100)).cast("long").alias("hundredths"))
 
 
 @query("""
@@ -278,7 +278,7 @@ SELECT tool, count(*) AS n_docs, array_to_string(list(doc_id ORDER BY doc_id)[1:
 def alias_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that mention each alias of a small dimension, with the first six ids.
 
-    Ids are pre-aggregated to the six smallest by a bounded aggregate, not collected and cut.
+    Spark limits each task's rows of an alias to six before it shuffles them for the ranking.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("x"))
     aliases = F.array(*[F.lit(a) for a in ("tion", "the", "ou")])

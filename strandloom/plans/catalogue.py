@@ -1,6 +1,6 @@
 """All registered queries of the library proper."""
 
-from strandloom.plans import aggregated, flagship, joined, membership, ordered, textual  # noqa: F401
+from strandloom.plans import aggregated, aligned, flagship, ingest, joined, membership, ordered, textual  # noqa: F401
 from strandloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

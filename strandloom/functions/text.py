@@ -106,7 +106,7 @@ def target_language_status(text: Column) -> Column:
 def is_polite(text: Column) -> Column:
     """Every sentence outside quotation marks has a polite ending."""
     spoken = F.regexp_replace(text, "[\"“'‘][^\"”'’]*[\"”'’]", "")
-    sentences = F.filter(F.transform(F.split(spoken, r"[.!?]+"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split(spoken, r"[.!?]+"), lambda s: F.trim(s)), lambda s: s != "")
     return F.forall(sentences, lambda s: s.rlike("(요|니다|니까|시오|세요|죠)$"))
 
 

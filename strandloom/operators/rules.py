@@ -32,8 +32,8 @@ class Rule:
 
 def parse_glossary(text: Column) -> Column:
     """Lines `raw => normalized => confidence` as structs; comments and incomplete lines are left out, the confidence is medium by default."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: ~x.startswith("#") & x.contains("=>"))
-    parts = F.transform(lines, lambda x: F.transform(F.split(x, "=>"), F.trim))
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: ~x.startswith("#") & x.contains("=>"))
+    parts = F.transform(lines, lambda x: F.transform(F.split(x, "=>"), lambda y: F.trim(y)))
     good = F.filter(parts, lambda p: (p[0] != "") & (p[1] != ""))
     return F.transform(good, lambda p: F.struct(p[0].alias("raw"), p[1].alias("normalized"), F.when(F.get(p, F.lit(2)).isin("high", "medium", "low"), F.get(p, F.lit(2))).otherwise("medium").alias("confidence")))
 

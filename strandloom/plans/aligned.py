@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from strandloom.functions import similarity, text
 from strandloom.operators import align
 from strandloom.plans.registry import query
-from strandloom.plans.tables import table
+from strandloom.plans.tables import spread, table
 
 
 @query()
@@ -18,13 +18,14 @@ def token_alignment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-2, 2)
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.collect_list("turn").over(near).alias("ids"), F.collect_list("text").over(near).alias("texts"))
     final = F.regexp_replace(F.lower("text"), "[.,]", "")
-    return c.select("conv_id", "turn", align.source_spans_udf(final, "ids", "texts").alias("a")).select("conv_id", "turn", "a.status", F.round("a.coverage", 6).alias("coverage"), F.size("a.spans").cast("long").alias("n_spans"))
+    return spread(c).select("conv_id", "turn", align.source_spans_udf(final, "ids", "texts").alias("a")).select("conv_id", "turn", "a.status", F.round("a.coverage", 6).alias("coverage"), F.size("a.spans").cast("long").alias("n_spans"))
 
 
 @query()
 def monotone_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation's turns against an edited copy: some turns gone, words replaced."""
     c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), (F.col("turn") * 10.0).alias("at"), F.substring("text", 1, 400).alias("text"))
+    c = spread(c, "conv_id")
     gold = c.where("id % 5 <> 3").withColumns({"at": F.col("at") + 2.0, "text": F.replace("text", F.lit(" the "), F.lit(" "))})
     return align.align_lists(c, gold, "conv_id").withColumn("similarity", F.round("similarity", 4))
 
@@ -49,7 +50,7 @@ def minimal_support(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def edit_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns against an edited copy: what kind of edit it is, how alike both are, and the word operations."""
-    c = table(spark, sf_dir, "conversations").withColumn("after", F.when(F.col("turn") % 3 == 0, F.replace("text", F.lit(","), F.lit(""))).otherwise(F.replace("text", F.lit(" of "), F.lit(" from "))))
+    c = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).withColumn("after", F.when(F.col("turn") % 3 == 0, F.replace("text", F.lit(","), F.lit(""))).otherwise(F.replace("text", F.lit(" of "), F.lit(" from "))))
     return c.select("conv_id", "turn", similarity.edit_class_udf("text", "after").alias("kind"), F.round(similarity.ratio_udf("text", "after"), 6).alias("ratio"), F.size(similarity.word_edits_udf("text", "after")).cast("long").alias("n_operations"))
 
 

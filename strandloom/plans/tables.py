@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """A table for costly work in Python: one of fewer partitions than there are cores is dealt over them, any other stays as it is.
+
+    With keys, rows of equal keys stay together, and a grouping by the keys needs no other shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timed segments of each user's stream: start, and an end `value` minutes later; an error ends a sentence, a signup is a new speaker."""
     start = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)") / F.lit(1e6)

@@ -141,38 +141,45 @@ def _one_group(bits: Bits, width: int, n: int, codes: list[PrefixCode]) -> np.nd
     data = np.frombuffer(bits.data, np.uint8)[bits.at >> 3 :].astype(np.uint32)
     words = data[:-3] | data[1:-2] << 8 | data[2:-1] << 16 | data[3:] << 24
     base = bits.at & ~7
-    windows = (words[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1) & 0xFFFF
+    windows = (words[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)
     last = len(windows) - 1
-    at_green = windows & ((1 << green.bits) - 1)
-    symbols = green.symbols[at_green]
-    follow = np.arange(len(windows), dtype=np.int32) + green.lengths[at_green]
+    at_green = windows & np.uint32((1 << green.bits) - 1)
+    here = np.arange(len(windows), dtype=np.int32)
+    literal_code = green.symbols < 256
+    literal = literal_code.take(at_green)
+    # what isn't a literal stays where it is
+    follow = here + np.where(literal_code, green.lengths, 0).astype(np.int32).take(at_green)
     np.minimum(follow, last, out=follow)
     starts = []  # where each pixel's red, blue and alpha code begins
     for code in others:
         starts.append(follow if code.bits else None)
         if code.bits:
             follow = np.minimum(follow + code.lengths[windows[follow] & ((1 << code.bits) - 1)], last).astype(np.int32)
-    literal = symbols < 256
-    chain = memoryview(np.where(literal, follow, -1).astype(np.int32))
-    ends = green.lengths
+    # where the next 1, 2, 4 and 8 literals lead; what isn't a literal leads to itself
+    chain = np.where(literal, follow, here) if any(code.bits for code in others) else follow
+    two = chain.take(chain)
+    four = two.take(two)
+    eight = memoryview(four.take(four))
+    whole = memoryview(literal.take(eight))  # eight literals begin here, and another one follows
+    single, is_literal = memoryview(chain), memoryview(literal)
     places = np.empty(n, np.int64)  # bit position of each literal pixel; -1 where copied
+    octets, octets_at, singles, singles_at = [], [], [], []
     copies, done, at = [], 0, bits.at - base
     while done < n:
-        run, add = [], None
-        add = run.append
-        room = n - done
-        while True:
-            to = chain[at]
-            if to < 0 or len(run) >= room:
-                break
-            add(at)
-            at = to
-        places[done : done + len(run)] = run
-        done += len(run)
+        while done + 8 <= n and whole[at]:
+            octets.append(at)
+            octets_at.append(done)
+            at = eight[at]
+            done += 8
+        while done < n and is_literal[at]:
+            singles.append(at)
+            singles_at.append(done)
+            at = single[at]
+            done += 1
         if done >= n:
             break
-        bits.at = base + at + int(ends[at_green[at]])
-        length = _prefixed(int(symbols[at]) - 256, bits)
+        bits.at = base + at + int(green.lengths[at_green[at]])
+        length = _prefixed(int(green.symbols[at_green[at]]) - 256, bits)
         distance = _distance(_prefixed(distances.read(bits), bits), width)
         length = min(length, n - done)
         places[done : done + length] = -1
@@ -180,9 +187,14 @@ def _one_group(bits: Bits, width: int, n: int, codes: list[PrefixCode]) -> np.nd
         done += length
         at = bits.at - base
     bits.at = base + at
+    places[singles_at] = singles
+    first, to = np.array(octets, np.int64), np.array(octets_at, np.int64)
+    for k in range(8):
+        places[to + k] = first
+        first = chain[first]
     known = places >= 0
     pos = places[known]
-    argb = symbols[pos].astype(np.uint32) << 8
+    argb = green.symbols[at_green[pos]].astype(np.uint32) << 8
     for code, start, shift in zip(others, starts, (16, 0, 24)):
         s = code.symbols[windows[start[pos]] & ((1 << code.bits) - 1)].astype(np.uint32) if start is not None else np.uint32(code.symbols[0])
         argb |= s << np.uint32(shift)

@@ -24,7 +24,7 @@ def token_alignment_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def monotone_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation's turns against an edited copy: some turns gone, words replaced."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), (F.col("turn") * 10.0).alias("at"), F.substring("text", 1, 400).alias("text"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("id"), (F.col("turn") * 10.0).alias("at"), "text")
     c = spread(c, "conv_id")
     gold = c.where("id % 5 <> 3").withColumns({"at": F.col("at") + 2.0, "text": F.replace("text", F.lit(" the "), F.lit(" "))})
     return align.align_lists(c, gold, "conv_id").withColumn("similarity", F.round("similarity", 4))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import clock, similarity, text
 from strandloom.operators import align, folds, islands, joins, members, rules
+from strandloom.plans import aligned
 from strandloom.sources import documents
 from strandloom.streaming import islands as stream
 
@@ -146,3 +147,10 @@ def test_gap_sessions_on_a_stream(spark, tmp_path):
     run.awaitTermination(120)
     # the watermark, five minutes behind 01:00, closes the two sessions that ended before it
     assert sorted((r["k"], r["n"]) for r in spark.table("sessions_seen").collect()) == [("u", 2), ("v", 1)]
+
+
+def test_long_turns_are_aligned_whole(spark, tmp_path):
+    said = "one " * 110 + "ends with the words that the copy lacks"
+    spark.createDataFrame([(1, 0, said)], "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    row = aligned.monotone_alignment(spark, str(tmp_path)).first()
+    assert row["similarity"] == round(similarity.ratio(said, said.replace(" the ", " ")), 4) < 1

@@ -32,6 +32,13 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Empties a table that cut wrote and that nothing reads any more: its files are replaced by one without rows."""
+    path = table.inputFiles()[0].rsplit("/", 1)[0] if table.inputFiles() else None
+    if path:
+        table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(path)
+
+
 def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds ``row_no``: 0, 1, 2, ... over all rows in the given order.
 

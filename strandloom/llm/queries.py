@@ -97,4 +97,4 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.passage_classes(table(spark, sf_dir, "documents"))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_words", "class_id", "n_links", F.size("spans").alias("n_spans"), covered.alias("n_repeated_words"), "spans")
+    return found.select("doc_id", "n_words", "class_id", F.size("spans").alias("n_spans"), covered.alias("n_repeated_words"), "spans")

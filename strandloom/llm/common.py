@@ -22,6 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints/{app}"
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Working names that df has no column of, whatever the case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        k, free = 0, f"_{name}"
+        while free.lower() in taken:
+            k, free = k + 1, f"_{name}{k + 1}"
+        taken.add(free.lower())
+        out.append(free)
+    return out
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and returns that table.
 
@@ -40,22 +53,24 @@ def discard(table: DataFrame) -> None:
 
 
 def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """Adds ``row_no``: 0, 1, 2, ... over all rows in the given order.
+    """Adds ``row_no``: 0, 1, 2, ... over all rows in the given order; it replaces a column so named.
 
     The rows are range-partitioned and sorted, then numbered within each partition; only one count
     per partition reaches the driver, and one offset per partition is broadcast. The sorted rows
     are written first, so both passes see the same partitions even if executors are lost.
     """
     spark = df.sparkSession
+    df = df.drop("row_no")
+    place, piece, start = fresh(df, "place", "piece", "start")
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = cut(placed.withColumn("_place", F.monotonically_increasing_id()), name)
-    part = F.shiftright("_place", 33)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).collect()
+    placed = cut(placed.withColumn(place, F.monotonically_increasing_id()), name)
+    part = F.shiftright(place, 33)
+    counts = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()
     offsets, total = [], 0
     for row in sorted(counts):
-        offsets.append((row["_part"], total))
+        offsets.append((row["part"], total))
         total += row["n"]
-    starts = spark.createDataFrame(offsets, "_part long, _start long")
-    numbered = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
-    within = F.col("_place") - F.shiftleft("_part", 33)
-    return numbered.withColumn("row_no", F.col("_start") + within).drop("_part", "_start", "_place")
+    starts = spark.createDataFrame(offsets, f"`{piece}` long, `{start}` long")
+    numbered = placed.withColumn(piece, part).join(F.broadcast(starts), piece)
+    within = F.col(place) - F.shiftleft(piece, 33)
+    return numbered.withColumn("row_no", F.col(start) + within).drop(piece, start, place)

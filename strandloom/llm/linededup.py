@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import cut
+from strandloom.llm.common import cut, fresh
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,8 +31,7 @@ LEAST_CHARS = 10
 
 #: kind 0: a dropped line. 1: a line of the run that a partition starts with. 2: a partition's summary;
 #: h1, h2 are its first hash, g1, g2 its last, first_doc the first document of the last one's run.
-STREAMED = "kind int, part int, h1 long, h2 long, doc_id long, text_hash long, n_lines int, pos int, first_doc long, g1 long, g2 long"
-_NO_DOC = np.iinfo(np.int64).max  # null sorts last
+STREAMED = "kind int, part int, h1 long, h2 long, no_id boolean, doc_id long, text_hash long, n_lines int, pos int, first_none boolean, first_doc long, g1 long, g2 long"
 
 
 def line_key(line: str) -> Column:
@@ -40,63 +39,64 @@ def line_key(line: str) -> Column:
 
 
 def line_rows(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(h1, h2, doc_id, text_hash, n_lines, pos) of every line that is long enough."""
+    """(h1, h2, no_id, doc_id, text_hash, n_lines, pos) of every line that is long enough; a null doc_id is 0 with no_id true."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), lines.alias("lines"))
-    flat = base.select("doc_id", "text_hash", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
+    some = F.coalesce(F.col("doc_id").cast("long"), F.lit(0))
+    base = docs.select(F.col("doc_id").isNull().alias("no_id"), some.alias("doc_id"), F.xxhash64("text").alias("text_hash"), lines.alias("lines"))
+    flat = base.select("no_id", "doc_id", "text_hash", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line"))
     keyed = flat.withColumn("key", line_key("line")).where(F.char_length("key") >= least_chars)
-    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "doc_id", "text_hash", "n_lines", "pos")
+    return keyed.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), F.col("key")).alias("h2"), "no_id", "doc_id", "text_hash", "n_lines", "pos")
 
 
 def _stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     part = TaskContext.get().partitionId()
     names = [f.split()[0] for f in STREAMED.split(", ")]
     first = last = None  # (h1, h2)
-    last_doc = _NO_DOC
+    last_doc, last_none = 0, False
 
-    def rows(pdf: pd.DataFrame, pick: np.ndarray, kind: int, of: np.ndarray) -> pd.DataFrame:
-        got = pdf[pick].assign(kind=kind, part=part, first_doc=of[pick], g1=0, g2=0)
+    def rows(pdf: pd.DataFrame, pick: np.ndarray, kind: int, of: np.ndarray, of_none: np.ndarray) -> pd.DataFrame:
+        got = pdf[pick].assign(kind=kind, part=part, first_none=of_none[pick], first_doc=of[pick], g1=0, g2=0)
         return got[names]
 
     for pdf in batches:
         if not len(pdf):
             continue
         h1, h2 = pdf["h1"].to_numpy(), pdf["h2"].to_numpy()
-        doc = pdf["doc_id"].fillna(_NO_DOC).to_numpy().astype(np.int64) if pdf["doc_id"].dtype != np.int64 else pdf["doc_id"].to_numpy()
+        doc, none = pdf["doc_id"].to_numpy(), pdf["no_id"].to_numpy()
         new = np.concatenate(([last != (h1[0], h2[0])], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])))
         starts = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        firsts = doc[starts] if len(starts) else np.zeros(0, np.int64)
-        of = np.where(run >= 0, firsts[np.maximum(run, 0)] if len(firsts) else last_doc, last_doc)
+        run = np.cumsum(new)  # 0: the run that the batch before ended in
+        of, of_none = np.append(last_doc, doc[starts])[run], np.append(last_none, none[starts])[run]
         if first is None:
             first = (h1[0], h2[0])
         lead = (h1 == first[0]) & (h2 == first[1])
         if lead.any():
-            yield rows(pdf, lead, 1, of)
-        if (drop := (doc != of) & ~lead).any():
-            yield rows(pdf, drop, 0, of)
-        last, last_doc = (h1[-1], h2[-1]), of[-1]
+            yield rows(pdf, lead, 1, of, of_none)
+        if (drop := ((doc != of) | (none != of_none)) & ~lead).any():
+            yield rows(pdf, drop, 0, of, of_none)
+        last, last_doc, last_none = (h1[-1], h2[-1]), of[-1], of_none[-1]
     if first is not None:
-        yield pd.DataFrame([[2, part, *first, None, 0, 0, 0, last_doc, *last]], columns=names)
+        yield pd.DataFrame([[2, part, *first, False, 0, 0, 0, 0, last_none, last_doc, *last]], columns=names)
 
 
 def dropped_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, text_hash, n_lines, pos) of every line that another document, of smaller id, holds as well."""
-    order = ["h1", "h2", F.col("doc_id").asc_nulls_last(), "text_hash", "pos"]
-    placed = line_rows(docs, least_chars).repartitionByRange(*order).sortWithinPartitions(*order)
+    """(no_id, doc_id, text_hash, n_lines, pos) of every line that another document, of smaller id, holds as well."""
+    order = ["h1", "h2", "no_id", "doc_id", "text_hash", "pos"]
+    # written first: sampling for the ranges then doesn't split and hash the texts once more
+    placed = cut(line_rows(docs, least_chars), "lines").repartitionByRange(*order).sortWithinPartitions(*order)
     seen = cut(placed.mapInPandas(_stream, STREAMED), "line-runs")
     carried, at, doc = [], None, None  # the run that goes on from one partition to the next
-    for s in sorted(seen.where("kind = 2").select("part", "h1", "h2", "g1", "g2", "first_doc").collect()):
+    for s in sorted(seen.where("kind = 2").select("part", "h1", "h2", "g1", "g2", "first_none", "first_doc").collect()):
         head, tail = (s["h1"], s["h2"]), (s["g1"], s["g2"])
         if head == at:
-            carried.append((s["part"], doc))
+            carried.append((s["part"], *doc))
         if tail != at:
-            at, doc = tail, s["first_doc"]
-    carry = docs.sparkSession.createDataFrame(carried, "part int, carried long")
-    owner = F.coalesce("carried", "first_doc")
-    mine = F.coalesce("doc_id", F.lit(_NO_DOC))
-    heads = seen.where("kind = 1").join(F.broadcast(carry), "part", "left").where(mine != owner)  # one row per partition
-    keep = ["doc_id", "text_hash", "n_lines", "pos"]
+            at, doc = tail, (s["first_none"], s["first_doc"])
+    carry = docs.sparkSession.createDataFrame(carried, "part int, carried_none boolean, carried long")
+    owner = (F.coalesce("carried_none", "first_none"), F.coalesce("carried", "first_doc"))
+    another = (F.col("no_id") != owner[0]) | (F.col("doc_id") != owner[1])
+    heads = seen.where("kind = 1").join(F.broadcast(carry), "part", "left").where(another)  # one row per partition
+    keep = ["no_id", "doc_id", "text_hash", "n_lines", "pos"]
     return seen.where("kind = 0").select(*keep).union(heads.select(*keep))
 
 
@@ -118,8 +118,8 @@ def keep_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     Rows of one doc_id are one document; those without doc_id are one, after all others. Equal rows
     share their bitmap. A null or empty text is one empty line.
     """
-    gone = dropped_lines(docs, least_chars).groupBy("doc_id", "text_hash").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("gone"))
-    return cut(gone.select("doc_id", "text_hash", "n_lines", _bitmap("n_lines", "gone").alias("keep")), "bitmaps")
+    gone = dropped_lines(docs, least_chars).groupBy("no_id", "doc_id", "text_hash").agg(F.max("n_lines").alias("n_lines"), F.collect_set("pos").alias("gone"))
+    return cut(gone.select(F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text_hash", "n_lines", _bitmap("n_lines", "gone").alias("keep")), "bitmaps")
 
 
 def unpack(keep: bytes, n: int) -> np.ndarray:
@@ -127,10 +127,12 @@ def unpack(keep: bytes, n: int) -> np.ndarray:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with the column keep: null where all lines stay."""
-    maps = bitmaps.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "keep")
-    same = docs["doc_id"].eqNullSafe(maps["_doc"]) & (F.xxhash64(docs["text"]) == maps["_hash"])
-    return docs.drop("keep").join(maps, same, "left").drop("_doc", "_hash")
+    """docs with the column keep, which replaces one so named: null where all lines stay."""
+    docs = docs.drop("keep")
+    of, text = fresh(docs, "of", "text")
+    maps = bitmaps.select(F.col("doc_id").alias(of), F.col("text_hash").alias(text), "keep")
+    same = docs["doc_id"].eqNullSafe(maps[of]) & (F.xxhash64(docs["text"]) == maps[text])
+    return docs.join(maps, same, "left").drop(of, text)
 
 
 @F.pandas_udf(T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())]))

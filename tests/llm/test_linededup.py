@@ -11,7 +11,7 @@ def brute(docs):
     def key(line):
         return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(SPACE))
 
-    far = 10**18
+    far = 2**63  # after every id
     owner = {}
     for d, t in docs:
         for line in (t or "").split("\n"):
@@ -26,7 +26,7 @@ def brute(docs):
 
 
 def run(spark, docs):
-    df = spark.createDataFrame([(d, t, b"x") for d, t in docs], "doc_id long, text string, keep binary")
+    df = spark.createDataFrame([(d, t, b"x", 1, "of") for d, t in docs], "doc_id long, text string, keep binary, _TEXT int, _of string")
     kept = ld.with_bitmaps(df, ld.keep_bitmaps(df)).select("doc_id", ld.kept_digest(F.col("text").cast("binary"), "keep").alias("d"))
     return sorted((str(r[0]), *r[1]) for r in kept.collect())
 
@@ -48,3 +48,16 @@ def test_one_line_over_many_partitions(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_ids_beyond_doubles_beside_nulls(spark):
+    big = 2**60
+    docs = [(big + 1, "a line that two documents share"), (big + 2, "a line that two documents share"), (None, "a line of no document"), (2**63 - 1, "a line of no document"), (None, "a line of no document\nand one more line")]
+    got = run(spark, docs)
+    assert got == brute(docs) and (str(big + 2), 1, 1, hashlib.sha256(b"").hexdigest()) in got
+
+
+def test_a_very_long_text(spark):
+    long = "\n".join(f"line {i % 5000} of a very long text" for i in range(200_000))
+    docs = [(2, long), (1, "line 7 of a very long text\nline 8 of a very long text"), (3, "x" * 2_000_000)]
+    assert run(spark, docs) == brute(docs)

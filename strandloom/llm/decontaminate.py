@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import cut
+from strandloom.llm.common import cut, fresh
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
@@ -46,19 +46,17 @@ class WindowTable:
         self.length, self.block = length, min(2, length)
         self.far = length - self.block + 1
         self.shift: dict[tuple, int] = {}
-        self.bucket: dict[tuple, dict[tuple, list[tuple[list[bytes], list[str]]]]] = {}
+        self.bucket: dict[tuple, dict[tuple, dict[tuple, list[str]]]] = {}  # by suffix, then prefix: windows and their items
 
     def add(self, window: list[bytes], item: str | None) -> None:
         b = self.block
         for end in range(b, self.length + 1):
             key = tuple(window[end - b : end])
             self.shift[key] = min(self.shift.get(key, self.far), self.length - end)
-        same_prefix = self.bucket.setdefault(tuple(window[-b:]), {}).setdefault(tuple(window[:b]), [])
-        for known, items in same_prefix:
-            if known == window:
-                items.append(item)
-                return
-        same_prefix.append((window, [item]))
+        same_prefix = self.bucket.setdefault(tuple(window[-b:]), {}).setdefault(tuple(window[:b]), {})
+        items = same_prefix.setdefault(tuple(window), [])
+        if not items or items[-1] != item:  # an item's windows come together
+            items.append(item)
 
     def search(self, words: list[bytes]) -> Iterable[tuple[int, list[str]]]:
         """(start, items) of every occurrence."""
@@ -71,9 +69,9 @@ class WindowTable:
                 at += step
                 continue
             start = at - length
-            for window, items in self.bucket[suffix].get(tuple(words[start : start + b]), ()):
-                if words[start:at] == window:
-                    yield start, items
+            # direct comparison of the words with the bucket's windows
+            if (same := self.bucket[suffix].get(tuple(words[start : start + b]))) and (items := same.get(tuple(words[start:at]))):
+                yield start, items
             at += 1
 
 
@@ -133,11 +131,12 @@ def _join_hits(texts: pd.Series, spans: pd.Series, items: pd.Series) -> pd.DataF
 
 
 def mark_hits(docs: DataFrame, benchmark: DataFrame, out: str = "hits", width: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with one more column, out: struct(n_words, spans, items).
+    """docs with one more column, out (it replaces one so named): struct(n_words, spans, items).
 
     spans are the merged [start, end) word ranges inside any occurrence of a window; items the
     ids, as sorted different strings, of the items with occurring windows. A null or empty text has no words. Items
-    without words have no window; an item whose id is null marks words but isn't listed.
+    without words have no window; an item whose id is null marks words but isn't listed. Repeated rows are marked alike,
+    very long texts are searched whole, and an empty table on either side gives no hits.
     """
     body = F.col("text").cast("binary")
     bench = benchmark.select(F.col("item_id").cast("string").alias("item"), body.alias("body"))
@@ -145,17 +144,17 @@ def mark_hits(docs: DataFrame, benchmark: DataFrame, out: str = "hits", width: i
     n_blocks = -(-total // block_bytes) or 1
     if n_blocks == 1:
         return docs.withColumn(out, _hits_of(bench, width)(body))
-    key = [F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text")]
+    key = [F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_hash")]
     part = F.pmod(F.xxhash64("item", "body"), F.lit(n_blocks))
     found = None
     for b in range(n_blocks):
-        hits = docs.select(*key, _hits_of(bench.where(part == b), width)(body).alias("h"))
-        hits = cut(hits.where(F.size("h.spans") > 0), "hits")
+        hits = docs.select(*key, _hits_of(bench.where(part == b), width)(body).alias("h")).where(F.size("h.spans") > 0)
+        hits = cut(hits.dropDuplicates(["doc", "text_hash"]), "hits")
         found = hits if found is None else found.union(hits)
-    found = found.groupBy("_doc", "_text").agg(F.flatten(F.collect_list("h.spans")).alias("_spans"), F.flatten(F.collect_list("h.items")).alias("_items"))
-    same = docs["doc_id"].eqNullSafe(found["_doc"]) & (F.xxhash64(docs["text"]) == found["_text"])
-    joined = docs.join(found, same, "left")
-    return joined.withColumn(out, _join_hits(body, "_spans", "_items")).drop("_doc", "_text", "_spans", "_items")
+    of, text_hash, spans, items = fresh(docs, "of", "hash", "spans", "items")
+    found = found.groupBy(F.col("doc").alias(of), F.col("text_hash").alias(text_hash)).agg(F.flatten(F.collect_list("h.spans")).alias(spans), F.flatten(F.collect_list("h.items")).alias(items))
+    same = docs["doc_id"].eqNullSafe(found[of]) & (F.xxhash64(docs["text"]) == found[text_hash])
+    return docs.join(found, same, "left").withColumn(out, _join_hits(body, spans, items)).drop(of, text_hash, spans, items)
 
 
 def n_hit(hits: str) -> Column:

@@ -32,10 +32,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    body = F.col("text").cast("binary")
-    facts = docs.select("doc_id", "text", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
-    facts = facts.withColumn("text_crc32", F.crc32(F.coalesce(body, F.lit(b""))))
-    placed = sharding.assign(facts)
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    # what orders the rows is computed here, so that texts stay where they are
+    facts = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64("text").alias("text_hash"))
+    placed = sharding.assign(facts, by=["doc_id", "text_hash", "text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import number_rows
+from strandloom.llm.common import fresh, number_rows
 
 ROUNDS = 6
 SEED = 20_240_607
@@ -62,17 +62,19 @@ def place(row_no: Column, n: int, seed: int = SEED) -> Column:
     return placed(row_no)
 
 
-def assign(docs: DataFrame, n_shards: int = 8, seed: int = SEED) -> DataFrame:
+def assign(docs: DataFrame, n_shards: int = 8, seed: int = SEED, by: list[str] | None = None) -> DataFrame:
     """docs with three more columns: row_no, shard and slot; they replace columns so named.
 
-    Rows are numbered by doc_id (null last) and the text's hashes, so neither files nor partitions matter; rows
-    equal in these take each other's places. Null and empty texts are rows like others.
+    Rows are numbered by doc_id (null last) and the text's hashes, or by the columns named in by, so neither files nor partitions matter; rows
+    equal in these take each other's places. Null, empty and very long texts are rows like others, repeated rows are rows of their own, and an
+    empty table gives an empty one. All columns of docs travel, so leave out texts that aren't wanted and name what orders the rows.
     """
     docs = docs.drop("row_no", "shard", "slot")
-    keys = {"_doc": F.col("doc_id"), "_hash": F.xxhash64("text"), "_crc": F.crc32(F.col("text").cast("binary"))}
-    order = [F.col("_doc").asc_nulls_last(), F.col("_hash").asc(), F.col("_crc").asc_nulls_first()]
-    numbered = number_rows(docs.withColumns(keys), order, "numbered").drop(*keys)
+    text_hash, crc, at = fresh(docs, "hash", "crc", "at")
+    if by is None:
+        docs = docs.withColumns({text_hash: F.xxhash64("text"), crc: F.crc32(F.col("text").cast("binary"))})
+    order = [F.col(f"`{c}`").asc_nulls_last() for c in by or ["doc_id", text_hash, crc]]
+    numbered = number_rows(docs, order, "numbered").drop(text_hash, crc)
     n = numbered.count()
-    at = place(F.col("row_no"), n, seed)
-    placed = numbered.withColumn("_at", at)
-    return placed.withColumns({"shard": F.pmod("_at", F.lit(n_shards)).cast("int"), "slot": F.expr(f"_at div {n_shards}")}).drop("_at")
+    placed = numbered.withColumn(at, place(F.col("row_no"), n, seed))
+    return placed.withColumns({"shard": F.pmod(at, F.lit(n_shards)).cast("int"), "slot": F.expr(f"`{at}` div {n_shards}")}).drop(at)

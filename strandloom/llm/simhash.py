@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.common import cut
+from strandloom.llm.common import cut, fresh
 from strandloom.llm.graph import connected_components
 
 BLOCKS = 5  # one more than the radius
@@ -249,14 +249,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs without near-duplicates: of each group the row of smallest doc_id (null last), then smallest text hash, stays."""
+    """docs without near-duplicates: of each group the row of smallest doc_id (null last), then smallest text hash, stays.
+
+    Of equal rows one stays. Null and empty texts are a group of their own (fingerprint zero). All columns of docs are kept,
+    whatever their names; an empty table stays empty.
+    """
+    of, text_hash, n = fresh(docs, "of", "hash", "n")
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    marked = near_duplicates(docs, radius).groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    marked = near_duplicates(docs.select("doc_id", "text"), radius).groupBy("group", "doc_id", "text_hash").agg(F.count("*").alias("n"))
     best = marked.groupBy("group").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), rank).alias("k"))
-    best = cut(best.select(F.col("k.doc_id").alias("_doc"), F.col("k.text_hash").alias("_hash"), F.col("k.n").alias("_n")), "kept")
-    same = docs["doc_id"].eqNullSafe(best["_doc"]) & (F.xxhash64(docs["text"]) == best["_hash"])
+    best = cut(best.select(F.col("k.doc_id").alias(of), F.col("k.text_hash").alias(text_hash), F.col("k.n").alias(n)), "kept")
+    same = docs["doc_id"].eqNullSafe(best[of]) & (F.xxhash64(docs["text"]) == best[text_hash])
     kept = docs.join(best, same)
-    if not best.where("_n > 1").isEmpty():  # equal rows: the first of them stays
-        once = kept.where("_n = 1").select(*docs.columns)
-        return once.unionByName(kept.where("_n > 1").dropDuplicates(["_doc", "_hash"]).select(*docs.columns))
-    return kept.select(*docs.columns)
+    several = F.col(n) > 1
+    if best.where(several).isEmpty():
+        return kept.drop(of, text_hash, n)
+    once = kept.where(~several).union(kept.where(several).dropDuplicates([of, text_hash]))  # equal rows: the first of them stays
+    return once.drop(of, text_hash, n)

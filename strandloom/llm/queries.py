@@ -77,7 +77,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = captures.withColumn("key", F.concat(warc.url_key(F.col("url")), F.lit(" "), F.when(F.col("page") == "", "-").otherwise(F.col("page"))))
     index = warc.build_index(keyed)
     found = warc.lookup(pages.select(warc.capture_key(F.col("url"), F.col("page_id")).alias("key")), index)
-    read = warc.read_records(found, folder, with_payload=False)
+    read = warc.read_records(found, with_payload=False)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

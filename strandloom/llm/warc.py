@@ -6,7 +6,9 @@ others are revisits that refer to it.
 
 Index: captures are sorted by a reversed-host URL key (and page, so that keys hardly repeat) into compressed
 blocks; a sparse directory holds each block's first key. A lookup finds its block by binary search in the
-directory, the capture by binary search in the block, and then reads the record's byte range of its archive. The
+directory, the capture by binary search in the block, and then reads the record's byte range of its archive: captures are
+sorted by path and offset, and each task opens the archives of its rows in the shared file system, seeks to the ranges and reads
+``READ_BYTES`` at a time, with ranges that lie close to each other in one read. No archive is ever loaded whole. The
 directory is broadcast while it has at most ``DIRECTORY_MOST`` entries. Beyond that every k-th entry
 is, and the entries between two of these come by a join.
 """
@@ -22,7 +24,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,9 @@ from strandloom.llm.common import cut, shared_dir
 
 ARCHIVE_BYTES = 32 << 20
 BLOCK_LINES = 3000
+READ_BYTES = 1 << 20
+GAP_BYTES = 1 << 16  # between ranges that are read together
+STRETCH = 8 << 20  # of an archive whose captures go to one task
 DIRECTORY_MOST = 100_000
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -50,8 +55,14 @@ def url_key(url: Column) -> Column:
     return F.when(host == "", url).otherwise(key)
 
 
+def target_uri(url: Column) -> Column:
+    """A URL as records hold it: null is empty, line breaks are escaped."""
+    return F.replace(F.replace(F.coalesce(url, F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def capture_key(url: Column, page_id: Column) -> Column:
-    return F.concat(url_key(url), F.lit(" "), F.coalesce(page_id.cast("string"), F.lit("-")))
+    """The key of a page's capture, from the URL as its record holds it."""
+    return F.concat(url_key(target_uri(url)), F.lit(" "), F.coalesce(page_id.cast("string"), F.lit("-")))
 
 
 @F.pandas_udf(T.StringType())
@@ -60,7 +71,7 @@ def _base32(sha1_hex: pd.Series) -> pd.Series:
 
 
 def write_archives(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> str:
-    """Writes pages (page_id, url, html) as WARC files of about archive_bytes at most; returns their folder.
+    """Writes pages (page_id, url, html) as WARC files of about archive_bytes (by the pages' mean size) at most; returns their folder.
 
     Payloads of at least least_bytes are deduplicated. A null html is an empty payload. Rows of the
     smallest page_id are all responses if it repeats; a payload none of whose pages has an id is stored with each.
@@ -74,7 +85,6 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, archive_bytes: int =
     per_file = max(1, int(archive_bytes * rows // ((total or 0) + 700 * rows))) if rows else 1
     known = base.join(first, "sha1", "left")
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    uri = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     http = F.concat(F.lit(HTTP), F.col("n").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
     header = F.concat_ws(
@@ -82,7 +92,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, archive_bytes: int =
         F.lit("WARC/1.1"),
         F.when(revisit, F.lit("WARC-Type: revisit")).otherwise(F.lit("WARC-Type: response")),
         F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">")),
-        F.concat(F.lit("WARC-Target-URI: "), uri),
+        F.concat(F.lit("WARC-Target-URI: "), target_uri(F.col("url"))),
         F.lit(f"WARC-Date: {DATE}"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), _base32("sha1")),
         F.when(revisit, F.lit(f"WARC-Profile: {REVISIT_PROFILE}")),
@@ -107,24 +117,54 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], int, int]:
 CAPTURES = "page string, url string, path string, offset long, length long"
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        for path, data in zip(pdf["path"], pdf["content"]):
-            rows, at = [], 0
-            while at < len(data):
-                headers, _, end = parse_record(data, at)
-                rows.append((headers["WARC-Record-ID"][10:-1], headers["WARC-Target-URI"], path, at, end - at))
-                at = end
-            yield pd.DataFrame(rows, columns=["page", "url", "path", "offset", "length"])
+class Archive:
+    """A file of the shared file system, read by ranges."""
+
+    def __init__(self, path: str) -> None:
+        system, name = fs.FileSystem.from_uri(path)
+        self.file = system.open_input_file(name)
+        self.size, self.at, self.held = self.file.size(), 0, b""
+
+    def read(self, offset: int, length: int, ahead: int = 0) -> bytes:
+        """A range's bytes; ahead bytes beyond it are read along if the file is read at all."""
+        start = offset - self.at
+        if start < 0 or start + length > len(self.held):
+            self.held = self.file.read_at(min(length + ahead, self.size - offset), offset)
+            self.at, start = offset, 0
+        return self.held[start : start + length]
+
+
+def _records(archive: Archive) -> Iterator[tuple[dict[str, str], int, int]]:
+    """(headers, offset, length) of every record, with READ_BYTES of the archive in memory (or one record's head)."""
+    at = 0
+    while at < archive.size:
+        size = 2048
+        while (end := (head := archive.read(at, min(size, archive.size - at), READ_BYTES)).find(b"\r\n\r\n")) < 0:
+            size *= 2  # a very long URL
+        lines = head[:end].decode().split("\r\n")
+        headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
+        length = end + 4 + int(headers["Content-Length"]) + 4
+        yield headers, at, length
+        at += length
 
 
-def archives(spark, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
+def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["page", "url", "path", "offset", "length"]
+    for pdf in batches:
+        for path in pdf["path"]:
+            rows = []
+            for headers, at, length in _records(Archive(path)):
+                rows.append((headers["WARC-Record-ID"][10:-1], headers["WARC-Target-URI"], path, at, length))
+                if len(rows) == 10_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
 
 def scan_captures(spark, folder: str) -> DataFrame:
-    """page, url, path, offset and length of every record, from the archives themselves."""
-    return archives(spark, folder).mapInPandas(_scan, CAPTURES)
+    """page, url, path, offset and length of every record, from the archives themselves; tasks read them piece by piece."""
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path")
+    return cut(paths.mapInPandas(_scan, CAPTURES), "captures")
 
 
 def _pack(batches: Iterator[pd.DataFrame], lines_per_block: int) -> Iterator[pd.DataFrame]:
@@ -213,39 +253,62 @@ def lookup(keys: DataFrame, index: DataFrame, most: int = DIRECTORY_MOST) -> Dat
 RECORDS = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
-def _read_ranges(key, ranges: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
-    rows = []
-    data = zstandard.decompress(files["content"].iloc[0]) if len(files) else b""
-    for offset, length in zip(ranges["offset"], ranges["length"]):
-        headers, start, end = parse_record(data[offset : offset + length], 0)
-        block = data[offset + start : offset + end - 4]
-        http_end = block.index(b"\r\n\r\n") + 4
-        page = headers["WARC-Record-ID"][10:-1]
+def _parse(data: bytes, with_payload: bool) -> tuple:
+    headers, start, end = parse_record(data, 0)
+    block = data[start : end - 4]
+    http_end = block.index(b"\r\n\r\n") + 4
+    page = headers["WARC-Record-ID"][10:-1]
+    if headers["WARC-Type"] == "response":
+        payload = block[http_end:]
+        digest, refers, told = base64.b32encode(hashlib.sha1(payload).digest()).decode(), None, len(payload)
+    else:
+        payload, digest = None, headers["WARC-Payload-Digest"].removeprefix("sha1:")
+        refers = int(headers["WARC-Refers-To"][10:-1])
         told = int(block[:http_end].split(b"Content-Length: ")[1].split(b"\r\n")[0])
-        if headers["WARC-Type"] == "response":
-            payload = block[http_end:]
-            digest, refers = base64.b32encode(hashlib.sha1(payload).digest()).decode(), None
-            told = len(payload)
-        else:
-            payload, digest = None, headers["WARC-Payload-Digest"].removeprefix("sha1:")
-            refers = int(headers["WARC-Refers-To"][10:-1])
-        rows.append((int(page) if page else None, headers["WARC-Target-URI"], headers["WARC-Type"], digest, told, refers, payload))
-    out = pd.DataFrame(rows, columns=[f.split()[0] for f in RECORDS.split(", ")])
-    return out.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-
-def _squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pdf.assign(content=[zstandard.compress(x) for x in pdf["content"]])
+    row = (int(page) if page else None, headers["WARC-Target-URI"], headers["WARC-Type"], digest, told, refers)
+    return (*row, payload) if with_payload else row
 
 
-def read_records(captures: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """The records at the captures' byte ranges; a response's payload and its digest are those of the bytes read."""
-    files = archives(captures.sparkSession, folder).mapInPandas(_squeeze, "path string, content binary")  # shuffled below
-    schema = RECORDS if with_payload else RECORDS.replace(", payload binary", "")
+def _ahead(offsets: list[int], lengths: list[int], i: int, stop: int) -> int:
+    """How many bytes beyond range i are read along: up to the last of the ranges that follow closely."""
+    start, end = offsets[i], offsets[i] + lengths[i]
+    last = end
+    for k in range(i + 1, stop):
+        if offsets[k] - last > GAP_BYTES or offsets[k] + lengths[k] - start > READ_BYTES:
+            break
+        last = max(last, offsets[k] + lengths[k])
+    return last - end
 
-    def read(key, ranges: pd.DataFrame, contents: pd.DataFrame) -> pd.DataFrame:
-        out = _read_ranges(key, ranges, contents)
-        return out if with_payload else out.drop(columns="payload")
 
-    return captures.groupBy("path").cogroup(files.groupBy("path")).applyInPandas(read, schema)
+def _read(batches: Iterator[pd.DataFrame], with_payload: bool) -> Iterator[pd.DataFrame]:
+    """Reads the ranges of rows sorted by path and offset."""
+    columns = [f.split()[0] for f in RECORDS.split(", ")][: None if with_payload else -1]
+    path, archive = None, None
+    for pdf in batches:
+        paths, offsets, lengths = pdf["path"].tolist(), pdf["offset"].tolist(), pdf["length"].tolist()
+        rows, held, stop = [], 0, 0
+        for i in range(len(paths)):
+            if paths[i] != path:
+                path, archive = paths[i], Archive(paths[i])
+            if i >= stop:
+                stop = i + 1
+                while stop < len(paths) and paths[stop] == path:
+                    stop += 1
+            within = archive.at <= offsets[i] and offsets[i] + lengths[i] <= archive.at + len(archive.held)
+            rows.append(_parse(archive.read(offsets[i], lengths[i], 0 if within else _ahead(offsets, lengths, i, stop)), with_payload))
+            held += lengths[i]
+            if held >= STRETCH:  # bounds what one batch of rows holds
+                yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+                rows, held = [], 0
+        yield pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
+
+
+def read_records(captures: DataFrame, with_payload: bool = True) -> DataFrame:
+    """The records at the captures' byte ranges (path, offset, length); a response's payload and its digest are those of the bytes read.
+
+    Captures of one stretch of an archive go to one task, so a large archive is read by many and a range by one.
+    """
+    schema = RECORDS if with_payload else RECORDS.replace(", payload binary", "")
+    places = captures.select("path", "offset", "length")
+    placed = places.repartition("path", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("path", "offset")
+    return placed.mapInPandas(lambda it: _read(it, with_payload), schema)

@@ -3,7 +3,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from strandloom.llm import warc
+from strandloom.llm import queries, warc
 
 PAGES = [
     (5, "http://www.example.com/a?x=1#top", "<p>same</p>"),
@@ -48,7 +48,7 @@ def test_every_page_is_read_back(spark):
         folder, captures, index = records(spark, PAGES, least, archive_bytes=size)
         keys = captures.select("key")
         found = warc.lookup(keys.union(keys).union(spark.createDataFrame([("zz absent",), ("",)], "key string")), index, most)
-        got = warc.read_records(found, folder).collect()
+        got = warc.read_records(found).collect()
         rows = [(str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], bytes(r["payload"]) if r["payload"] is not None else None) for r in got]
         assert sorted(rows, key=repr) == expected(PAGES, least)
 
@@ -61,4 +61,22 @@ def test_keys(spark):
 
 def test_empty_table(spark):
     folder, captures, index = records(spark, [])
-    assert warc.read_records(warc.lookup(captures.select("key"), index), folder).collect() == []
+    assert warc.read_records(warc.lookup(captures.select("key"), index)).collect() == []
+
+
+def test_ranges_are_read_alone(tmp_path):
+    """Sorted ranges far apart: what lies between them isn't read; close ones share a read."""
+    data = bytes(range(256)) * 4000
+    (tmp_path / "a").write_bytes(data)
+    archive = warc.Archive(f"file://{tmp_path}/a")
+    assert archive.read(500_000, 10) == data[500_000:500_010] and len(archive.held) == 10
+    assert archive.read(0, 5, 100) == data[:5] and archive.read(90, 15) == data[90:105] and len(archive.held) == 105
+    assert archive.read(len(data) - 3, 3, 1000) == data[-3:]
+    assert warc._ahead([0, 20, 200_000], [10, 10, 10], 0, 3) == 20
+
+
+def test_query(spark, tmp_path):
+    pages = [p for p in PAGES if p[0] != 20] + [(30, "http://long.example/" + "p/" * 3000, "<p>same</p>"), (31, "http://x.org/", "z" * 3_000_000)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in queries.op9_warc(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted((x[:5] for x in expected(pages)), key=repr)

@@ -17,7 +17,7 @@ from strandloom.llm.common import cut
 
 WIDTH = 576  # samples of a row; payloads are padded to whole rows
 PAD = 255
-ROWS = 1024  # of one image; a longer payload is several images, file after file
+ROWS = 16_383  # of one image, the most that the format has; a payload beyond 9.4 MB is several images, file after file
 
 
 def padded(text: bytes | None) -> bytes:
@@ -49,24 +49,31 @@ def encode_udf(texts: pd.Series) -> pd.Series:
     return pd.Series([encode_payload(padded(t)) for t in texts])
 
 
-PIXELS = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType()), T.StructField("pixels", T.ArrayType(T.IntegerType()))])
+PIXELS = T.StructType([T.StructField(n, t) for n, t in (("width", T.IntegerType()), ("height", T.IntegerType()), ("channels", T.IntegerType()), ("samples", T.BinaryType()))])
+
+
+def pixel_array(argb: np.ndarray) -> np.ndarray:
+    """height x width x channels of 8-bit samples: one channel for opaque grey, else red, green, blue and alpha."""
+    planes = np.stack([(argb >> np.uint32(k)).astype(np.uint8) for k in (16, 8, 0, 24)], axis=-1)
+    grey = (planes[..., :1] == planes[..., 1:3]).all() and (planes[..., 3] == 255).all()
+    return planes[..., 1:2] if grey else planes
 
 
 @F.pandas_udf(PIXELS)
 def pixels_udf(media: pd.Series) -> pd.DataFrame:
-    """width, height and the ARGB pixels, row by row, as signed integers; nulls for a null."""
+    """The pixel array of each image, row by row; nulls for a null."""
     rows = []
     for m in media:
-        a = decode_pixels(m) if m is not None else None
-        rows.append((None, None, None) if a is None else (a.shape[1], a.shape[0], a.reshape(-1).view(np.int32)))
-    return pd.DataFrame(rows, columns=["width", "height", "pixels"])
+        a = pixel_array(decode_pixels(m)) if m is not None else None
+        rows.append((None,) * 4 if a is None else (a.shape[1], a.shape[0], a.shape[2], a.tobytes()))
+    return pd.DataFrame(rows, columns=[f.name for f in PIXELS]).astype({f.name: "Int32" for f in list(PIXELS)[:3]})
 
 
 def store(docs: DataFrame) -> DataFrame:
     """Writes (doc_id, n_bytes, media) of docs as a table and returns the table.
 
     media holds the text's UTF-8 bytes, padded with 255 to whole rows of 576 (one row at least), as grey samples. A null
-    text is empty. Equal texts have equal media.
+    text is empty. Equal texts, repeated rows among them, have equal media; very long texts are stored whole. An empty table gives an empty one.
     """
     body = F.col("text").cast("binary")
     return cut(docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), encode_udf(body).alias("media")), "media")
@@ -83,11 +90,15 @@ def feature(samples: np.ndarray) -> str:
 
 
 @F.pandas_udf(FACTS)
-def facts_udf(media: pd.Series) -> pd.DataFrame:
-    """What the decoded pixels say: the payload's size, digest and tail, and the image's feature."""
+def facts_udf(image: pd.DataFrame) -> pd.DataFrame:
+    """What pixel arrays of one channel say: the payload's size, digest and tail, and the image's feature."""
     rows = []
-    for m in media:
-        samples = (decode_pixels(m) & 255).astype(np.uint8)
-        payload = samples.tobytes()
+    for width, payload in zip(image["width"], image["samples"]):
+        samples = np.frombuffer(payload, np.uint8).reshape(-1, width)
         rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), feature(samples)))
     return pd.DataFrame(rows, columns=[f.name for f in FACTS])
+
+
+def read_back(stored: DataFrame) -> DataFrame:
+    """stored with the columns image, the pixel array that its media decodes to, and facts, which that array says."""
+    return stored.withColumn("image", pixels_udf("media")).withColumn("facts", facts_udf("image"))

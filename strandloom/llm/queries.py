@@ -82,9 +82,9 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = media.store(table(spark, sf_dir, "documents"))
-    read = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), media.facts_udf("media").alias("f"))
-    return read.select("doc_id", "n_bytes", "f.payload_bytes", "f.payload_sha256", "f.tail_crc32", "media_bytes", "media_sha256", "f.feature")
+    read = media.read_back(media.store(table(spark, sf_dir, "documents")))
+    stored = (F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"))
+    return read.select("doc_id", "n_bytes", "facts.payload_bytes", "facts.payload_sha256", "facts.tail_crc32", *stored, "facts.feature")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

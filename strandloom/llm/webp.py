@@ -2,8 +2,12 @@
 
 The decoder reads prefix codes (simple and canonical, by meta groups), literals, back-references and the colour
 cache, and inverts the predictor, cross-colour, subtract-green and palette transforms. Where an image has
-one group of codes and no cache, which is what the encoder writes, symbols are looked up for all bit positions at once and
+one group of codes and no cache, which is what the encoder writes, symbols are looked up for all bit positions of a ``SEGMENT`` at once and
 only the chain of positions is followed one by one; other images take the plain loop.
+
+The encoder takes, for each image, the palette or the predictor (none, left or above) whose samples have the least entropy, and
+writes back-references, short ones for distances in the two-dimensional map. It has no use for cross-colour, the colour cache and meta groups,
+as grey samples have one channel; the decoder knows them.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ DISTANCE_MAP = (
 LENGTH_CODES, DISTANCE_CODES = 24, 40
 CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
+LEFT, ABOVE = 1, 2  # modes of the predictor
 
 
 class Bits:
@@ -135,10 +140,24 @@ def _copy(out: np.ndarray, at: int, distance: int, length: int) -> None:
         out[at : at + length] = np.resize(out[at - distance : at], length)
 
 
+SEGMENT, MARGIN = 1 << 16, 128  # bytes looked up at once, and beyond: eight pixels' codes fit in
+
+
 def _one_group(bits: Bits, width: int, n: int, codes: list[PrefixCode]) -> np.ndarray:
     """ARGB of n pixels coded by one group without a cache."""
+    out, done = np.zeros(n, np.uint32), 0
+    while done < n:
+        done = _one_segment(bits, width, out, done, codes)
+    return out
+
+
+def _one_segment(bits: Bits, width: int, out: np.ndarray, done: int, codes: list[PrefixCode]) -> int:
+    """Decodes pixels from done on while their codes begin within a segment; returns where it stopped."""
     green, *others, distances = codes
-    data = np.frombuffer(bits.data, np.uint8)[bits.at >> 3 :].astype(np.uint32)
+    start, n = done, len(out)
+    data = np.frombuffer(bits.data, np.uint8)[bits.at >> 3 :]
+    limit = SEGMENT * 8 if len(data) > SEGMENT + MARGIN else len(data) * 8
+    data = data[: SEGMENT + MARGIN].astype(np.uint32)
     words = data[:-3] | data[1:-2] << 8 | data[2:-1] << 16 | data[3:] << 24
     base = bits.at & ~7
     windows = (words[:, None] >> np.arange(8, dtype=np.uint32)).reshape(-1)
@@ -157,15 +176,15 @@ def _one_group(bits: Bits, width: int, n: int, codes: list[PrefixCode]) -> np.nd
             follow = np.minimum(follow + code.lengths[windows[follow] & ((1 << code.bits) - 1)], last).astype(np.int32)
     # where the next 1, 2, 4 and 8 literals lead; what isn't a literal leads to itself
     chain = np.where(literal, follow, here) if any(code.bits for code in others) else follow
+    literal[limit:] = False
     two = chain.take(chain)
     four = two.take(two)
     eight = memoryview(four.take(four))
     whole = memoryview(literal.take(eight))  # eight literals begin here, and another one follows
     single, is_literal = memoryview(chain), memoryview(literal)
-    places = np.empty(n, np.int64)  # bit position of each literal pixel; -1 where copied
-    octets, octets_at, singles, singles_at = [], [], [], []
-    copies, done, at = [], 0, bits.at - base
-    while done < n:
+    octets, octets_at, singles, singles_at = [], [], [], []  # bit positions of literal pixels, and which pixels
+    copies, at = [], bits.at - base
+    while done < n and at < limit:
         while done + 8 <= n and whole[at]:
             octets.append(at)
             octets_at.append(done)
@@ -176,33 +195,32 @@ def _one_group(bits: Bits, width: int, n: int, codes: list[PrefixCode]) -> np.nd
             singles_at.append(done)
             at = single[at]
             done += 1
-        if done >= n:
+        if done >= n or at >= limit:
             break
         bits.at = base + at + int(green.lengths[at_green[at]])
         length = _prefixed(int(green.symbols[at_green[at]]) - 256, bits)
         distance = _distance(_prefixed(distances.read(bits), bits), width)
         length = min(length, n - done)
-        places[done : done + length] = -1
         copies.append((done, distance, length))
         done += length
         at = bits.at - base
     bits.at = base + at
-    places[singles_at] = singles
-    first, to = np.array(octets, np.int64), np.array(octets_at, np.int64)
+    places = np.full(done - start, -1, np.int64)  # of each pixel; -1 where copied
+    places[np.array(singles_at, np.int64) - start] = singles
+    first, to = np.array(octets, np.int64), np.array(octets_at, np.int64) - start
     for k in range(8):
         places[to + k] = first
         first = chain[first]
     known = places >= 0
     pos = places[known]
     argb = green.symbols[at_green[pos]].astype(np.uint32) << 8
-    for code, start, shift in zip(others, starts, (16, 0, 24)):
-        s = code.symbols[windows[start[pos]] & ((1 << code.bits) - 1)].astype(np.uint32) if start is not None else np.uint32(code.symbols[0])
+    for code, begin, shift in zip(others, starts, (16, 0, 24)):
+        s = code.symbols[windows[begin[pos]] & ((1 << code.bits) - 1)].astype(np.uint32) if begin is not None else np.uint32(code.symbols[0])
         argb |= s << np.uint32(shift)
-    out = np.zeros(n, np.uint32)
-    out[known] = argb
-    for start, distance, length in copies:
-        _copy(out, start, distance, length)
-    return out
+    out[start:done][known] = argb
+    for begin, distance, length in copies:
+        _copy(out, begin, distance, length)
+    return done
 
 
 def _plain(bits: Bits, width: int, n: int, groups: list[list[PrefixCode]], meta: np.ndarray | None, meta_bits: int, cache_bits: int) -> np.ndarray:
@@ -299,6 +317,17 @@ def _predict(mode: int, left: list[int], top: list[int], top_right: list[int], t
 def invert_predictor(argb: np.ndarray, modes: np.ndarray) -> np.ndarray:
     """modes holds each pixel's mode; the first pixel is predicted black, the first row from the left, the first column from above."""
     height, width = argb.shape
+    inner = modes[1:, 1:]
+    if not inner.size or (inner == inner.flat[0]).all() and inner.flat[0] in (LEFT, ABOVE):  # sums along rows and columns
+        out = _channels(argb).copy()
+        out[0, 0, 3] = int(out[0, 0, 3]) + 255 & 255  # black is opaque
+        out[0] = np.cumsum(out[0], axis=0, dtype=np.uint8)
+        if inner.size and inner.flat[0] == ABOVE:
+            out = np.cumsum(out, axis=0, dtype=np.uint8)
+        else:
+            out[:, 0] = np.cumsum(out[:, 0], axis=0, dtype=np.uint8)
+            out[1:] = np.cumsum(out[1:], axis=1, dtype=np.uint8)
+        return np.ascontiguousarray(out).view("<u4")[..., 0].astype(np.uint32)
     rest = _channels(argb).tolist()
     for y in range(height):
         row, above = rest[y], rest[y - 1] if y else None
@@ -411,10 +440,13 @@ class Writer:
     def pack(self) -> bytes:
         self._flush()
         values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
-        ends = np.cumsum(sizes)
-        within = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
-        bits = np.repeat(values, sizes) >> within.astype(np.uint32) & 1
-        return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+        pieces = []
+        for at in range(0, len(values), 1 << 16):
+            v, n = values[at : at + (1 << 16)], sizes[at : at + (1 << 16)]
+            ends = np.cumsum(n)
+            within = np.arange(ends[-1]) - np.repeat(ends - n, n)
+            pieces.append((np.repeat(v, n) >> within.astype(np.uint32) & 1).astype(np.uint8))
+        return np.packbits(np.concatenate(pieces), bitorder="little").tobytes()
 
 
 def code_lengths(counts: dict[int, int], longest: int) -> dict[int, int]:
@@ -491,28 +523,48 @@ def write_code(w: Writer, counts: dict[int, int], alphabet: int) -> dict[int, tu
     return canonical(lengths)
 
 
-SHORTEST_RUN = 16
+SHORTEST_COPY = 16
 LONGEST_COPY = 4096
+SEED_BYTES = 8  # that a copy must begin with
+FARTHEST = (1 << 20) - len(DISTANCE_MAP)
+
 
+def _tokens(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, copy lengths, distances); length 0 marks a literal.
 
-def _tokens(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, copy lengths) with runs of equal samples as copies at distance one; length 0 marks a literal."""
-    change = np.flatnonzero(samples[1:] != samples[:-1]) + 1
-    starts = np.concatenate(([0], change))
-    sizes = np.diff(np.concatenate((starts, [len(samples)])))
-    long = np.flatnonzero(sizes >= SHORTEST_RUN)
+    Where SEED_BYTES samples stood before, the nearest such place is their source; places in a row with one distance are a copy.
+    """
+    n = len(samples)
+    symbols, none = samples.astype(np.int64), np.zeros(n, np.int64)
+    if n < 2 * SEED_BYTES:
+        return symbols, none, none
+    seeds = np.zeros(n - SEED_BYTES + 1, np.uint64)
+    for k in range(SEED_BYTES):
+        seeds |= samples[k : n - SEED_BYTES + 1 + k].astype(np.uint64) << np.uint64(8 * k)
+    order = np.argsort(seeds, kind="stable")
+    same = np.flatnonzero(seeds[order[1:]] == seeds[order[:-1]])
+    distance = np.zeros(len(seeds), np.int64)
+    distance[order[same + 1]] = order[same + 1] - order[same]
+    distance[distance > FARTHEST] = 0
+    starts = np.concatenate(([0], np.flatnonzero(distance[1:] != distance[:-1]) + 1))
+    sizes = np.diff(np.append(starts, len(distance)))
+    long = np.flatnonzero((distance[starts] > 0) & (sizes + SEED_BYTES - 1 >= SHORTEST_COPY))
     if not len(long):
-        return samples.astype(np.int64), np.zeros(len(samples), np.int64)
-    keep = np.ones(len(samples), bool)
-    lengths = np.zeros(len(samples), np.int64)
-    for i in long.tolist():
-        a, left = int(starts[i]) + 1, int(sizes[i]) - 1
-        keep[a : a + left] = False
-        while left:
-            k = min(left, LONGEST_COPY)
-            keep[a], lengths[a] = True, k
-            a, left = a + k, left - k
-    return samples[keep].astype(np.int64), lengths[keep]
+        return symbols, none, none
+    keep, lengths, distances = np.ones(n, bool), none.copy(), none.copy()
+    done = 0
+    for a, size in zip(starts[long].tolist(), sizes[long].tolist()):
+        end, at = a + size + SEED_BYTES - 1, max(a, done)
+        if end - at < SHORTEST_COPY:
+            continue
+        keep[at:end] = False
+        d = distance[a]
+        while at < end:
+            k = min(end - at, LONGEST_COPY)
+            keep[at], lengths[at], distances[at] = True, k, d
+            at += k
+        done = end
+    return symbols[keep], lengths[keep], distances[keep]
 
 
 def _prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -526,38 +578,84 @@ def _prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbol, np.where(big, v & ((1 << extra) - 1), 0), extra
 
 
-def _write_samples(w: Writer, samples: np.ndarray, alpha: int) -> None:
+def _distance_codes(width: int) -> dict[int, int]:
+    """distance: code, for the distances in the two-dimensional map."""
+    near: dict[int, int] = {}
+    for code, (x, y) in enumerate(DISTANCE_MAP, 1):
+        near.setdefault(max(1, x + y * width), code)
+    return near
+
+
+def _write_symbols(w: Writer, symbols: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+    """Writes the prefix code of symbols; returns each one's code and length."""
+    counts = np.bincount(symbols) if len(symbols) else np.zeros(1, np.int64)
+    used = np.flatnonzero(counts)
+    code, size = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+    for s, (c, n) in write_code(w, dict(zip(used.tolist(), counts[used].tolist())), alphabet).items():
+        if s < len(counts):
+            code[s], size[s] = c, n
+    return code[symbols], size[symbols]
+
+
+def _write_samples(w: Writer, samples: np.ndarray, width: int, alpha: int) -> None:
     """An image stream whose green channel holds the samples; red and blue are zero."""
-    symbols, lengths = _tokens(samples)
+    symbols, lengths, distances = _tokens(samples)
     copied = lengths > 0
     symbol, extra, extra_bits = _prefix_of(lengths[copied])
     symbols[copied] = 256 + symbol
-    counts = np.bincount(symbols)
-    used = np.flatnonzero(counts)
-    codes = write_code(w, dict(zip(used.tolist(), counts[used].tolist())), 256 + LENGTH_CODES)
+    kinds, which = np.unique(distances[copied], return_inverse=True)
+    near = _distance_codes(width)
+    coded = np.array([near.get(d, d + len(DISTANCE_MAP)) for d in kinds.tolist()], np.int64)
+    far, far_extra, far_bits = _prefix_of(coded[which] if len(coded) else np.zeros(0, np.int64))
+    code, size = _write_symbols(w, symbols, 256 + LENGTH_CODES)
     for value in (0, 0, alpha):
         write_code(w, {value: 1}, 256)
-    write_code(w, {1: 1}, DISTANCE_CODES)  # distance code 2 is the sample to the left
-    code, size = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
-    for s, (c, n) in codes.items():
-        if s < len(counts):
-            code[s], size[s] = c, n
-    values, sizes = code[symbols], size[symbols]
-    values[copied] |= extra << sizes[copied]
-    sizes[copied] += extra_bits
-    w.put_all(values, sizes)
+    far_code, far_size = _write_symbols(w, far, DISTANCE_CODES)
+    code[copied] |= extra << size[copied]
+    size[copied] += extra_bits
+    values, sizes = np.zeros((len(symbols), 3), np.int64), np.zeros((len(symbols), 3), np.int64)
+    values[:, 0], sizes[:, 0] = code, size
+    values[copied, 1], sizes[copied, 1] = far_code, far_size
+    values[copied, 2], sizes[copied, 2] = far_extra, far_bits
+    used = sizes.reshape(-1) > 0
+    w.put_all(values.reshape(-1)[used], sizes.reshape(-1)[used])
+
+
+def _constant_image(w: Writer, green: int) -> None:
+    """An image stream of one colour."""
+    w.put(0, 1)
+    for value, alphabet in ((green, 256 + LENGTH_CODES), (0, 256), (0, 256), (0, 256), (0, DISTANCE_CODES)):
+        write_code(w, {value: 1}, alphabet)
+
+
+def residuals(samples: np.ndarray, mode: int) -> np.ndarray:
+    """Samples less what the predictor's mode foresees."""
+    out = samples.copy()
+    out[0, 1:] -= samples[0, :-1]
+    if mode == ABOVE:
+        out[1:] -= samples[:-1]
+    else:
+        out[1:, 0] -= samples[:-1, 0]
+        out[1:, 1:] -= samples[1:, :-1]
+    return out
+
+
+def entropy(samples: np.ndarray) -> float:
+    counts = np.bincount(samples.reshape(-1), minlength=256)
+    p = counts[counts > 0] / samples.size
+    return float(-(p * np.log2(p)).sum())
 
 
 def encode_grey(samples: np.ndarray) -> bytes:
     """A lossless WebP file of height x width 8-bit grey samples, alpha opaque.
 
     Up to 16 different samples become a palette, whose indices share bytes; others are green with
-    red and blue subtracted.
+    red and blue subtracted, and predicted from the left or from above where that lowers their entropy.
     """
     height, width = samples.shape
     w = Writer()
     w.put(0x2F, 8), w.put(width - 1, 14), w.put(height - 1, 14), w.put(0, 1), w.put(0, 3)
-    values = np.unique(samples)
+    values = np.flatnonzero(np.bincount(samples.reshape(-1), minlength=256)).astype(np.uint8)
     w.put(1, 1)
     if len(values) <= 16:
         w.put(PALETTE, 2), w.put(len(values) - 1, 8)
@@ -578,9 +676,15 @@ def encode_grey(samples: np.ndarray) -> bytes:
         alpha = 255
     else:
         w.put(SUBTRACT_GREEN, 2)
-        plane, alpha = samples, 255
+        planes = {0: samples} | {mode: residuals(samples, mode) for mode in (LEFT, ABOVE)}
+        mode = min(planes, key=lambda m: entropy(planes[m]))
+        plane, alpha = planes[mode], 255
+        if mode:
+            w.put(1, 1), w.put(PREDICTOR, 2), w.put(7, 3)  # blocks of 512 x 512
+            _constant_image(w, mode)
+            alpha = 0
     w.put(0, 1), w.put(0, 1), w.put(0, 1)  # no more transforms, no cache, no meta groups
-    _write_samples(w, plane.reshape(-1), alpha)
+    _write_samples(w, plane.reshape(-1), plane.shape[1], alpha)
     body = w.pack()
     odd = bytes(len(body) & 1)
     return b"RIFF" + struct.pack("<I", 12 + len(body) + len(odd)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body + odd

@@ -65,23 +65,28 @@ def edit_class_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def similar_names(a: str, b: str) -> bool:
-    """Spelling variants: as many words, each alike enough and all on average; one word alike but not a mere extension of the other; or alike without spaces."""
+    """Spelling variants, but no extensions of each other by three characters or more.
+
+    Names of as many words, two or more: each word alike (0.62) and all on average (0.8). Else by their letters and digits: with one
+    initial, 0.72 from seven characters on (four more or less at most) or 0.76 from five (two at most); single words with one initial
+    0.68 from seven characters and 0.7 from five, others 0.84, four more or less at most.
+    """
     x, y = a.lower().split(), b.lower().split()
-    if x == y or not x or not y:
+    one, two = (re.sub("[^a-z0-9]+", "", s.lower()) for s in (a, b))
+    if x == y or not one or not two:
         return False
-    one, two = "".join(x), "".join(y)
-    if one == two:
-        return True
-    short, long = sorted((one, two), key=len)
-    if long.startswith(short) and len(long) - len(short) >= 4:
+    more, longest, initial = abs(len(one) - len(two)), max(len(one), len(two)), one[0] == two[0]
+    if (one.startswith(two) or two.startswith(one)) and more >= 3:
         return False
     if len(x) == len(y) > 1:
         each = [ratio(p, q) for p, q in zip(x, y)]
         return min(each) >= 0.62 and sum(each) / len(each) >= 0.80
-    if len(x) == len(y):
-        size = max(len(one), len(two))
-        return ratio(one, two) >= (0.84 if size <= 5 else 0.76 if size <= 8 else 0.68)
-    return ratio(one, two) >= (0.76 if min(len(one), len(two)) < 8 else 0.72)
+    r = ratio(one, two)
+    if initial and (longest >= 7 and more <= 4 and r >= 0.72 or longest >= 5 and more <= 2 and r >= 0.76):
+        return True
+    if len(x) == len(y) == 1:
+        return more <= 4 and r >= (0.68 if initial and longest >= 7 else 0.70 if initial and longest >= 5 else 0.84)
+    return False
 
 
 @F.pandas_udf(T.BooleanType())

@@ -107,22 +107,35 @@ def align_lists(current: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     return current.groupBy(key).cogroup(gold.groupBy(key)).applyInPandas(run, f"{key} {key_type}, {ALIGNED}")
 
 
-def support(wanted: set[str], rows: list[tuple[int, set[str]]], widest: int = 6) -> list[int]:
-    """The smallest neighbouring rows (the first of equally small) that hold all wanted tokens, up to `widest`; else rows chosen greedily by what they add."""
-    for width in range(1, min(widest, len(rows)) + 1):
+def support(tokens: list[str], rows: list[tuple[int, str, set[str]]], ratio: float = 0.25, most: int = 6) -> list[int]:
+    """The smallest neighbouring rows (id, text in lower case, tokens), the first of equally small, whose text holds `ratio` of the tokens; up to `most`.
+
+    Else rows chosen greedily by the tokens that they add, until they hold enough, in the rows' order; none if they never do.
+    """
+
+    def enough(chosen: list[tuple[int, str, set[str]]]) -> bool:
+        text = "\n".join(t for _, t, _ in chosen)
+        return bool(tokens) and sum(t in text for t in tokens) >= ratio * len(tokens)
+
+    for width in range(1, min(most, len(rows)) + 1):
         for at in range(len(rows) - width + 1):
-            if wanted <= set().union(*(t for _, t in rows[at : at + width])):
-                return [i for i, _ in rows[at : at + width]]
-    left, chosen = set(wanted), []
-    while left:
-        add, n, i = max(((len(left & t), -n, i) for n, (i, t) in enumerate(rows)), default=(0, 0, None))
-        if not add:
+            if enough(rows[at : at + width]):
+                return [i for i, _, _ in rows[at : at + width]]
+    left, chosen = set(tokens), []
+    while len(chosen) < min(most, len(rows)):
+        best = max((k for k in range(len(rows)) if k not in chosen), key=lambda k: (len(left & rows[k][2]), -k))
+        if not left & rows[best][2]:
             break
-        chosen.append(i)
-        left -= rows[-n][1]
-    return sorted(chosen)
+        chosen.append(best)
+        left -= rows[best][2]
+        if enough([rows[k] for k in sorted(chosen)]):
+            return [rows[k][0] for k in sorted(chosen)]
+    return []
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def support_udf(wanted: pd.Series, ids: pd.Series, texts: pd.Series) -> pd.Series:
-    return pd.Series([support(set((w or "").lower().split()), [(int(i), set((t or "").lower().split())) for i, t in zip(a, b)]) for w, a, b in zip(wanted, ids, texts)])
+def support_udf(tokens: pd.Series, ids: pd.Series, texts: pd.Series, row_tokens: pd.Series) -> pd.Series:
+    out = []
+    for w, a, b, c in zip(tokens, ids, texts, row_tokens):
+        out.append(support(list(w), [(int(i), t or "", set(k)) for i, t, k in zip(a, b, c)]))
+    return pd.Series(out)

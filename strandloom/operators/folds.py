@@ -6,6 +6,7 @@ amount of state, so no document has to fit into memory.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -75,6 +76,27 @@ def sentence_groups(max_sentences: int, max_duration: float, max_chars: int, eno
     return new
 
 
+def lookback_groups(enough_s: float, most_s: float, max_chars: int, gap_s: float) -> Folder:
+    """Group numbers for (start, end, chars, terminal): a group closes before a gap or what would make it too long, and after a
+    sentence's end once it has lasted long enough."""
+
+    def new() -> Callable[..., int]:
+        group, first, reach, chars, n, over = -1, 0.0, 0.0, 0, 0, True
+
+        def step(start: float, end: float, size: int, terminal: bool) -> int:
+            nonlocal group, first, reach, chars, n, over
+            if over or start - reach > gap_s or end - first > most_s or chars + size + n > max_chars:
+                group, first, reach, chars, n = group + 1, start, end, size, 1
+            else:
+                reach, chars, n = max(reach, end), chars + size, n + 1
+            over = bool(terminal) and reach - first >= enough_s
+            return group
+
+        return step
+
+    return new
+
+
 def capped_islands(gap_s: float, cap_s: float) -> Folder:
     """Island numbers for (start, end, terminal): as islands, and cut once an island has lasted cap_s."""
 
@@ -166,3 +188,30 @@ def within_two_budgets(base: float, cap: float) -> Folder:
         return step
 
     return new
+
+
+_SENTENCE = re.compile(r"(?<=[.!?。！？…])\s*")
+
+
+def chunks(text: str | None, most: int = 420) -> list[str]:
+    """Whole sentences together up to `most` characters; a longer sentence is cut at its last space in the second half, or hard."""
+    flat = " ".join((text or "").split())
+    if len(flat) <= most:
+        return [flat] if flat else []
+    out, held = [], ""
+    for sentence in filter(None, map(str.strip, _SENTENCE.split(flat))):
+        if held and len(held) + 1 + len(sentence) > most:
+            out.append(held)
+            held = ""
+        while len(sentence) > most:
+            at = sentence.rfind(" ", 0, most + 1)
+            at = most if at < most // 2 else at
+            out.append(sentence[:at].strip())
+            sentence = sentence[at:].strip()
+        held = f"{held} {sentence}" if held and sentence else held or sentence
+    return [*out, held] if held else out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def chunks_udf(texts: pd.Series) -> pd.Series:
+    return pd.Series([chunks(t) for t in texts])

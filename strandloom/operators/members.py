@@ -32,6 +32,25 @@ def violations(rows: DataFrame, ids: list[str], rules: dict[str, Column]) -> Dat
     return rows.select(*ids, F.explode(broken).alias("rule"))
 
 
+def edit_candidates(names: DataFrame, name: str, edits: int = 3) -> DataFrame:
+    """Pairs (a, b), a < b, of different names that hold all pairs within so many edits, and few others.
+
+    A name is cut into edits + 1 pieces, one of which any name within the edits has unchanged, shifted by that many places at
+    most. So names meet by (length, piece number, piece), not each with each.
+    """
+    n = edits + 1
+    short = names.select(F.col(name).alias("a"), F.char_length(name).alias("size")).distinct()
+    begin = lambda size, i: F.floor(size * i / n).cast("int")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.alias("i"), begin(F.col("size"), i).alias("at"), (begin(F.col("size"), i + 1) - begin(F.col("size"), i)).alias("n")))
+    left = short.select("a", "size", F.explode(parts).alias("p")).select("a", "size", "p.i", F.substring("a", F.col("p.at") + 1, F.col("p.n")).alias("piece"))
+    sizes = F.filter(F.sequence(F.col("size") - edits, F.col("size") + edits), lambda s: s >= 0)
+    right = short.select(F.col("a").alias("b"), F.explode(sizes).alias("size")).select("b", "size", F.explode(parts).alias("p"))
+    right = right.select("b", "size", "p", F.explode(F.sequence(F.greatest(F.col("p.at") - edits, F.lit(0)), F.col("p.at") + edits)).alias("at"))
+    right = right.select("b", "size", "p.i", F.substring("b", F.col("at") + 1, F.col("p.n")).alias("piece")).distinct()
+    pairs = left.join(right, ["size", "i", "piece"]).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _saved(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the folder that executors share, so that loops start from files."""
     spark = df.sparkSession

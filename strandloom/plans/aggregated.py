@@ -244,20 +244,6 @@ def diverse_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("source", F.col("p.doc_id").alias("d1"), F.col("q.doc_id").alias("d2"), F.col("c.doc_id").alias("d3"))
 
 
-@query("""
-WITH w AS (SELECT b.item_id, unnest(list_distinct(regexp_extract_all(lower(b.text), '[a-zà-ÿ]{6,}'))) AS tok FROM benchmark b),
-d AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]{6,}')) AS tok FROM documents)
-SELECT item_id, count(*) AS n_tokens, count(d.tok) AS n_supported, round(count(d.tok) / count(*), 6) AS ratio FROM w LEFT JOIN d USING (tok) GROUP BY 1
-""")
-def grounding_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The share of each benchmark item's longer words that occur in the corpus."""
-    pattern = F.lit("([a-zà-ÿ]{6,})")
-    w = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), pattern, 1))).alias("tok"))
-    d = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), pattern, 1))).alias("tok")).distinct().withColumn("hit", F.lit(True))
-    j = w.join(d, "tok", "left")
-    return j.groupBy("item_id").agg(F.count("*").alias("n_tokens"), F.count("hit").alias("n_supported"), F.round(F.count("hit") / F.count("*"), 6).alias("ratio"))
-
-
 @query("""
 WITH k AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r, lead(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS nxt FROM part)
 SELECT p_brand, p_partkey, p_retailprice FROM k WHERE r = 1 AND (nxt IS NULL OR p_retailprice - nxt >= 0.08)

@@ -40,11 +40,12 @@ def comparison_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def minimal_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fewest turns of a conversation that hold all words of its first turn's first sentence."""
-    c = table(spark, sf_dir, "conversations")
-    g = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("r"))
-    claim = F.regexp_extract(F.element_at("r.text", 1), r"^([^.]*)", 1)
-    return g.select("conv_id", align.support_udf(claim, "r.turn", "r.text").alias("turns")).select("conv_id", F.size("turns").cast("long").alias("n"), F.array_join(F.transform("turns", lambda x: x.cast("string")), ",").alias("turns"))
+    """The fewest turns of a conversation that support its last turn's first sentence."""
+    rows = F.struct("turn", F.lower("text").alias("low"), text.grounding_tokens(F.col("text")).alias("tokens"), "text")
+    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(rows)).alias("r"))
+    claim = F.regexp_extract(F.element_at("r.text", -1), r"^([^.]*)", 1)
+    turns = align.support_udf(text.grounding_tokens(claim), "r.turn", "r.low", "r.tokens")
+    return g.select("conv_id", turns.alias("turns")).select("conv_id", F.size("turns").cast("long").alias("n"), F.array_join(F.transform("turns", lambda x: x.cast("string")), ",").alias("turns"))
 
 
 @query()
@@ -56,10 +57,20 @@ def edit_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def similar_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of names that look like spellings of one, among those of one first letter."""
-    n = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct().withColumn("k", F.substring("a", 1, 1))
-    pairs = n.join(n.withColumnRenamed("a", "b"), "k").where("a < b")
-    return pairs.where(similarity.similar_names_udf("a", "b")).select("a", "b")
+    """Pairs of names that look like spellings of one; each name stands with a letter left out too.
+
+    Words that are alike enough share two neighbouring letters, so names meet by those: of the same word of names with as many words, or of the
+    whole name from one initial, or of single words.
+    """
+    p = table(spark, sf_dir, "part").select("p_name").distinct()
+    n = p.union(p.select(F.expr("overlay(p_name PLACING '' FROM 4 FOR 1)"))).select(F.col("p_name").alias("a")).distinct()
+    pairs_of = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(w) - 1, F.lit(1))), lambda i: F.substring(w, i, F.lit(2)))
+    words, squeezed = F.split(F.lower("a"), " "), F.regexp_replace(F.lower("a"), "[^a-z0-9]+", "")
+    by_word = F.flatten(F.transform(words, lambda w, i: F.transform(pairs_of(w), lambda g: F.concat_ws("/", F.size(words).cast("string"), i.cast("string"), g))))
+    whole = F.transform(pairs_of(squeezed), lambda g: F.concat_ws("/", F.lit("all"), F.substring(squeezed, 1, 1), g))
+    keyed = n.select("a", F.explode(F.array_distinct(F.concat(by_word, whole))).alias("k"))
+    pairs = keyed.join(keyed.withColumnRenamed("a", "b"), "k").where("a < b").select("a", "b").distinct()
+    return pairs.where(similarity.similar_names_udf("a", "b"))
 
 
 @query()

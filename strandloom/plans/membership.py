@@ -86,15 +86,16 @@ def jaccard_to_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE n AS (SELECT p_name, count(*) AS c FROM part GROUP BY 1), e AS (SELECT a.p_name AS a, b.p_name AS b FROM n a JOIN n b ON a.p_name <> b.p_name AND levenshtein(a.p_name, b.p_name) <= 3 AND substr(a.p_name, 1, 2) = substr(b.p_name, 1, 2)),
+WITH RECURSIVE n AS (SELECT p_name, count(*) AS c FROM (SELECT p_name FROM part UNION ALL SELECT substr(p_name, 2) || 'y' FROM part WHERE p_partkey % 3 = 0) GROUP BY 1), e AS (SELECT a.p_name AS a, b.p_name AS b FROM n a JOIN n b ON a.p_name <> b.p_name AND levenshtein(a.p_name, b.p_name) <= 3),
 r AS (SELECT p_name AS x, p_name AS y FROM n UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y)
 SELECT x AS name, min(y) AS component, arg_max(y, (c, -length(y), y)) AS representative FROM r JOIN n ON n.p_name = y GROUP BY 1
 """)
 def variant_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spelling variants as connected components (three edits, same first two letters), each with its most used form."""
-    n = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("c")).withColumn("block", F.substring("name", 1, 2))
-    a, b = n.select(F.col("name").alias("a"), "block"), n.select(F.col("name").alias("b"), "block")
-    edges = a.join(b, "block").where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b") <= 3)).select("a", "b")
+    """Spelling variants (three edits) as connected components, each with its most used form; some names stand with another spelling too."""
+    p = table(spark, sf_dir, "part")
+    names = p.select(F.col("p_name").alias("name")).union(p.where("p_partkey % 3 = 0").select(F.concat(F.expr("substring(p_name, 2)"), F.lit("y"))))
+    n = names.groupBy("name").agg(F.count("*").alias("c"))
+    edges = members.edit_candidates(n, "name").where(F.levenshtein("a", "b") <= 3)
     labels = members.components(edges)
     of = n.join(labels, n["name"] == labels["node"], "left").select("name", "c", F.coalesce("label", "name").alias("component"))
     best = of.groupBy("component").agg(F.max_by("name", F.struct("c", -F.char_length("name"), "name")).alias("representative"))

@@ -45,11 +45,13 @@ def repeated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)
-SELECT w, CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN substr(w, 1, length(w) - 3) || 'y' WHEN w LIKE '%ing' AND length(w) > 5 THEN substr(w, 1, length(w) - 3) WHEN w LIKE '%ed' AND length(w) > 4 THEN substr(w, 1, length(w) - 2) WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND length(w) > 3 THEN substr(w, 1, length(w) - 1) ELSE w END AS stem FROM w
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents), l AS (SELECT w, lower(w) AS t FROM w),
+s AS (SELECT w, CASE WHEN t LIKE '%ing' AND length(t) > 7 THEN substr(t, 1, length(t) - 3) WHEN t LIKE '%ers' AND length(t) > 7 THEN substr(t, 1, length(t) - 3) WHEN t LIKE '%er' AND length(t) > 6 THEN substr(t, 1, length(t) - 2) WHEN t LIKE '%ed' AND length(t) > 6 THEN substr(t, 1, length(t) - 2) WHEN t LIKE '%ly' AND length(t) > 6 THEN substr(t, 1, length(t) - 2) WHEN t LIKE '%s' AND length(t) > 5 THEN substr(t, 1, length(t) - 1) ELSE t END AS stem FROM l)
+SELECT w, CASE WHEN stem LIKE 'direct%' THEN 'direct' ELSE stem END AS stem FROM s
 """)
 def rough_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    """The words of all documents and their stems."""
+    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), 1)).alias("w")).distinct()
     return w.select("w", text.stem_en(F.col("w")).alias("stem"))
 
 
@@ -172,18 +174,6 @@ def edit_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("a", after).select("doc_id", kind.alias("kind"))
 
 
-@query(r"""
-WITH d AS (SELECT *, len(regexp_extract_all(lower(text), 'tion')) AS fam1, len(regexp_extract_all(lower(text), 'ing ')) AS fam2, regexp_matches(text, '[!|]') AS cue FROM documents)
-SELECT doc_id, array_to_string(list_filter([CASE WHEN fam1 > 0 THEN 'tion' END, CASE WHEN fam2 > 0 THEN 'ing' END], lambda x: x IS NOT NULL), ',') AS families, (fam1 > 0 OR fam2 > 0) AND cue AS worthy FROM d
-""")
-def action_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verb families found in a text, and whether a direct cue goes with them."""
-    low = F.lower("text")
-    one, two = low.contains("tion"), low.contains("ing ")
-    families = F.array_compact(F.array(F.when(one, "tion"), F.when(two, "ing")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(families, ",").alias("families"), ((one | two) & F.col("text").rlike("[!|]")).alias("worthy"))
-
-
 @query(r"""
 SELECT conv_id, turn, replace(replace(replace(replace(text, '\', '\\'), chr(13), '\r'), chr(10), '\n'), '|', '\|') || ' | ' || CASE WHEN length(text) < 60 THEN 'WARN: short' ELSE '' END AS line FROM conversations
 """)

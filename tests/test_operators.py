@@ -51,10 +51,37 @@ def test_monotone_alignment_keeps_order_and_every_row():
 
 
 def test_support_prefers_few_neighbours():
-    rows = [(1, {"a"}), (2, {"b"}), (3, {"a", "b"}), (4, {"c"})]
-    assert align.support({"a", "b"}, rows) == [3]
-    assert align.support({"b", "c"}, rows) == [3, 4]
-    assert align.support({"zz"}, rows) == []
+    rows = [(1, "a", {"a"}), (2, "b", {"b"}), (3, "a b", {"a", "b"}), (4, "c", {"c"})]
+    assert align.support(["a", "b", "x", "y"], rows) == [1]  # a quarter is enough
+    assert align.support(["a", "b"], rows, ratio=1.0) == [3]
+    assert align.support(["b", "c"], rows, ratio=1.0) == [3, 4]
+    assert align.support(["a", "c"], rows[:1] + [(k, "-", set()) for k in range(10, 20)] + rows[3:], ratio=1.0) == [1, 4]
+    assert align.support(["zz"], rows) == [] and align.support([], rows) == []
+
+
+def test_names_are_variants_but_not_extensions():
+    alike = similarity.similar_names
+    assert alike("Cloud Code", "Claude Code") and not alike("Claude", "Claude Code") and not alike("Agent IDE", "Agent Lab")
+    assert alike("Midjourny", "Midjourney") and not alike("Sandy", "Sandy Lee") and alike("Kloud Code", "Cloud Code")
+
+
+def test_edit_candidates_hold_every_pair(spark):
+    rnd = random.Random(6)
+    names = {"".join(rnd.choice("ab") for _ in range(rnd.randint(0, 9))) for _ in range(120)}
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    c = members.edit_candidates(df, "name", 2)
+    got = {tuple(r) for r in c.where(F.levenshtein("a", "b") <= 2).collect()}
+    every = df.select(F.col("name").alias("a")).crossJoin(df.select(F.col("name").alias("b"))).where((F.col("a") < F.col("b")) & (F.levenshtein("a", "b") <= 2))
+    assert got == {tuple(r) for r in every.collect()} and got
+
+
+def test_chunks_by_definition():
+    rnd = random.Random(2)
+    for _ in range(40):
+        text = " ".join("x" * rnd.randint(1, 60) + rnd.choice(["", "", "", "."]) for _ in range(rnd.randint(0, 40))) + "y" * rnd.choice([0, 900])
+        got = folds.chunks(text, 100)
+        assert all(0 < len(c) <= 100 for c in got) and "".join("".join(got).split()) == "".join(text.split())
+    assert folds.chunks("a. b. c.", 5) == ["a. b.", "c."] and folds.chunks(None) == []
 
 
 def test_clock(spark):
@@ -68,11 +95,6 @@ def test_glossary(spark):
     assert [tuple(r) for r in parsed] == [("a", "b", "medium"), ("c", "d", "high"), ("f", "g", "medium")]
 
 
-def test_polite_sentences(spark):
-    assert one(spark, text.is_polite(F.lit("안녕하세요. 반갑습니다!"))) is True
-    assert one(spark, text.is_polite(F.lit("안녕하세요. 간다."))) is False
-
-
 def test_korean_particles(spark):
     words = ["학교에서", "책을", "책"]
     assert [one(spark, text.strip_particle(F.lit(w))) for w in words][2] == "책"

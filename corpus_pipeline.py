@@ -18,30 +18,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import decontaminate, mixture, quality, sharding, simhash
-from strandloom.llm.common import cut
+from strandloom.llm.common import cut, fresh
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores ACCEPT or more, with all their columns.
+
+    Null, empty and very long texts are scored like others; equal texts and repeated rows share a fate. A table without labelled rows of both kinds keeps
+    all its rows, an empty table stays empty. Columns of any name are kept as they are.
+    """
     ranker = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(quality.score(F.col("text"), ranker) >= quality.ACCEPT)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each SimHash group: that of the smallest doc_id, null last; ties go to the smallest text hash, and of equal rows one stays.
+
+    Null and empty texts have fingerprint zero and link like any other. Columns of any name are kept as they are.
+    """
     return simhash.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    marked = decontaminate.mark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out="_hits")
-    return marked.where(F.size("_hits.spans") == 0).select(*docs.columns)
+    """Rows whose text holds no window of a benchmark item, whole or within a very long text; repeated rows share a fate.
+
+    Null and empty texts have no words and stay. Columns of any name are kept as they are.
+    """
+    (hits,) = fresh(docs, "hits")
+    marked = decontaminate.mark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), out=hits)
+    return marked.where(F.size(f"{hits}.spans") == 0).drop(hits)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixture.mix(docs).where("copies > 0")
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).drop("_copy")
+    """Rows as often as the mix takes them: not at all, once or twice.
+
+    Null is a source of its own. Rows without words, null texts among them, are taken about as often as the shortest of their source; rows equal in
+    doc_id, source and text are drawn together. Columns of any name, those that the operator adds as well, keep the input's values.
+    """
+    size, of, target, copies = "size", "source_size", "target", "copies"
+    kept = dict(zip((c for c in docs.columns if c.lower() in {size, of, target, copies}), fresh(docs, size, of, target, copies)))
+    mixed = mixture.mix(docs.withColumnsRenamed(kept)).where("copies > 0")
+    (copy,) = fresh(mixed, "copy")
+    repeated = mixed.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies")))).drop(copy, size, of, target, copies)
+    return repeated.withColumnsRenamed({v: k for k, v in kept.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.assign(docs).drop("row_no")
+    """All rows, repeated ones too, with shard and slot, which replace columns so named; null, empty and very long texts are rows like others."""
+    kept = dict(zip((c for c in docs.columns if c.lower() == "row_no"), fresh(docs, "row_no")))
+    placed = sharding.assign(docs.withColumnsRenamed(kept)).drop("row_no")
+    return placed.withColumnsRenamed({v: k for k, v in kept.items()})
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.operators.members import edit_candidates
+
 
 def asof(rows: DataFrame, marks: DataFrame, key: str, at: str, tie: str, values: list[str], first_if_none: bool = False) -> DataFrame:
     """rows with the values of the latest mark at or before them (marks have the columns key, at and values).
@@ -65,8 +67,8 @@ def unique_best(pairs: DataFrame, key: list[str], order: list[Column], ties: lis
 
 
 def near_names(left: DataFrame, right: DataFrame, left_name: str, right_name: str, most: int) -> DataFrame:
-    """Pairs of names of one length (the block) and at most `most` edits, but not equal: with the distance."""
-    a = left.withColumn("_len", F.char_length(left_name))
-    b = right.withColumn("_len", F.char_length(right_name))
-    pairs = a.join(b, "_len").withColumn("distance", F.levenshtein(left_name, right_name, most))
-    return pairs.where("distance > 0").drop("_len")
+    """Pairs of names of one length and at most `most` edits, but not equal: with the distance. Names meet by pieces that the edits leave whole."""
+    names = left.select(F.col(left_name).alias("name")).union(right.select(F.col(right_name).alias("name")))
+    near = edit_candidates(names, "name", most).where(F.char_length("a") == F.char_length("b")).withColumn("distance", F.levenshtein("a", "b", most)).where("distance > 0")
+    both = near.select("a", "b", "distance").union(near.select("b", "a", "distance"))
+    return left.join(both, left[left_name] == both["a"]).join(right, F.col("b") == right[right_name]).drop("a", "b")

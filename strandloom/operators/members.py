@@ -51,7 +51,7 @@ def edit_candidates(names: DataFrame, name: str, edits: int = 3) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the folder that executors share, so that loops start from files."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -65,13 +65,13 @@ def _saved(df: DataFrame, name: str) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) with the smallest node of each component of the edges (a, b): labels spread to neighbours and jump to their label's label until none changes."""
-    both = _saved(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = _saved(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    both = saved(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = saved(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("label").alias("near"))
         spread = labels.join(near, F.col("node") == F.col("a"), "left").select("node", "label", F.least("label", "near").alias("new"))
         jump = spread.select(F.col("node").alias("_n"), F.col("new").alias("_l"))
-        moved = _saved(spread.join(jump, F.col("new") == F.col("_n"), "left").select("node", "label", F.least("new", "_l").alias("new")), "labels")
+        moved = saved(spread.join(jump, F.col("new") == F.col("_n"), "left").select("node", "label", F.least("new", "_l").alias("new")), "labels")
         if moved.where("label <> new").isEmpty():
             return moved.select("node", "label")
         labels = moved.select("node", F.col("new").alias("label"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.operators import members
 from strandloom.plans.registry import query
 from strandloom.plans.tables import SEG, segments, table
 
@@ -181,7 +182,7 @@ def recommendation_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FEATURES = f"""
-t AS (SELECT source, doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS tok FROM documents WHERE n_chars <= 4000),
+t AS (SELECT source, doc_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS tok FROM documents),
 f AS (SELECT DISTINCT source, doc_id, 'word:' || tok AS f FROM t UNION SELECT DISTINCT source, doc_id, 'char:' || substr(tok, i, k) FROM t, unnest([2, 3]) AS s(k), unnest(range(1, length(tok) - k + 2)) AS p(i)),
 n AS (SELECT source, f, count(*) AS df FROM f GROUP BY 1, 2), rows AS (SELECT source, count(DISTINCT doc_id) AS n_rows FROM f GROUP BY 1),
 c AS (SELECT f.source, doc_id, sum(df - 1)::BIGINT AS shared, count(*) AS n_features FROM f JOIN n USING (source, f) GROUP BY 1, 2),
@@ -189,20 +190,23 @@ s AS (SELECT c.source, doc_id, CASE WHEN n_rows = 1 THEN 1.0 ELSE shared / (n_fe
 
 
 def _centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much each short document shares its source's words and two- and three-letter pieces.
+    """How much each document shares its source's words and two- and three-letter pieces.
 
-    Features are counted per source with partial sums; a feature that nearly all rows have is one row of the counts.
+    Features are counted by hash per source with partial sums; a feature that nearly all rows have is one row of the counts. Pieces are
+    made once for each different word of the corpus, and the result is written, as several branches read it.
     """
-    d = table(spark, sf_dir, "documents").where("n_chars <= 4000").select("source", "doc_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), 1)).alias("toks"))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"), 1))).alias("tok"))
 
     def pieces(k: int):
-        whole = F.filter("toks", lambda t: F.char_length(t) >= k)
-        return F.flatten(F.transform(whole, lambda t: F.transform(F.sequence(F.lit(1), F.char_length(t) - (k - 1)), lambda i: F.concat(F.lit("char:"), t.substr(i, F.lit(k))))))
+        at = F.sequence(F.lit(1), F.greatest(F.char_length("tok") - (k - 1), F.lit(1)))
+        return F.when(F.char_length("tok") >= k, F.transform(at, lambda i: F.xxhash64(F.lit("char:"), F.substring("tok", i, F.lit(k))))).otherwise(F.array().cast("array<bigint>"))
 
-    features = F.array_distinct(F.concat(F.transform("toks", lambda t: F.concat(F.lit("word:"), t)), pieces(2), pieces(3)))
-    f = d.select("source", "doc_id", F.explode(features).alias("f"))
+    known = d.select("tok").distinct().select("tok", F.concat(F.array(F.xxhash64(F.lit("word:"), "tok")), pieces(2), pieces(3)).alias("fs"))
+    f = d.join(known, "tok").groupBy("source", "doc_id").agg(F.array_distinct(F.flatten(F.collect_list("fs"))).alias("fs")).select("source", "doc_id", F.explode("fs").alias("f"))
+    f = members.saved(f, "features")
     n = f.groupBy("source", "f").agg(F.count("*").alias("df"))
     c = f.join(n, ["source", "f"]).groupBy("source", "doc_id").agg(F.sum(F.col("df") - 1).alias("shared"), F.count("*").alias("n_features"))
+    c = members.saved(c, "centrality")
     rows = c.groupBy("source").agg(F.count("*").alias("n_rows"))
     score = F.when(F.col("n_rows") == 1, 1.0).otherwise(F.col("shared") / (F.col("n_features") * (F.col("n_rows") - 1)))
     i = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1

@@ -266,7 +266,7 @@ _ROLES = ("promotion", "giveaway", "broadcast_ops", "small_talk", "off_topic", "
 
 @query(f"""
 WITH t AS (SELECT l_orderkey AS id, l_linenumber AS nth, CASE WHEN l_suppkey % 5 = 0 THEN l_linenumber - 1 ELSE l_linenumber END AS start, CASE WHEN l_returnflag = 'N' THEN 'learning' WHEN l_returnflag = 'A' THEN 'non_learning' ELSE 'other' END AS class, CASE l_partkey % 4 WHEN 0 THEN 'promotion' WHEN 1 THEN 'small_talk' WHEN 2 THEN 'music' END AS role FROM lineitem),
-m AS (SELECT id, count(*) AS n FROM t GROUP BY 1), s AS (SELECT t.*, n, lag(start) OVER w AS before, lag(class) OVER w AS class_before, row_number() OVER w AS k, count(*) OVER (PARTITION BY t.id, start ORDER BY nth) AS seen FROM t JOIN m USING (id) WHERE n >= 2 WINDOW w AS (PARTITION BY t.id ORDER BY nth)),
+m AS (SELECT id, count(*) AS n FROM t GROUP BY 1), s AS (SELECT t.*, n, lag(start) OVER w AS before, lag(class) OVER w AS class_before, row_number() OVER w AS k, count(*) OVER (PARTITION BY t.id, start ORDER BY nth) AS seen FROM t JOIN m USING (id) WHERE n >= 2 WINDOW w AS (PARTITION BY t.id ORDER BY nth, start, class, coalesce(role, ''))),
 e AS (SELECT id, nth, unnest([CASE WHEN seen > 1 THEN 'duplicate_start_utterance_id' END, CASE WHEN start < 1 OR start > n THEN 'start_outside_candidate' END, CASE WHEN k = 1 AND start <> 1 AND start BETWEEN 1 AND n THEN 'first_transition_must_start_at_candidate_start' END, CASE WHEN start BETWEEN 1 AND n AND start <= before THEN 'starts_not_strictly_increasing' END, CASE WHEN class = 'other' THEN 'unsupported_class' END, CASE WHEN class = class_before AND class <> 'other' THEN 'consecutive_classes_must_alternate' END, CASE WHEN class = 'learning' AND role IS NOT NULL THEN 'learning_transition_forbids_role' END, CASE WHEN class = 'non_learning' AND coalesce(role, '') NOT IN {_ROLES} THEN 'non_learning_role_must_be_allowed' END]) AS rule FROM s)
 SELECT id, nth, rule FROM e WHERE rule IS NOT NULL
 UNION ALL SELECT id, 0, 'mixed_transitions_must_have_at_least_two_items' FROM m WHERE n < 2
@@ -279,7 +279,7 @@ def role_audit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     role = F.when(F.col("l_partkey") % 4 == 0, "promotion").when(F.col("l_partkey") % 4 == 1, "small_talk").when(F.col("l_partkey") % 4 == 2, "music")
     start = F.when(F.col("l_suppkey") % 5 == 0, F.col("l_linenumber") - 1).otherwise(F.col("l_linenumber"))
     t = l.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("nth"), start.alias("start"), kind.alias("class"), role.alias("role"))
-    w = Window.partitionBy("id").orderBy("nth")
+    w = Window.partitionBy("id").orderBy("nth", "start", "class", F.coalesce("role", F.lit("")))
     s = t.withColumns({"n": F.count("*").over(Window.partitionBy("id")), "before": F.lag("start").over(w), "class_before": F.lag("class").over(w), "k": F.row_number().over(w), "seen": F.count("*").over(Window.partitionBy("id", "start").orderBy("nth"))})
     within = F.col("start").between(1, F.col("n"))
     c = F.col("class")

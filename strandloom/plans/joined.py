@@ -145,19 +145,19 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH s AS (SELECT DISTINCT l_suppkey, l_partkey % 97 AS e FROM lineitem WHERE l_quantity >= 48), p AS (SELECT DISTINCT p_size, p_partkey % 97 AS e FROM part),
+WITH s AS (SELECT DISTINCT l_suppkey, l_partkey AS e FROM lineitem), p AS (SELECT DISTINCT p_size, p_partkey AS e FROM part),
 c AS (SELECT l_suppkey, p_size, count(*) AS n_common FROM s JOIN p USING (e) GROUP BY 1, 2), n AS (SELECT l_suppkey, count(*) AS n FROM s GROUP BY 1),
 r AS (SELECT *, rank() OVER (PARTITION BY l_suppkey ORDER BY n_common DESC) AS k, count(*) OVER (PARTITION BY l_suppkey, n_common) AS ties FROM c JOIN n USING (l_suppkey))
-SELECT l_suppkey, p_size, n_common FROM r WHERE k = 1 AND ties = 1 AND n_common / n >= 0.25
+SELECT l_suppkey, p_size, n_common FROM r WHERE k = 1 AND ties = 1 AND n_common / n >= 0.02
 """)
 def max_overlap_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The size group whose parts a supplier's large lines share most: none at a tie or under a quarter."""
-    s = table(spark, sf_dir, "lineitem").where("l_quantity >= 48").select("l_suppkey", (F.col("l_partkey") % 97).alias("e"))
-    p = table(spark, sf_dir, "part").select("p_size", (F.col("p_partkey") % 97).alias("e"))
+    """The size group whose parts a supplier's lines share most: none at a tie or under a fiftieth."""
+    s = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("e"))
+    p = table(spark, sf_dir, "part").select("p_size", F.col("p_partkey").alias("e"))
     n = s.groupBy("l_suppkey").agg(F.count_distinct("e").alias("n"))
     pairs = joins.set_overlaps(s, p, "e", "l_suppkey", "p_size").join(n, "l_suppkey")
     best = joins.unique_best(pairs, ["l_suppkey"], [F.desc("n_common"), F.col("p_size")], [F.col("n_common")])
-    return best.where("n_common / n >= 0.25").select("l_suppkey", "p_size", "n_common")
+    return best.where("n_common / n >= 0.02").select("l_suppkey", "p_size", "n_common")
 
 
 _SETS = "s AS (SELECT l_orderkey, list_sort(list(DISTINCT l_suppkey)) AS ids FROM lineitem GROUP BY 1)"
@@ -171,13 +171,13 @@ def set_equality_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem WHERE l_quantity >= 40), n AS (SELECT o, count(*) AS n FROM e GROUP BY 1),
+WITH e AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem), n AS (SELECT o, count(*) AS n FROM e GROUP BY 1),
 c AS (SELECT a.o AS a, b.o AS b, count(*) AS n_common FROM e a JOIN e b ON a.s = b.s AND a.o < b.o AND a.o // 64 = b.o // 64 GROUP BY 1, 2)
 SELECT a, b, n_common FROM c JOIN n x ON x.o = a JOIN n y ON y.o = b WHERE n_common / least(x.n, y.n) >= 0.5
 """)
 def pairwise_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of sections of one document (64 orders) that share half of the smaller one's members."""
-    e = table(spark, sf_dir, "lineitem").where("l_quantity >= 40").selectExpr("l_orderkey AS o", "l_suppkey AS s").distinct()
+    e = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS o", "l_suppkey AS s").distinct()
     n = e.groupBy("o").agg(F.count("*").alias("n"))
     e = e.withColumn("doc", F.expr("o div 64"))
     c = e.withColumnRenamed("o", "a").join(e.withColumnRenamed("o", "b"), ["doc", "s"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_common"))

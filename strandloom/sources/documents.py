@@ -86,35 +86,36 @@ def publish(rows: DataFrame, path: str, force: bool = False) -> None:
     rows.write.mode("overwrite" if force else "errorifexists").json(path)
 
 
-def publish_together(targets: dict[str, DataFrame]) -> None:
-    """Writes several tables and puts all in place, or none: first beside their targets, then by renaming, undone if a rename fails."""
+CATALOGUE = "version long, name string, path string"
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """(version, name, path) of all that was published into a folder."""
+    return spark.read.schema(CATALOGUE).json(f"{folder}/catalogue")
+
+
+def publish_together(targets: dict[str, DataFrame], folder: str) -> int:
+    """Writes several tables as one version, which readers see as a whole or not at all; returns the version.
+
+    The tables go to folders of their own first. The version then comes into being by one small file added to the catalogue, so a
+    failure before that leaves all that was published as it was.
+    """
     spark = next(iter(targets.values())).sparkSession
-    jvm = spark._jvm.org.apache.hadoop.fs
     tag = uuid.uuid4().hex
-    files = {p: jvm.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()) for p in targets}
-    done: list[str] = []
-    try:
-        for path, rows in targets.items():
-            rows.write.json(f"{path}.new-{tag}")
-        for path, fs in files.items():
-            target = jvm.Path(path)
-            if fs.exists(target) and not fs.rename(target, jvm.Path(f"{path}.old-{tag}")):
-                raise OSError(f"cannot move {path}")
-            done.append(path)
-            if not fs.rename(jvm.Path(f"{path}.new-{tag}"), target):
-                raise OSError(f"cannot replace {path}")
-    except Exception:
-        for path in done:
-            fs, old = files[path], jvm.Path(f"{path}.old-{tag}")
-            if fs.exists(jvm.Path(path)):
-                fs.delete(jvm.Path(path), True)
-            if fs.exists(old):
-                fs.rename(old, jvm.Path(path))
-        for path, fs in files.items():
-            fs.delete(jvm.Path(f"{path}.new-{tag}"), True)
-        raise
-    for path, fs in files.items():
-        fs.delete(jvm.Path(f"{path}.old-{tag}"), True)
+    paths = {name: f"{folder}/{name}/{tag}" for name in targets}
+    for name, rows in targets.items():
+        rows.write.json(paths[name])
+    empty = spark.createDataFrame([], CATALOGUE)
+    empty.write.mode("append").json(f"{folder}/catalogue")
+    version = (published(spark, folder).agg(F.max("version")).first()[0] or 0) + 1
+    spark.createDataFrame([(version, n, p) for n, p in paths.items()], CATALOGUE).coalesce(1).write.mode("append").json(f"{folder}/catalogue")
+    return version
+
+
+def read_published(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """The newest version of a table that was published into a folder."""
+    newest = published(spark, folder).where(F.col("name") == name).orderBy(F.desc("version")).first()
+    return spark.read.schema(schema).json(newest["path"])
 
 
 def report_lines(violations: DataFrame, ids: list[str]) -> DataFrame:

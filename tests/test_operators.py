@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.functions import clock, similarity, text
+from strandloom.functions import clock, repairs, similarity, text
 from strandloom.operators import align, folds, islands, joins, members, rules
 from strandloom.plans import aligned
 from strandloom.sources import documents
@@ -154,8 +154,31 @@ def test_publish_refuses_to_overwrite(spark, tmp_path):
         documents.publish(rows, str(tmp_path / "out"))
     documents.publish(spark.range(3), str(tmp_path / "out"), force=True)
     assert spark.read.json(str(tmp_path / "out")).count() == 3
-    documents.publish_together({str(tmp_path / "out"): spark.range(4), str(tmp_path / "new"): spark.range(1)})
-    assert [spark.read.json(str(tmp_path / p)).count() for p in ("out", "new")] == [4, 1]
+
+
+def test_versions_are_published_whole(spark, tmp_path):
+    folder = f"file://{tmp_path}/published"
+    assert documents.publish_together({"a": spark.range(4), "b": spark.range(1)}, folder) == 1
+    broken = spark.range(2).select(F.raise_error(F.lit("broken")).cast("string").alias("id"))
+    with pytest.raises(Exception, match="broken"):
+        documents.publish_together({"a": spark.range(9), "b": broken}, folder)
+    assert documents.read_published(spark, folder, "a", "id long").count() == 4
+    assert documents.publish_together({"a": spark.range(5), "b": spark.range(2)}, folder) == 2
+    assert [documents.read_published(spark, folder, n, "id long").count() for n in ("a", "b")] == [5, 2]
+
+
+def test_cleanup_by_hand(spark):
+    texts = ["[음악] 어 좀 어 좀 그냥 음 그 그 그 말", "어떤 A/B 시험 A 음", "요런 것 끝나는게 좋다 .", "감나  뽑는 무드을"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")
+    out, n = repairs.cleaned_up(F.col("t"))
+    got = [(r["o"], r["n"]) for r in df.orderBy("i").select(out.alias("o"), n.alias("n")).collect()]
+    assert got == [("그냥 그 말", 4), ("어떤 A/B 시험", 2), ("이런 것 끝나는 게 좋다.", 2), ("누구나 뽑는 무드를", 2)]
+
+
+def test_literal_targets_by_hand(spark):
+    said = F.lit("Please click Save As and then say go, ok say Go. I say it, it. {slash} command launch preview and edit")
+    assert one(spark, repairs.literal_targets(said)) == ["launch preview", "Save As", "go", "Go"]
+    assert one(spark, repairs.ownership(F.lit("Code by Acme"))) == "Acme's Code"
 
 
 def test_gap_sessions_on_a_stream(spark, tmp_path):

@@ -9,17 +9,10 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Where that is unset, a local session uses /tmp/checkpoints and any other one a folder in the
-    warehouse, which a cluster shares too.
-    """
+    """The folder all executors share: ``spark.checkpoint.dir``, or one below the warehouse where that is unset."""
     if configured := spark.conf.get("spark.checkpoint.dir", None):
         return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if spark.sparkContext.master.startswith("local["):
-        return f"file:///tmp/checkpoints/{app}"
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints/{app}"
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints/{spark.sparkContext.applicationId}"
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

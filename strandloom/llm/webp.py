@@ -12,6 +12,7 @@ as grey samples have one channel; the decoder knows them.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import struct
 from collections import Counter
@@ -52,8 +53,10 @@ class Bits:
         return int.from_bytes(self.data[at >> 3 : (at >> 3) + 8], "little") >> (at & 7) & ((1 << n) - 1)
 
 
-def _reversed(code: int, n: int) -> int:
-    return int(f"{code:0{n}b}"[::-1], 2) if n else 0
+_LONGEST_CODE = 15
+_BACKWARDS = [0]  # each number of _LONGEST_CODE bits with its bits in the other order
+for _k in range(_LONGEST_CODE):
+    _BACKWARDS += [x | 1 << (_LONGEST_CODE - 1 - _k) for x in _BACKWARDS]
 
 
 def canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
@@ -61,7 +64,7 @@ def canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
     out, code, last = {}, 0, 0
     for n, s in sorted((n, s) for s, n in lengths.items() if n):
         code <<= n - last
-        out[s] = (_reversed(code, n), n)
+        out[s] = (_BACKWARDS[code] >> (_LONGEST_CODE - n), n)
         code, last = code + 1, n
     return out
 
@@ -578,6 +581,7 @@ def _prefix_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbol, np.where(big, v & ((1 << extra) - 1), 0), extra
 
 
+@functools.cache
 def _distance_codes(width: int) -> dict[int, int]:
     """distance: code, for the distances in the two-dimensional map."""
     near: dict[int, int] = {}
@@ -601,24 +605,28 @@ def _write_samples(w: Writer, samples: np.ndarray, width: int, alpha: int) -> No
     """An image stream whose green channel holds the samples; red and blue are zero."""
     symbols, lengths, distances = _tokens(samples)
     copied = lengths > 0
+    if not copied.any():
+        code, size = _write_symbols(w, symbols, 256 + LENGTH_CODES)
+        for value, alphabet in ((0, 256), (0, 256), (alpha, 256), (0, DISTANCE_CODES)):
+            write_code(w, {value: 1}, alphabet)
+        w.put_all(code, size)
+        return
     symbol, extra, extra_bits = _prefix_of(lengths[copied])
     symbols[copied] = 256 + symbol
     kinds, which = np.unique(distances[copied], return_inverse=True)
     near = _distance_codes(width)
     coded = np.array([near.get(d, d + len(DISTANCE_MAP)) for d in kinds.tolist()], np.int64)
-    far, far_extra, far_bits = _prefix_of(coded[which] if len(coded) else np.zeros(0, np.int64))
+    far, far_extra, far_bits = _prefix_of(coded[which])
     code, size = _write_symbols(w, symbols, 256 + LENGTH_CODES)
     for value in (0, 0, alpha):
         write_code(w, {value: 1}, 256)
     far_code, far_size = _write_symbols(w, far, DISTANCE_CODES)
     code[copied] |= extra << size[copied]
     size[copied] += extra_bits
-    values, sizes = np.zeros((len(symbols), 3), np.int64), np.zeros((len(symbols), 3), np.int64)
-    values[:, 0], sizes[:, 0] = code, size
-    values[copied, 1], sizes[copied, 1] = far_code, far_size
-    values[copied, 2], sizes[copied, 2] = far_extra, far_bits
-    used = sizes.reshape(-1) > 0
-    w.put_all(values.reshape(-1)[used], sizes.reshape(-1)[used])
+    # after each copied symbol its distance's code and extra bits
+    at = np.flatnonzero(copied) + 1
+    both = np.repeat(at, 2)
+    w.put_all(np.insert(code, both, np.stack((far_code, far_extra), 1).reshape(-1)), np.insert(size, both, np.stack((far_size, far_bits), 1).reshape(-1)))
 
 
 def _constant_image(w: Writer, green: int) -> None:

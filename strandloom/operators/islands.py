@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from strandloom.operators import members
+
 
 def ordered(key: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*key).orderBy(*order)
@@ -102,3 +104,18 @@ def merge_pairs(rows: DataFrame, key: list[str], order: list[str], joins_next: C
     marked = marked.withColumn("_nth", nth)
     head = F.col("_join") & (F.col("_nth") % 2 == 1)
     return marked.withColumn("takes_next", head).withColumn("is_taken", F.coalesce(F.lag("takes_next").over(spec), F.lit(False))).drop("_join", "_stop", "_nth")
+
+
+def numbered_within(rows: DataFrame, key: str, order: list, out: str = "nth") -> DataFrame:
+    """rows with 1, 2, 3, ... in order within each key, however many rows a key has.
+
+    Rows are range-partitioned by key and order, so a hot key spreads over partitions; each is numbered on its own, after
+    the counts of the key's partitions before it.
+    """
+    placed = members.saved(rows.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "numbered")
+    counts = placed.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_at")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_key", "_at", before.alias("_before"))
+    joined = placed.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")))
+    within = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
+    return joined.withColumn(out, F.col("_before") + within).drop("_part", "_key", "_at", "_n", "_before")

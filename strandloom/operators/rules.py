@@ -66,3 +66,21 @@ def apply_rules(rows: DataFrame, rules: list[Rule], text: str = "text", out: str
         logs.append(F.transform(F.array_distinct(found), _entry(i, rule, found)))
         current = F.regexp_replace(current, rule.regex, re.sub(r"([\\$])", r"\\\1", rule.replacement) if rule.kind == "literal" else rule.replacement)
     return rows.withColumns({out: current, log: F.concat(*logs) if logs else F.array()})
+
+
+def _match(i: int):
+    return lambda raw: F.struct(F.lit(i).alias("rule"), raw.alias("raw"))
+
+
+def change_log(rows: DataFrame, ids: list[str], rules: list[Rule], text: str = "text") -> DataFrame:
+    """(ids, rule, raw, n, confidence, status): how often each rule changed each different match. Matches are counted per task before they are shuffled."""
+    current, found = F.col(text), []
+    for i, rule in enumerate(rules):
+        if not rule.valid():
+            continue
+        matches = F.regexp_extract_all(current, F.lit(f"({rule.regex})"), 1)
+        found.append(F.transform(matches, _match(i)))
+        current = F.regexp_replace(current, rule.regex, re.sub(r"([\\$])", r"\\\1", rule.replacement) if rule.kind == "literal" else rule.replacement)
+    counted = rows.select(*ids, F.explode(F.concat(*found)).alias("m")).groupBy(*ids, "m.rule", "m.raw").agg(F.count("*").alias("n"))
+    confidence = F.element_at(F.array(*[F.lit(r.confidence) for r in rules]), F.col("rule") + 1)
+    return counted.withColumn("confidence", confidence).withColumn("status", F.when(F.col("confidence") == "high", "auto_approved").otherwise("needs_review"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.operators import members
+from strandloom.operators import islands, members
 from strandloom.plans.registry import query
 from strandloom.plans.tables import SEG, segments, table
 
@@ -209,8 +209,8 @@ def _centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = members.saved(c, "centrality")
     rows = c.groupBy("source").agg(F.count("*").alias("n_rows"))
     score = F.when(F.col("n_rows") == 1, 1.0).otherwise(F.col("shared") / (F.col("n_features") * (F.col("n_rows") - 1)))
-    i = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return c.join(rows, "source").select("source", "doc_id", score.alias("centrality"), i.alias("i"), "n_rows")
+    numbered = islands.numbered_within(c, "source", ["doc_id"]).join(rows, "source")
+    return numbered.select("source", "doc_id", score.alias("centrality"), (F.col("nth") - 1).alias("i"), "n_rows")
 
 
 @query(f"""

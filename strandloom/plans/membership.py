@@ -244,8 +244,8 @@ def manual_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "labels").where("toxic = 0").select("doc_id", F.col("quality").alias("edit"))
     j = table(spark, sf_dir, "documents").select("doc_id", "source").join(e, "doc_id", "left")
     changed = F.coalesce(F.col("edit") == 0, F.lit(False))
-    nth = F.row_number().over(Window.partitionBy("source", changed).orderBy("doc_id"))
-    return j.select("doc_id", F.when(changed, "edited").otherwise("kept").alias("state"), F.when(changed, F.format_string("ED-%05d", nth)).alias("change_id"))
+    edited = islands.numbered_within(j.where(changed).select("doc_id", "source"), "source", ["doc_id"]).select("doc_id", F.format_string("ED-%05d", "nth").alias("change_id"))
+    return j.join(edited, "doc_id", "left").select("doc_id", F.when(changed, "edited").otherwise("kept").alias("state"), "change_id")
 
 
 @query("""

@@ -10,7 +10,7 @@ from strandloom.operators import folds, islands
 from strandloom.plans.registry import query
 from strandloom.plans.tables import CHAP, SEG, chapters, segments, table
 
-GAP = 21600.0  # the reference's 2.5 s between captions, at the pace of events: six hours
+GAP = 21600.0  # the definition's 2.5 s between captions, at the pace of events: six hours
 CAP = 259200.0
 U, E = ["user_id"], ["start_s", "event_id"]
 
@@ -220,8 +220,8 @@ def batch_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT source, doc_id, ((row_number() OVER (PARTITION BY source ORDER BY doc_id)) - 1) // 6 AS batch FROM documents")
 def fixed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of six."""
-    nth = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, sf_dir, "documents").select("source", "doc_id", F.floor((nth - 1) / 6).alias("batch"))
+    rows = islands.numbered_within(table(spark, sf_dir, "documents").select("source", "doc_id"), "source", ["doc_id"])
+    return rows.select("source", "doc_id", F.floor((F.col("nth") - 1) / 6).alias("batch"))
 
 
 _CLUSTER = f"""{SEG}, t AS (SELECT user_id, event_id, start_s - 1800 AS s, end_s + 1800 AS e, value FROM seg WHERE event_type IN ('error', 'purchase')),

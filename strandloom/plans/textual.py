@@ -148,8 +148,7 @@ def canonicalise_aliases_with_log(spark: SparkSession, sf_dir: str) -> DataFrame
     """The change log of the rules, one row for each rule and different match, with running ids."""
     from strandloom.operators.islands import numbered_ids
 
-    out = rules.apply_rules(table(spark, sf_dir, "documents"), RULES)
-    log = out.select("doc_id", F.explode("changes").alias("c")).select("doc_id", "c.rule", "c.raw", F.col("c.n").cast("long").alias("n"), "c.status")
+    log = rules.change_log(table(spark, sf_dir, "documents"), ["doc_id"], RULES)
     return numbered_ids(log, ["doc_id"], ["rule", "raw"], "NM-", 5, "change_id").select("doc_id", "change_id", "rule", "raw", "n", "status")
 
 

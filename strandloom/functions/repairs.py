@@ -83,3 +83,37 @@ def rich_parts(line: Column) -> Column:
     found = F.regexp_extract_all(line, F.lit(r"(`[^`]+`|(?:[^`]|`(?![^`]+`))+)"), 1)
     code = lambda c: c.rlike("(?s)^`[^`]+`$")
     return F.transform(found, lambda c: F.struct(F.when(code(c), "code").otherwise("text").alias("kind"), F.when(code(c), F.regexp_replace(c, "`", "")).otherwise(c).alias("value")))
+
+
+#: What an output must keep of its source. Numbers may have a currency before and a unit behind.
+URL = r"(https?://\S+|www\.\S+)"
+FILE = r"\b([\w@+.-]+\.(?:md|markdown|json|csv|txt|py|js|ts|tsx|jsx|html|css|yaml|yml|toml|zip|pdf|fig|mp4|mov|wav|mp3|png|jpg|jpeg|webp|svg))\b"
+NUMBER = r"(?<!\w)((?:[$€£¥₩]\s*)?\d+(?:[.,]\d+)*(?:\s*%|\s*(?:credits?|GB|MB|KB|TB|ms|s|sec|seconds?|minutes?|hours?|fps|px))?)"
+QUOTES = (r"`([^`\n]{2,100})`", r"\"([^\"\n]{2,100})\"", r"“([^”\n]{2,100})”", r"‘([^’\n]{2,100})’")
+EDGES = " \t\n,.;:()[]{}"
+
+
+def keep_first(values: Column) -> Column:
+    """Values without marks around them, the first spelling of each, empty ones left out."""
+    plain = F.filter(F.transform(values, lambda v: F.btrim(v, F.lit(EDGES))), lambda v: v != "")
+    low = F.transform(plain, lambda v: F.lower(v))
+    return F.filter(F.transform(plain, lambda v, i: F.when(F.array_position(low, F.lower(v)) == i + 1, v)), lambda v: v.isNotNull())
+
+
+def exact_values(text: Column) -> Column:
+    """URLs, files, numbers with their units and quoted strings of a text."""
+    found = lambda p: F.regexp_extract_all(text, F.lit(f"(?iU){p}"), 1)
+    return keep_first(F.concat(found(URL), found(FILE), found(NUMBER), *[found(q) for q in QUOTES]))
+
+
+def latin_names(text: Column) -> Column:
+    """Names that stand out: acronyms, words with digits or capitals within, and capitalised words that don't begin a sentence."""
+    strong = r"\b((?=[A-Za-z0-9+.#:/_-]*(?:\d|[a-z][A-Za-z0-9+.#:/_-]*[A-Z]))[A-Za-z][A-Za-z0-9+.#:/_-]*|[A-Z][A-Z]+)\b"
+    inner = r"(?<=[^.!?\s]\s|[,;:]\s)\b([A-Z][a-z]+)\b"
+    return keep_first(F.concat(F.regexp_extract_all(text, F.lit(strong), 1), F.regexp_extract_all(text, F.lit(inner), 1)))
+
+
+def fidelity_warnings(source: Column, out: Column) -> Column:
+    """What an output lacks of its source's exact values and names."""
+    lost = lambda values, kind: F.transform(F.filter(values, lambda v: ~F.contains(out, v)), lambda v: F.concat(F.lit(f"possible_missing_{kind}:"), v))
+    return F.concat(lost(exact_values(source), "exact_value"), lost(latin_names(source), "latin_name"))

@@ -163,18 +163,6 @@ def segmentation_answer_violations(spark: SparkSession, sf_dir: str) -> DataFram
     return members.violations(s, ["conv_id", "turn"], rules)
 
 
-@query("""
-WITH q AS (SELECT doc_id, 'text' AS kind, 'blocking' AS severity FROM documents WHERE n_chars < 20 UNION ALL SELECT doc_id, 'quality', 'blocking' FROM labels WHERE quality = 0 UNION ALL SELECT doc_id, 'toxic', 'warning' FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'marks', 'warning' FROM documents WHERE text LIKE '%!!%')
-SELECT 'RQ-' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY severity, kind))::VARCHAR, 3, '0') AS review_id, doc_id, kind, severity FROM q
-""")
-def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All findings as one queue with running ids per document."""
-    d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    item = lambda df, kind, severity: df.select("doc_id", F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))
-    q = item(d.where("n_chars < 20"), "text", "blocking").union(item(l.where("quality = 0"), "quality", "blocking")).union(item(l.where("toxic = 1"), "toxic", "warning")).union(item(d.where(F.col("text").contains("!!")), "marks", "warning"))
-    return islands.numbered_ids(q, ["doc_id"], ["severity", "kind"], "RQ-", 3, "review_id").select("review_id", "doc_id", "kind", "severity")
-
-
 @query("""
 SELECT kind, severity, count(*) AS n FROM (SELECT 'quality' AS kind, CASE WHEN toxic = 1 THEN 'blocking' ELSE 'warning' END AS severity FROM labels WHERE quality = 0 UNION ALL SELECT 'toxic', 'warning' FROM labels WHERE toxic = 1) GROUP BY 1, 2
 """)

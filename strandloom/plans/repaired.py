@@ -178,3 +178,55 @@ def published_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents.read_published(spark, folder, "documents", "doc_id long, source string, lang string")
     labels = documents.read_published(spark, folder, "labels", "doc_id long, quality long")
     return docs.union(labels.select("doc_id", F.lit("label"), F.col("quality").cast("string"))).withColumn("version", F.lit(version))
+
+
+@query()
+def source_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a text holds that an output must keep, and what its lower-case form lacks."""
+    said = F.concat_ws(" ", "text", F.lit('See https://example.org/a, read notes.md, take 3.5 GB or 20% of "two words" in ChatGPT and Figma.'))
+    warnings = repairs.fidelity_warnings(said, F.lower(said))
+    d = table(spark, sf_dir, "conversations").select("conv_id", "turn", repairs.exact_values(said).alias("exact"), repairs.latin_names(said).alias("names"), warnings.alias("warnings"))
+    return d.select("conv_id", "turn", F.size("exact").cast("long").alias("n_exact"), F.size("names").cast("long").alias("n_names"), F.size("warnings").cast("long").alias("n_warnings"), F.sha2(F.array_join(F.array_sort("warnings"), "\n"), 256).alias("warnings"))
+
+
+@query(f"""
+WITH {UTT}, c AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 'corrected' ELSE 'open' END AS status, turn % 8 = 0 AS confirmed, CASE WHEN conv_id % 5 = 0 THEN ' ' ELSE 'human ' || turn END AS human, CASE WHEN turn % 3 = 0 THEN ' final ' || turn END AS final, CASE WHEN turn % 3 = 1 THEN '  ' ELSE ko END AS normalized, CASE WHEN (conv_id + turn) % 4 = 0 THEN '' ELSE 'auto' END AS auto FROM utt)
+SELECT conv_id, turn, coalesce(CASE WHEN status = 'corrected' AND confirmed THEN nullif(trim(human), '') END, nullif(trim(final), ''), nullif(trim(normalized), ''), nullif(trim(auto), ''), '') AS display FROM c
+""")
+def final_text_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text that counts: a confirmed human correction, else the final, the normalised or the automatic one, the first that isn't blank."""
+    turn, conv = F.col("turn"), F.col("conv_id")
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    human = F.when(conv % 5 == 0, " ").otherwise(F.concat(F.lit("human "), turn.cast("string")))
+    corrected = F.when((turn % 4 == 0) & (turn % 8 == 0), some(human))
+    final = F.when(turn % 3 == 0, F.concat(F.lit(" final "), turn.cast("string")))
+    normalized = F.when(turn % 3 == 1, "  ").otherwise(F.col("ko"))
+    auto = F.when((conv + turn) % 4 == 0, "").otherwise("auto")
+    return utterances(spark, sf_dir).select("conv_id", "turn", F.coalesce(corrected, some(final), some(normalized), some(auto), F.lit("")).alias("display"))
+
+
+_ITEMS = """[CASE WHEN l_returnflag = 'R' AND l_discount < 0.03 THEN {'r': 1, 't': 'unassigned_phase', 's': 'blocking'} END, CASE WHEN l_quantity > 45 THEN {'r': 2, 't': 'phase_context_too_broad', 's': 'warning'} END, CASE WHEN l_tax > 0.07 THEN {'r': 3, 't': 'part_needs_review', 's': 'blocking'} END, CASE WHEN l_discount > 0.09 THEN {'r': 4, 't': 'excluded_action', 's': 'warning'} END, CASE WHEN l_suppkey % 9 = 0 THEN {'r': 5, 't': 'unattached_context', 's': 'warning'} END, CASE WHEN l_linestatus = 'O' AND l_quantity < 3 THEN {'r': 6, 't': 'step_needs_review', 's': 'blocking'} END, CASE WHEN l_partkey % 50 = 0 THEN {'r': 7, 't': 'unsupported_claim_removed', 's': 'warning'} END]"""
+
+
+@query(f"""
+WITH i AS (SELECT l_orderkey AS draft, l_linenumber AS part, l_suppkey AS step, unnest(list_filter({_ITEMS}, lambda x: x IS NOT NULL)) AS x FROM lineitem),
+a AS (SELECT draft, part, step, x.r AS r, x.t AS type, x.s AS severity FROM i UNION ALL SELECT o_orderkey, 0, 0, 8, 'script_not_human_verified', 'warning' FROM orders WHERE o_orderstatus <> 'F')
+SELECT draft, 'REV-' || lpad((row_number() OVER (PARTITION BY draft ORDER BY r, part, step))::VARCHAR, 3, '0') AS review_id, type, severity, part FROM a
+""")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that must be looked at in a draft, of eight types, blocking or not, with running ids. One pass finds what a row says, whatever the types."""
+    c = F.col
+    found = [
+        ("unassigned_phase", "blocking", (c("l_returnflag") == "R") & (c("l_discount") < 0.03)),
+        ("phase_context_too_broad", "warning", c("l_quantity") > 45),
+        ("part_needs_review", "blocking", c("l_tax") > 0.07),
+        ("excluded_action", "warning", c("l_discount") > 0.09),
+        ("unattached_context", "warning", c("l_suppkey") % 9 == 0),
+        ("step_needs_review", "blocking", (c("l_linestatus") == "O") & (c("l_quantity") < 3)),
+        ("unsupported_claim_removed", "warning", c("l_partkey") % 50 == 0),
+    ]
+    items = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(r).alias("r"), F.lit(t).alias("type"), F.lit(s).alias("severity"))) for r, (t, s, test) in enumerate(found, 1)]))
+    rows = table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("draft"), c("l_linenumber").alias("part"), c("l_suppkey").alias("step"), F.explode(items).alias("x")).select("draft", "part", "step", "x.*")
+    script = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").select(c("o_orderkey").alias("draft"), F.lit(0).alias("part"), F.lit(0).alias("step"), F.lit(8).alias("r"), F.lit("script_not_human_verified").alias("type"), F.lit("warning").alias("severity"))
+    nth = F.row_number().over(Window.partitionBy("draft").orderBy("r", "part", "step"))
+    return rows.unionByName(script).select("draft", F.format_string("REV-%03d", nth).alias("review_id"), "type", "severity", "part")

@@ -185,16 +185,6 @@ def compact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(t, F.lit(" | "), warn).alias("line"))
 
 
-@query(r"""
-SELECT doc_id, len(regexp_extract_all(text, '\d+'))::BIGINT AS n_numbers, len(regexp_extract_all(text, '[A-Z][a-z]{2,}'))::BIGINT AS n_names, len(list_filter(regexp_extract_all(text, '[A-Z][a-z]{2,}'), lambda x: NOT contains(lower(text), x)))::BIGINT AS n_missing FROM documents
-""")
-def source_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers and names of a source, and how many of the names an output (here: the text in lower case) lacks."""
-    names = F.regexp_extract_all("text", F.lit("([A-Z][a-z]{2,})"), 1)
-    missing = F.filter(names, lambda x: ~F.contains(F.lower("text"), x))
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit(r"\d+")).cast("long").alias("n_numbers"), F.size(names).cast("long").alias("n_names"), F.size(missing).cast("long").alias("n_missing"))
-
-
 @query(r"""
 SELECT doc_id, nth, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nth FROM documents) WHERE regexp_matches(line, '^[A-Z][^ ]* (\||of|the) ')
 """)
@@ -204,16 +194,6 @@ def line_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.where(F.col("line").rlike(r"^[A-Z][^ ]* (\||of|the) ")).select("doc_id", (F.col("p") + 1).cast("long").alias("nth"), "line")
 
 
-@query(r"""
-SELECT conv_id, turn, coalesce(nullif(trim(CASE WHEN turn % 3 = 0 THEN '' ELSE role END, ' '), ''), nullif(trim(substr(text, 1, 20), ' '), ''), 'none') AS label FROM conversations
-""")
-def display_text_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first text of a chain that isn't blank."""
-    first = F.when(F.col("turn") % 3 == 0, "").otherwise(F.col("role"))
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(blank(first), blank(F.substring("text", 1, 20)), F.lit("none")).alias("label"))
-
-
 @query("""
 SELECT doc_id, CASE WHEN n_chars >= 200 AND lang IS NOT NULL THEN 'text_complete' WHEN n_chars = 0 THEN 'transcript_missing' ELSE 'metadata_only' END AS gate, lang NOT LIKE 'en%' AS translation_required FROM documents
 """)

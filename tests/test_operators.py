@@ -175,6 +175,13 @@ def test_cleanup_by_hand(spark):
     assert got == [("그냥 그 말", 4), ("어떤 A/B 시험", 2), ("이런 것 끝나는 게 좋다.", 2), ("누구나 뽑는 무드를", 2)]
 
 
+def test_anchors_by_hand(spark):
+    said = F.lit('See https://x.org/a, read notes.md, take 3.5 GB or $20 of "two words" in ChatGPT and Figma. Because AI2 wins. 7.')
+    assert one(spark, repairs.exact_values(said)) == ["https://x.org/a", "notes.md", "3.5 GB", "$20", "7", "two words"]
+    assert sorted(one(spark, repairs.latin_names(said))) == ["AI2", "ChatGPT", "Figma", "GB"]
+    assert one(spark, repairs.fidelity_warnings(said, F.lit("https://x.org/a notes.md 3.5 GB $20 two words ChatGPT AI2"))) == ["possible_missing_exact_value:7", "possible_missing_latin_name:Figma"]
+
+
 def test_literal_targets_by_hand(spark):
     said = F.lit("Please click Save As and then say go, ok say Go. I say it, it. {slash} command launch preview and edit")
     assert one(spark, repairs.literal_targets(said)) == ["launch preview", "Save As", "go", "Go"]

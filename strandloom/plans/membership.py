@@ -134,21 +134,62 @@ def chapter_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.violations(o, ["id"], rules)
 
 
-@query("""
-SELECT 'duplicate_line' AS rule, l_orderkey AS id FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
-UNION ALL SELECT 'unknown_part', l_orderkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)
-UNION ALL SELECT 'too_many_lines', l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(*) > 10
-UNION ALL SELECT 'mixed_status', l_orderkey FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linestatus) > 1
+_STEP_RULES = {
+    "quantity_not_positive": "l_quantity <= 0",
+    "quantity_too_large": "l_quantity > 49",
+    "price_not_positive": "l_extendedprice <= 0",
+    "unit_price_too_low": "l_extendedprice / l_quantity < 20",
+    "discount_out_of_range": "l_discount < 0 OR l_discount > 0.1",
+    "tax_out_of_range": "l_tax < 0 OR l_tax > 0.08",
+    "unknown_line_status": "l_linestatus NOT IN ('O', 'F')",
+    "unknown_return_flag": "l_returnflag NOT IN ('R', 'A', 'N')",
+    "returned_but_open": "l_returnflag = 'R' AND l_linestatus = 'O'",
+    "number_not_positive": "l_linenumber < 1",
+    "number_too_large": "l_linenumber > 6",
+}
+_PACKAGE_RULES = {
+    "steps_empty": "n = 0",
+    "too_many_steps": "n > 6",
+    "duplicate_numbers": "n > n_numbers",
+    "numbering_gap": "last > n_numbers",
+    "numbering_starts_late": "n > 0 AND first <> 1",
+    "mixed_status": "n_status > 1",
+    "total_not_positive": "o_totalprice <= 0",
+    "unknown_status": "o_orderstatus NOT IN ('O', 'F', 'P')",
+    "priority_missing": "o_orderpriority IS NULL OR o_orderpriority = ''",
+    "pending_but_urgent": "o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'",
+}
+_RULES_SQL = lambda rules: ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in rules.items())
+
+
+@query(f"""
+WITH s AS (SELECT l_orderkey AS id, l_linenumber AS nth, unnest([{_RULES_SQL(_STEP_RULES)}]) AS rule FROM lineitem),
+g AS (SELECT o_orderkey AS id, any_value(o_totalprice) AS o_totalprice, any_value(o_orderstatus) AS o_orderstatus, any_value(o_orderpriority) AS o_orderpriority, count(l_linenumber) AS n, count(DISTINCT l_linenumber) AS n_numbers, min(l_linenumber) AS first, max(l_linenumber) AS last, count(DISTINCT l_linestatus) AS n_status FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1),
+p AS (SELECT id, 0 AS nth, unnest([{_RULES_SQL(_PACKAGE_RULES)}]) AS rule FROM g)
+SELECT id, nth, rule FROM s WHERE rule IS NOT NULL UNION ALL SELECT id, nth, rule FROM p WHERE rule IS NOT NULL
+UNION ALL SELECT l_orderkey, l_linenumber, 'unknown_part' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 1)
+UNION ALL SELECT l_orderkey, l_linenumber, 'unknown_supplier' FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > -900)
+UNION ALL SELECT o_orderkey, 0, 'unknown_customer' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > -900)
 """)
 def package_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Violations of a published package: duplicates, unknown references, limits, mixed children."""
-    l = table(spark, sf_dir, "lineitem")
-    p = table(spark, sf_dir, "part").select("p_partkey")
-    say = lambda df, rule: df.select(F.lit(rule).alias("rule"), F.col("l_orderkey").alias("id"))
-    per_line = l.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
-    per_order = l.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.min("l_linestatus").alias("a"), F.max("l_linestatus").alias("b"))
-    unknown = l.join(p, F.col("l_partkey") == F.col("p_partkey"), "left_anti")
-    return say(per_line, "duplicate_line").union(say(unknown, "unknown_part")).union(say(per_order.where("n > 10"), "too_many_lines")).union(say(per_order.where("a <> b"), "mixed_status"))
+    """What is wrong with published packages: rules on each step and on each package in a pass of their own, and references that lead nowhere."""
+    l, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    tests = lambda rules: {name: F.expr(test) for name, test in rules.items()}
+    steps = members.violations(l.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("nth"), "*"), ["id", "nth"], tests(_STEP_RULES))
+    per = l.groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct("l_linenumber").alias("n_numbers"), F.min("l_linenumber").alias("first"), F.max("l_linenumber").alias("last"), F.count_distinct("l_linestatus").alias("n_status"))
+    g = o.join(per, F.col("l_orderkey") == F.col("o_orderkey"), "left").fillna(0, ["n", "n_numbers"]).withColumnRenamed("o_orderkey", "id").withColumn("nth", F.lit(0))
+    packages = members.violations(g, ["id", "nth"], tests(_PACKAGE_RULES))
+
+    def lost(rows: DataFrame, key: str, known: DataFrame, rule: str) -> DataFrame:
+        return rows.join(known, F.col(key) == F.col(known.columns[0]), "left_anti").select("id", "nth", F.lit(rule).alias("rule"))
+
+    ids = l.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("nth"), "l_partkey", "l_suppkey")
+    part = table(spark, sf_dir, "part").where("p_size > 1").select("p_partkey")
+    supplier = table(spark, sf_dir, "supplier").where("s_acctbal > -900").select("s_suppkey")
+    customer = table(spark, sf_dir, "customer").where("c_acctbal > -900").select("c_custkey")
+    orders = o.select(F.col("o_orderkey").alias("id"), F.lit(0).alias("nth"), "o_custkey")
+    out = steps.unionByName(packages).unionByName(lost(ids, "l_partkey", part, "unknown_part"))
+    return out.unionByName(lost(ids, "l_suppkey", supplier, "unknown_supplier")).unionByName(lost(orders, "o_custkey", customer, "unknown_customer"))
 
 
 @query("""

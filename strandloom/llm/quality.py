@@ -33,7 +33,7 @@ for _n, _bytes in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQR
     _CLASS[list(_bytes)] = _n
 N_CLASSES = 9
 N_SHAPES = 5
-BUCKETS = 256  # of words, and of trigrams
+BUCKETS = 128  # of words, and of trigrams
 N_FEATURES = N_CLASSES + N_SHAPES + 2 * BUCKETS
 PIECE = 1 << 20  # bytes of text looked at together
 
@@ -72,7 +72,7 @@ def _piece(texts: list[bytes]) -> np.ndarray:
         three = data[own].astype(np.uint32)
         three = (three[:-2] * np.uint32(0x9E3779B1) ^ three[1:-1] * np.uint32(0x85EBCA6B) ^ three[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)
         within = of[2:] == of[:-2]
-        hashed = np.bincount(of[:-2][within] * BUCKETS + (three[within] >> np.uint32(24)).astype(np.int64), minlength=n * BUCKETS).reshape(n, BUCKETS)
+        hashed = np.bincount(of[:-2][within] * BUCKETS + (three[within] >> np.uint32(25)).astype(np.int64), minlength=n * BUCKETS).reshape(n, BUCKETS)
         out[:, at + BUCKETS :] = np.sqrt(hashed / np.maximum(size, 1)[:, None])
     return out
 
@@ -93,7 +93,7 @@ def features(texts: list[bytes | None]) -> np.ndarray:
 
 @F.pandas_udf(T.BinaryType())
 def features_udf(texts: pd.Series) -> pd.Series:
-    return pd.Series([x.tobytes() for x in features(list(texts)).astype(np.float32)])
+    return pd.Series([x.tobytes() for x in features(list(texts)).astype(np.float16)])
 
 
 @dataclass(frozen=True)
@@ -113,19 +113,22 @@ class Ranker:
 
 def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, seed: int = SEED) -> Ranker:
     """Newton's method on the pairs' logistic loss with a small ridge. Without both labels all scores are equal and pass."""
-    mean = x.mean(0) if len(x) else np.zeros(N_FEATURES)
-    scale = np.maximum(x.std(0), 1e-6) if len(x) else np.ones(N_FEATURES)
+    mean = x.mean(0, dtype=np.float64) if len(x) else np.zeros(N_FEATURES)
+    scale = np.maximum(x.std(0, dtype=np.float64), 1e-6) if len(x) else np.ones(N_FEATURES)
     above, below = np.flatnonzero(good), np.flatnonzero(~good)
     w = np.zeros(N_FEATURES)
     if not len(above) or not len(below):
         return Ranker(mean, scale, w, 0.0)
-    z = np.clip((x - mean) / scale, -8, 8)
+    z = x.astype(np.float32)  # the driver holds the sample once, in single precision
+    z -= mean.astype(np.float32)
+    z /= scale.astype(np.float32)
+    np.clip(z, -8, 8, out=z)
     rnd = np.random.default_rng(seed)
     better, worse = rnd.choice(above, pairs), rnd.choice(below, pairs)
     for _ in range(30):
         grad, curve = -RIDGE * w, RIDGE * np.eye(N_FEATURES)
         for at in range(0, pairs, CHUNK):
-            d = z[better[at : at + CHUNK]] - z[worse[at : at + CHUNK]]
+            d = (z[better[at : at + CHUNK]] - z[worse[at : at + CHUNK]]).astype(np.float64)
             p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))  # chance of the wrong order
             grad = grad + d.T @ p / pairs
             curve += (d * (p * (1 - p))[:, None]).T @ d / pairs
@@ -159,7 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker:
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     rows = texts.select("doc_id", "quality", F.xxhash64("text").alias("h"), features_udf(F.col("text").cast("binary")).alias("x"))
     got = rows.orderBy(F.xxhash64("doc_id"), "h", "quality").limit(sample).select("quality", "x").collect()
-    x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+    x = np.zeros((len(got), N_FEATURES), np.float32)
+    for i, r in enumerate(got):
+        x[i] = np.frombuffer(r["x"], np.float16)
     return fit(x, np.array([r["quality"] == 1 for r in got], bool))
 
 

@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": q.op8_line_dedup,
     "op9_warc": q.op9_warc,
     "op10_chat": q.op10_chat,
+    "op13_runs": q.op13_runs,
 }
 
 #: op7 is left out: its draw is a hash that DuckDB hasn't got.

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import chat, decontaminate, linededup, media, mixture, passages, quality, sharding, simhash, warc
+from strandloom.llm import chat, decontaminate, linededup, media, mixture, passages, quality, runs, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,3 +98,34 @@ def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.passage_classes(table(spark, sf_dir, "documents"))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", "n_words", "class_id", F.size("spans").alias("n_spans"), covered.alias("n_repeated_words"), "spans")
+
+
+def repeat_planted(doc_id: Column, words: Column) -> Column:
+    """The words of a text, joined by blanks, in which those from some place on repeat one block; which texts and where follows from crc32(doc_id)."""
+    h, n = F.crc32(doc_id.cast("string").cast("binary")), F.size(words)
+    g = F.floor(h / 10)
+    a = (g % n).cast("int")
+    p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
+    block = F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))
+    planted = F.concat(F.slice(words, F.lit(1), a), F.slice(F.flatten(block), F.lit(1), n - a))
+    return F.when((h % 10 == 0) & (n > 0), F.array_join(planted, " "))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    due = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0
+    split = docs.withColumn("words", F.when(due, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))))
+    texts = split.select("doc_id", F.coalesce(repeat_planted(F.col("doc_id"), F.col("words")), F.col("text")).alias("text"))
+    found = runs.periodic_runs(texts, keep=["doc_id"]).withColumn("best", runs.strongest("runs"))
+    told = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    lines = F.concat(F.array_join(told, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": q.op8_line_dedup,
     "op9_warc": q.op9_warc,
     "op10_chat": q.op10_chat,
+    "op11_phrases": q.op11_phrases,
     "op13_runs": q.op13_runs,
 }
 
@@ -94,3 +95,30 @@ sized AS (
     SELECT conv_id, chars FROM placed
     UNION ALL SELECT conv_id, chars FROM ended WHERE to_end <= 256 AND span < last_span AND role <> 'system'
     UNION ALL SELECT conv_id, chars FROM ahead) GROUP BY conv_id)""")
+
+ORACLES["op11_phrases"] = r"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase
+  FROM pieces, (VALUES (1), (2), (3)) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 10),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, j, x.f AS l, y.f AS r, 1000000::HUGEINT * a * a // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM candidates) c
+  JOIN f x ON x.lang = c.lang AND x.k = j AND x.phrase = array_to_string(w[1 : j], ' ')
+  JOIN f y ON y.lang = c.lang AND y.k = c.k - j AND y.phrase = array_to_string(w[j + 1 :], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+within AS (
+  SELECT lang, array_to_string(w[i : i + 1], ' ') AS phrase, max(a) AS longer
+  FROM candidates, unnest(range(1, 3)) AS t(i) WHERE k = 3 GROUP BY ALL)
+SELECT * FROM (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+  FROM lowest LEFT JOIN within USING (lang, phrase) JOIN totals USING (lang)
+  WHERE longer IS NULL OR 100 * longer < 50 * a)
+WHERE rank <= 2000
+"""

@@ -22,6 +22,7 @@ QUERIES: dict[str, Query] = {
     "op9_warc": q.op9_warc,
     "op10_chat": q.op10_chat,
     "op11_phrases": q.op11_phrases,
+    "op12_likelihood": q.op12_likelihood,
     "op13_runs": q.op13_runs,
 }
 

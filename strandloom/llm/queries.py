@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import chat, collocations, decontaminate, linededup, media, mixture, passages, quality, runs, sharding, simhash, warc
+from strandloom.llm import chat, collocations, decontaminate, hmm, linededup, media, mixture, passages, quality, runs, sharding, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -104,6 +104,13 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(table(spark, sf_dir, "documents").select("lang", "text"))
 
 
+def op12_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    scored = hmm.likelihoods(docs, ~held_out)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def repeat_planted(doc_id: Column, words: Column) -> Column:
     """The words of a text, joined by blanks, in which those from some place on repeat one block; which texts and where follows from crc32(doc_id)."""
     h, n = F.crc32(doc_id.cast("string").cast("binary")), F.size(words)

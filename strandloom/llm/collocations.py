@@ -182,7 +182,7 @@ def survivor_filter(texts: DataFrame, least: int, many: int, bits: int = FILTER_
     parts = RANGES * ranges
     dealt = texts.mapInArrow(_counted(parts, many), SUMMARY).repartition(ranges, "part").sortWithinPartitions("part", "kind")
     out = np.zeros(1 << bits - 3, np.uint8)
-    for r in dealt.mapInArrow(_surviving(parts, least, bits), "first long, filter binary").toLocalIterator():
+    for r in dealt.mapInArrow(_surviving(parts, least, bits), "first long, filter binary").collect():  # bounded by the filter's size
         own = np.frombuffer(zlib.decompress(r["filter"]), np.uint8)
         out[r["first"] : r["first"] + len(own)] |= own
     return out.tobytes()

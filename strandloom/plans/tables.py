@@ -37,7 +37,7 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHAP = "chap AS (SELECT user_id, event_id AS chapter_id, start_s, lead(start_s) OVER (PARTITION BY user_id ORDER BY start_s, event_id) AS end_s FROM seg WHERE event_type = 'signup')"
 
 
-#: Invented Korean clauses: each turn of a conversation speaks two of them, so that rules on Korean text have something to find.
+#: Invented Korean clauses: each turn of a conversation ends with two of them, so that rules on Korean text have something to find.
 CLAUSES = (
     "메뉴를 클릭하고 파일을 저장합니다.", "여기서 이유를 설명하겠습니다.", "화면은은 조금 다릅니다", "설정을 변경해서이 진행합니다.", "AI 도구를 실행하고 결과를 확인해요.",
     "너는 이 버튼을 누르면 돼.", "당신의 프로젝트를 만들어 봅시다.", "미드전니 모델을 씁니다.", "API 키를 입력하세요.", "APX 키를 복사해 붙여 주세요.",
@@ -48,14 +48,14 @@ CLAUSES = (
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as timed Korean utterances (conv_id, turn, chapter, start_s, end_s, ko, text): ten seconds apart, three to a chapter; text is the turn's own."""
+    """Turns as timed utterances (conv_id, turn, chapter, start_s, end_s, ko, text): ten seconds apart, three to a chapter; text is the turn's own, ko has two Korean clauses behind it."""
     n = len(CLAUSES)
     clauses = F.array(*map(F.lit, CLAUSES))
     pick = lambda i: F.element_at(clauses, (i % n + 1).cast("int"))
-    ko = F.concat(pick(F.col("conv_id") * 5 + F.col("turn") * 3), F.lit(" "), pick(F.col("conv_id") * 7 + F.col("turn") * 11 + 4))
+    ko = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), pick(F.col("conv_id") * 5 + F.col("turn") * 3), F.lit(" "), pick(F.col("conv_id") * 7 + F.col("turn") * 11 + 4))
     start = F.col("turn") * 10.0
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr("turn div 3").alias("chapter"), start.alias("start_s"), (start + 4 + F.col("turn") % 4).alias("end_s"), ko.alias("ko"), "text")
 
 
 _LIST = "[" + ", ".join(f"'{c}'" for c in CLAUSES) + "]"
-UTT = f"""utt AS (SELECT conv_id, turn, turn // 3 AS chapter, turn * 10.0::DOUBLE AS start_s, (turn * 10.0 + 4 + turn % 4)::DOUBLE AS end_s, {_LIST}[(conv_id * 5 + turn * 3) % {len(CLAUSES)} + 1] || ' ' || {_LIST}[(conv_id * 7 + turn * 11 + 4) % {len(CLAUSES)} + 1] AS ko, text FROM conversations)"""
+UTT = f"""utt AS (SELECT conv_id, turn, turn // 3 AS chapter, turn * 10.0::DOUBLE AS start_s, (turn * 10.0 + 4 + turn % 4)::DOUBLE AS end_s, coalesce(text, '') || ' ' || {_LIST}[(conv_id * 5 + turn * 3) % {len(CLAUSES)} + 1] || ' ' || {_LIST}[(conv_id * 7 + turn * 11 + 4) % {len(CLAUSES)} + 1] AS ko, text FROM conversations)"""

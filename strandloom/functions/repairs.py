@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Joins that recognition makes, what stands for each, and why. The patterns hold what comes before and after as groups.
+#: Joins that recognition makes, what takes their place, why, and by which kind of evidence. All but doubled particles have a word behind them.
+AHEAD = r"(?=\s+[가-힣A-Za-z])"
 SPACING = (
-    (r"([가-힣]+(?:해서|하여|하면|하며|때|보시면|선택한|참고로))이(\s+[가-힣A-Za-z])", "{1} 이{2}", "korean_bound_determiner_spacing"),
-    (r"([가-힣]+(?:하게|스럽게|답게|롭게))이(\s+[가-힣A-Za-z])", "{1}{2}", "korean_attached_boundary_artifact"),
-    (r"(^|[^가-힣])([가-힣]+(?:데|게|고|지만|는데))이(\s+[가-힣A-Za-z])", "{1}{2} 이{3}", "korean_discourse_boundary_artifact"),
-    ("은은", "은", "duplicated_korean_particle"),
-    ("는는", "는", "duplicated_korean_particle"),
-    ("을을", "을", "duplicated_korean_particle"),
-    ("를를", "를", "duplicated_korean_particle"),
-    ("에서에서", "에서", "duplicated_korean_particle"),
-    ("으로로", "으로", "duplicated_korean_particle"),
-    (r"([가-힣]+고)음(\s+[가-힣A-Za-z])", "{1},{2}", "asr_filler_after_connective"),
+    (r"([가-힣]+(?:해서|하여|하면|하며|때|보시면|선택한|참고로))이", AHEAD, "$1 이", "korean_bound_determiner_spacing", "korean_grammar_rule"),
+    (r"([가-힣]+(?:하게|스럽게|답게|롭게))이", AHEAD, "$1", "korean_attached_boundary_artifact", "conservative_korean_adverb_boundary_rule"),
+    (r"(?<![가-힣])([가-힣]+(?:데|게|고|지만|는데))이", AHEAD, "$1 이", "korean_discourse_boundary_artifact", "conservative_korean_discourse_boundary_rule"),
+    (r"(?:(은)은|(는)는|(을)을|(를)를|(에서)에서|(으)로로)", "", "$1$2$3$4$5$6", "duplicated_korean_particle", "korean_grammar_rule"),
+    (r"([가-힣]+고)음", AHEAD, "$1,", "asr_filler_after_connective", "korean_grammar_rule"),
 )
+CHANGE = "array<struct<`from`:string,`to`:string,reason:string,evidence:string>>"
 
 
 def repaired_spacing(text: Column) -> tuple[Column, Column]:
-    """The text with its joins repaired, and the number of repairs."""
-    n = F.lit(0)
-    for pattern, to, _ in SPACING:
-        n = n + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, to.replace("{1}", "$1").replace("{2}", "$2").replace("{3}", "$3"))
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"\s+([,.!?])", "$1"), r"\s{2,}", " ")), n
+    """The text with its joins repaired, and the changes (from, to, reason, evidence): rule by rule, each from left to right."""
+    changes = []
+    for pattern, ahead, to, reason, evidence in SPACING:
+        found = F.regexp_extract_all(text, F.lit(f"(?U)({pattern}){ahead}"), 1)
+        changes.append(F.transform(found, _change(f"(?U){pattern}", to, reason, evidence)))
+        text = F.regexp_replace(text, f"(?U){pattern}{ahead}", to)
+    tidy = F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+([,.!?])", "$1"), r"(?U)\s{2,}", " "))
+    return tidy, F.concat(*changes)
+
+
+def _change(pattern: str, to: str, reason: str, evidence: str):
+    return lambda m: F.struct(m.alias("from"), F.regexp_replace(m, pattern, to).alias("to"), F.lit(reason).alias("reason"), F.lit(evidence).alias("evidence"))
 
 
 #: Spoken and misheard forms with what stands for them; the second group needs its context.
@@ -34,6 +37,7 @@ GENERIC = ((r"\b무드을\b", "무드를"), (r"\b일간된\b", "일관된"), (r"
 CONTEXT = ((r"\b감나\s+뽑는\b", "누구나 뽑는"), (r"\b좀적인\s+비주얼\b", "좀 범용적인 비주얼"), (r"\b임무를\s+내가\s+만든\s+무드에\b", "인물을 내가 만든 무드에"), (r"\b더\s+좋은\s+사실\s+오늘\s+주제는\b", "사실 오늘 주제는"))
 EVENT = r"\[[^\]]*\]"
 _WORD = "가-힣A-Za-z0-9"
+#: What is taken out.
 REMOVED = (EVENT, f"(?<![{_WORD}])어\\s+좀\\s+어\\s+좀(?![{_WORD}])", f"(?<![{_WORD}])(?:어|음)(?![{_WORD}])", "(?<![A-Za-z0-9/_.-])A(?![A-Za-z0-9/_.-])")
 REPEATED = f"(?U)\\b([{_WORD}]+)(?:\\s+\\1)+\\b"
 
@@ -55,20 +59,39 @@ def cleaned_up(text: Column) -> tuple[Column, Column]:
 
 
 _NAME = "[A-Za-z][A-Za-z0-9_.-]*"
+#: What leads to a literal target, words that such a target isn't, and marks that it doesn't end with.
 SLASH = r"\{slash\}\s*command\s+(.+?)(?=\s+and\s+(?:edit|then|before|after|open|select|type|click)\b|[,.!?]|$)"
 CLICK = rf"\b(?:type|enter|click|select|choose|pick)\s+({_NAME}(?:\s+{_NAME}){{0,3}}?)(?=\s+(?:and|then|right|over)\b|[,.!?]|$)"
 SAY = rf"\bsay\s+({_NAME}(?:\s+{_NAME}){{0,2}}?)(?=\s+(?:and|so|over|right)\b|[,.!?]|$)"
 SPOKEN = ("i", "you", "we", "they", "it", "this", "that", "not")
+GENERIC_PHRASES = (
+    "worst case", "best case", "sound effect", "sound effects", "motion graphic", "motion graphics", "raw file", "output file", "brand color", "brand kit", "open source",
+    "full automatic editing", "automatic editing", "b-roll", "b-rolls", "b roll", "b rolls", "hold on", "all right", "alright", "trust me", "see this", "look at this",
+    "by the way", "on the side note", "start to finish", "step by step",
+)
+MARKS = " \t\n\r.,:;!?()[]{}\"'“”‘’"
+NAME_TOKEN = r"([A-Za-z0-9+#_-]+(?:\.[A-Za-z0-9+#_-]+)*)"
+
+
+def clean_name(value: Column) -> Column:
+    """A name with single spaces and without marks around it."""
+    return F.btrim(F.regexp_replace(value, r"(?U)\s+", " "), F.lit(MARKS))
+
+
+def name_tokens(value: Column) -> Column:
+    return F.regexp_extract_all(value, F.lit(NAME_TOKEN), 1)
 
 
 def literal_targets(text: Column) -> Column:
-    """What a text tells to run, type, click or, at least twice, say: the first of each."""
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    found = lambda p: F.regexp_extract_all(flat, F.lit(f"(?i){p}"), 1)
-    command = F.filter(found(SLASH), lambda c: F.size(F.split(c, " ")) <= 5)
-    plain = F.filter(found(SAY), lambda s: ~F.arrays_overlap(F.split(F.lower(s), " "), F.array(*map(F.lit, SPOKEN))))
-    twice = F.filter(plain, lambda s: F.size(F.filter(plain, lambda o: F.lower(o) == F.lower(s))) >= 2)
-    return F.array_distinct(F.concat(command, found(CLICK), twice))
+    """What a text tells to run (one to five words), type or click (unless it is a common phrase), or, at least twice, say: the first of each."""
+    flat = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    found = lambda p: F.transform(F.regexp_extract_all(flat, F.lit(f"(?i){p}"), 1), lambda v: clean_name(v))
+    command = F.filter(found(SLASH), lambda c: F.size(name_tokens(c)).between(1, 5))
+    clicked = F.filter(found(CLICK), lambda c: (c != "") & ~F.lower(c).isin(*GENERIC_PHRASES))
+    plain = F.filter(found(SAY), lambda s: (F.size(name_tokens(s)) > 0) & ~F.arrays_overlap(name_tokens(F.lower(s)), F.array(*map(F.lit, SPOKEN))))
+    low = F.transform(plain, lambda s: F.lower(s))
+    twice = F.filter(plain, lambda s: F.size(F.filter(low, lambda o: o == F.lower(s))) >= 2)
+    return F.array_distinct(F.concat(command, clicked, twice))
 
 
 def ownership(name: Column) -> Column:

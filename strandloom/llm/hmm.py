@@ -29,7 +29,7 @@ STATES = 8  # at most eight: shares travel as one byte each
 ROUNDS = 8  # of Baum-Welch over classes of words
 CLASSES = 4096  # the first of them is the end alone
 PIECE = 16 << 20  # bytes of text in a piece
-BLOCK = 1 << 18  # tokens looked at together
+BLOCK = 1 << 19  # tokens looked at together
 ROWS = 1 << 19  # of words and pieces matched at a time
 UNIT = 1 << 16  # expected counts travel as multiples of 1 / UNIT
 SEED = 7
@@ -116,10 +116,15 @@ def blocks(lengths: np.ndarray, tokens: np.ndarray, use: np.ndarray) -> Iterator
         end = max(at + 1, int(np.searchsorted(filled, (filled[at - 1] if at else 0) + BLOCK, "right")))
         own = order[at:end]
         size = lengths[own]
+        steps = np.searchsorted(-size, -np.arange(int(size[0])), "left")  # texts that have each step
+        first = np.concatenate(([0], np.cumsum(steps)))
         of = np.repeat(np.arange(len(own)), size)
         step = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-        by_step = np.lexsort((of, step))
-        yield Block(own, tokens[np.repeat(ahead[own], size) + step][by_step], of[by_step], np.searchsorted(step[by_step], np.arange(int(size[0]) + 1)))
+        place = first[step] + of
+        seen, text = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
+        seen[place] = tokens[np.repeat(ahead[own], size) + step]
+        text[place] = of
+        yield Block(own, seen, text, first)
         at = end
 
 
@@ -138,8 +143,8 @@ def expected(chain: Chain, seen: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
     for t in range(steps - 1, 0, -1):
         a, b = at[t], at[t + 1]
         back[:, at[t - 1] : at[t - 1] + b - a] = move @ (seen[:, a:b] * back[:, a:b] / scale[a:b])
-    before = np.concatenate([np.arange(at[t - 1], at[t - 1] + at[t + 1] - at[t]) for t in range(1, steps)] or [np.zeros(0, np.int64)])
     later = slice(at[1], n)
+    before = np.arange(at[1], n) - np.repeat(np.diff(at)[:-1], np.diff(at)[1:])  # the same text's token one step earlier
     moves = chain.move * (fore[:, before].astype(np.float64) @ (seen[:, later] * back[:, later] / scale[later]).T.astype(np.float64))
     return fore * back, moves, float(np.log(scale.astype(np.float64)).sum())
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.functions.names import fresh
+
 SPACES = r"(?U)\s+"
 #: Endings in the order in which they are tried; the first that fits is taken.
 PARTICLES = ("들에는", "들에게", "께서는", "에서는", "으로", "에게", "처럼", "라는", "라고", "께서", "들을", "들이", "들은", "은", "는", "이", "가", "을", "를", "도", "에", "의", "만", "와", "과", "들")
@@ -111,13 +113,31 @@ def next_suffix(stem: Column) -> Column:
 
 def split_suffix(words: DataFrame, word: str, levels: int = 3) -> DataFrame:
     """words with stem and suffix: endings of a Hangul word split off up to three times; the stem is empty where an ending leaves too little."""
-    out = words.withColumns({"stem": F.col(word), "suffix": F.lit(""), "_e": F.lit("")})
+    (ending,) = fresh(words, "ending")
+    out = words.withColumns({"stem": F.col(word), "suffix": F.lit(""), ending: F.lit("")})
+    e = F.col(ending)
     for _ in range(levels):
-        goes = F.col("_e").isNotNull() & (F.col("_e") != "!") & F.col(word).rlike("^[가-힣]+$")
-        out = out.withColumn("_e", F.when(goes, next_suffix(F.col("stem"))).when(F.col("_e") == "!", "!"))
-        cut = F.col("_e").isNotNull() & (F.col("_e") != "!")
-        out = out.withColumns({"stem": F.when(F.col("_e") == "!", "").when(cut, without(F.col("stem"), F.col("_e"))).otherwise(F.col("stem")), "suffix": F.when(F.col("_e") == "!", F.col(word)).when(cut, F.concat("_e", "suffix")).otherwise(F.col("suffix"))})
-    return out.drop("_e")
+        goes = e.isNotNull() & (e != "!") & F.col(word).rlike("^[가-힣]+$")
+        out = out.withColumn(ending, F.when(goes, next_suffix(F.col("stem"))).when(e == "!", "!"))
+        cut = e.isNotNull() & (e != "!")
+        out = out.withColumns({"stem": F.when(e == "!", "").when(cut, without(F.col("stem"), e)).otherwise(F.col("stem")), "suffix": F.when(e == "!", F.col(word)).when(cut, F.concat(ending, "suffix")).otherwise(F.col("suffix"))})
+    return out.drop(ending)
+
+
+def stem_and_suffix(word: Column, levels: int = 3) -> Column:
+    """As split_suffix, as one struct (stem, suffix) of a word."""
+    endings = F.array(*map(F.lit, SUFFIXES))
+
+    def step(held: Column, _: Column) -> Column:
+        stem = held["stem"]
+        left = lambda e: F.char_length(stem) - F.char_length(e)
+        first = F.get(F.filter(endings, lambda e: F.endswith(stem, e) & ((left(e) >= 2) | (F.char_length(e) > 1))), F.lit(0))
+        shorter = F.struct(F.substring(stem, F.lit(1), left(first)).alias("stem"), F.concat(first, held["suffix"]).alias("suffix"))
+        nothing = F.struct(F.lit("").alias("stem"), word.alias("suffix"))
+        return F.when(first.isNull() | (stem == ""), held).when(left(first) >= 2, shorter).otherwise(nothing)
+
+    whole = F.struct(word.alias("stem"), F.lit("").alias("suffix"))
+    return F.when(word.rlike("^[가-힣]+$"), F.aggregate(F.sequence(F.lit(1), F.lit(levels)), whole, step)).otherwise(whole)
 
 
 def aligned_form(text: Column) -> Column:

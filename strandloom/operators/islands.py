@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from strandloom.functions.names import fresh
 from strandloom.operators import members
 
 
@@ -37,29 +38,32 @@ def islands(rows: DataFrame, key: list[str], order: list[str], terminal: Column,
     the greatest end so far.
     """
     spec = ordered(key, order)
-    marked = rows.withColumns({"_t": terminal, "_s": speaker, "_reach": F.max("end_s").over(before(spec))})
-    late = F.coalesce(F.col("start_s") - F.col("_reach") > gap_s, F.lit(False))
-    ended = F.coalesce(F.lag("_t").over(spec), F.lit(False))
-    marked = marked.withColumns({"_gap": late, "_new": ended | F.col("_s") | late})
-    marked = marked.withColumn("island", F.sum(F.col("_new").cast("int")).over(so_far(spec)) - F.first(F.col("_new").cast("int")).over(so_far(spec)))
-    following = F.lead("_new").over(spec)
-    reason = (
-        F.when(F.col("_t"), "terminal_punctuation")
+    t, s, reach, new, reason = fresh(rows, "terminal", "speaker", "reach", "new", "why")
+    marked = rows.withColumns({t: terminal, s: speaker, reach: F.max("end_s").over(before(spec))})
+    late = F.coalesce(F.col("start_s") - F.col(reach) > gap_s, F.lit(False))
+    ended = F.coalesce(F.lag(t).over(spec), F.lit(False))
+    marked = marked.withColumn(new, ended | F.col(s) | late)
+    following = F.lead(new).over(spec)
+    why = (
+        F.when(F.col(t), "terminal_punctuation")
         .when(following.isNull(), "transcript_end")
-        .when(following & F.lead("_s").over(spec), "speaker_change")
+        .when(following & F.lead(s).over(spec), "speaker_change")
         .when(following, "time_gap")
     )
-    return marked.withColumn("reason", reason).drop("_t", "_s", "_reach", "_gap", "_new")
+    marked = marked.withColumn(reason, why)
+    marked = marked.withColumn("island", F.sum(F.col(new).cast("int")).over(so_far(spec)) - F.first(F.col(new).cast("int")).over(so_far(spec)))
+    return marked.withColumn("reason", F.col(reason)).drop(t, s, reach, new, reason)
 
 
 def runs(rows: DataFrame, key: list[str], order: list[str], value: Column) -> DataFrame:
     """rows with run (from 1) of equal neighbouring values, and is_head."""
     spec = ordered(key, order)
-    marked = rows.withColumn("_v", value)
+    (v,) = fresh(rows, "value")
+    marked = rows.withColumn(v, value)
     head = F.row_number().over(spec) == 1
-    head = head | ~F.col("_v").eqNullSafe(F.lag("_v").over(spec))
+    head = head | ~F.col(v).eqNullSafe(F.lag(v).over(spec))
     marked = marked.withColumn("is_head", head)
-    return marked.withColumn("run", F.sum(F.col("is_head").cast("int")).over(so_far(spec)).cast("long")).drop("_v")
+    return marked.withColumn("run", F.sum(F.col("is_head").cast("int")).over(so_far(spec)).cast("long")).drop(v)
 
 
 def rank_within(rows: DataFrame, key: list[str], order: list[Column], out: str = "rank") -> DataFrame:
@@ -97,13 +101,13 @@ def merge_pairs(rows: DataFrame, key: list[str], order: list[str], joins_next: C
     In an unbroken run of rows that join their successors, every other one is a head, so a run's parity decides.
     """
     spec = ordered(key, order)
-    marked = rows.withColumn("_join", joins_next & F.lead(F.lit(1)).over(spec).isNotNull())
-    marked = marked.withColumn("_stop", F.sum((~F.col("_join")).cast("int")).over(before(spec)))
-    marked = marked.withColumn("_stop", F.coalesce("_stop", F.lit(0)))
-    nth = F.row_number().over(Window.partitionBy(*key, "_stop").orderBy(*order))
-    marked = marked.withColumn("_nth", nth)
-    head = F.col("_join") & (F.col("_nth") % 2 == 1)
-    return marked.withColumn("takes_next", head).withColumn("is_taken", F.coalesce(F.lag("takes_next").over(spec), F.lit(False))).drop("_join", "_stop", "_nth")
+    joins, stop, nth = fresh(rows, "joins", "stop", "nth")
+    marked = rows.withColumn(joins, joins_next & F.lead(F.lit(1)).over(spec).isNotNull())
+    marked = marked.withColumn(stop, F.sum((~F.col(joins)).cast("int")).over(before(spec)))
+    marked = marked.withColumn(stop, F.coalesce(stop, F.lit(0)))
+    marked = marked.withColumn(nth, F.row_number().over(Window.partitionBy(*key, stop).orderBy(*order)))
+    head = F.col(joins) & (F.col(nth) % 2 == 1)
+    return marked.withColumn("takes_next", head).withColumn("is_taken", F.coalesce(F.lag("takes_next").over(spec), F.lit(False))).drop(joins, stop, nth)
 
 
 def numbered_within(rows: DataFrame, key: str, order: list, out: str = "nth") -> DataFrame:
@@ -112,10 +116,11 @@ def numbered_within(rows: DataFrame, key: str, order: list, out: str = "nth") ->
     Rows are range-partitioned by key and order, so a hot key spreads over partitions; each is numbered on its own, after
     the counts of the key's partitions before it.
     """
-    placed = members.saved(rows.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "numbered")
-    counts = placed.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_at")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_key", "_at", before.alias("_before"))
-    joined = placed.join(offsets, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_at")))
-    within = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
-    return joined.withColumn(out, F.col("_before") + within).drop("_part", "_key", "_at", "_n", "_before")
+    part, of, at, n, ahead = fresh(rows, "part", "of", "at", "n", "ahead")
+    placed = members.saved(rows.repartitionByRange(key, *order).withColumn(part, F.spark_partition_id()), "numbered")
+    counts = placed.groupBy(F.col(key).alias(of), F.col(part).alias(at)).agg(F.count("*").alias(n))
+    before = F.coalesce(F.sum(n).over(Window.partitionBy(of).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(of, at, before.alias(ahead))
+    joined = placed.join(offsets, F.col(key).eqNullSafe(F.col(of)) & (F.col(part) == F.col(at)))
+    within = F.row_number().over(Window.partitionBy(key, part).orderBy(*order))
+    return joined.withColumn(out, F.col(ahead) + within).drop(part, of, at, ahead)

@@ -7,21 +7,25 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.functions.names import fresh
+
 
 def cover_violations(sections: DataFrame, rows: DataFrame, key: list[str], first: str, last: str, pos: str) -> DataFrame:
     """(key, pos, problem) for rows that no section covers (gap) or several do (overlap), and for sections' positions without a row (unknown)."""
     spread = sections.select(*key, F.explode(F.sequence(first, last)).alias(pos))
     covered = spread.groupBy(*key, pos).agg(F.count("*").alias("n"))
-    joined = rows.select(*key, pos, F.lit(True).alias("_row")).join(covered, [*key, pos], "full_outer")
-    problem = F.when(F.col("_row").isNull(), "unknown").when(F.col("n").isNull(), "gap").when(F.col("n") > 1, "overlap")
+    there, n = fresh(rows, "there", "n")
+    joined = rows.select(*key, pos, F.lit(True).alias(there)).join(covered.withColumnRenamed("n", n), [*key, pos], "full_outer")
+    problem = F.when(F.col(there).isNull(), "unknown").when(F.col(n).isNull(), "gap").when(F.col(n) > 1, "overlap")
     return joined.select(*key, pos, problem.alias("problem")).where("problem IS NOT NULL")
 
 
 def accounting(allowed: DataFrame, used: DataFrame, excluded: DataFrame, ids: list[str]) -> DataFrame:
     """(ids, problem) where used and excluded don't split what is allowed: unaccounted, foreign or in both."""
     side = lambda df, n: df.select(*ids).distinct().withColumn(n, F.lit(True))
-    j = side(allowed, "_a").join(side(used, "_u"), ids, "full_outer").join(side(excluded, "_e"), ids, "full_outer")
-    u, e, a = (F.coalesce(c, F.lit(False)) for c in ("_u", "_e", "_a"))
+    names = fresh(allowed.select(*ids), "used", "excluded", "allowed")
+    j = side(allowed, names[2]).join(side(used, names[0]), ids, "full_outer").join(side(excluded, names[1]), ids, "full_outer")
+    u, e, a = (F.coalesce(c, F.lit(False)) for c in names)
     problem = F.when((u | e) & ~a, "foreign").when(u & e, "in_both").when(a & ~u & ~e, "unaccounted")
     return j.select(*ids, problem.alias("problem")).where("problem IS NOT NULL")
 

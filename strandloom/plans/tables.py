@@ -44,6 +44,7 @@ CLAUSES = (
     "데이터 구조를 봅니다 개념 설명", "처음 보여주던 것 그대로 둡니다.", "살짝 건드려 보는 단계입니다.", "우리 디자인 키트라고 부릅니다 UI", "컴퓨터워고 그래서",
     "정확하게이 움직입니다 그리고", "하는데이 계속합니다 우리", "3가지나 있는 항목입니다.", "버튼을 봅니다 Plug그인은 켭니다.", "전문 급수적인 내용입니다.",
     "AI 툴이 도구를 부릅니다.", "클릭 연습을 저장했어요 파일에서는.", "무드을 고르고 쇼트 길이를 맞춥니다.", "漢字語 두 글자", '그는 "내가 할게"라고 말했습니다.', "그냥 평범한 문장이에요", "모델들에게 프로젝트하였습니다 저장소까지만",
+    "클로드 API 설정입니다.", "Claude APX 값을 봅니다.", "클루드 화면을 엽니다.", "프롬 푸트 예시입니다.", "프롬프트 창을 엽니다.", "민즈님 안녕하세요.", "노션 화면입니다.", "노선을 켭니다.",
 )
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.functions.names import fresh
+
 ACQUISITION = (
     "schema_version string, source_url string, "
     "metadata struct<video_id:string,title:string,description_raw:string,default_language:string,duration_seconds:double,channel_title:string,view_count:string,like_count:string>, "
@@ -70,8 +72,9 @@ def keep_first_by_name(base: DataFrame, extension: DataFrame, name: str = "canon
 def unique_lookup(rows: DataFrame, key: str, value) -> DataFrame:
     """The row of a key; more than one is an error when the result is read."""
     found = rows.where(F.col(key) == value)
-    n = F.count("*").over(Window.partitionBy(key))
-    return found.withColumn("_n", n).where(F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit(f"more than one row of {key} "), F.col(key).cast("string")))).otherwise(F.lit(True))).drop("_n")
+    (n,) = fresh(rows, "n")
+    found = found.withColumn(n, F.count("*").over(Window.partitionBy(key)))
+    return found.where(F.when(F.col(n) > 1, F.raise_error(F.concat(F.lit(f"more than one row of {key} "), F.col(key).cast("string")))).otherwise(F.lit(True))).drop(n)
 
 
 def safe_name(text: Column, most_bytes: int = 180) -> Column:

@@ -89,3 +89,20 @@ def stream_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("at", F.expr("timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts))"))
     s = islands.gap_sessions(e, "user_id", "at", "6 hours", "30 days")
     return s.select("user_id", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query("SELECT doc_id, source, lang, 'document' AS kind, CAST(doc_id % 97 AS BIGINT) AS n FROM documents WHERE source IS NOT NULL")
+def documents_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents published as JSON, then read from the files with what couldn't be read told apart."""
+    folder = f"{members.shared_folder(spark)}/documents-{members.tag()}"
+    rows = table(spark, sf_dir, "documents").where("source IS NOT NULL").select("doc_id", "source", "lang", F.lit("document").alias("kind"), (F.col("doc_id") % 97).alias("n"))
+    documents.publish(rows, folder)
+    read = spark.read.schema("doc_id long, source string, lang string, kind string, n long, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(folder)
+    return read.where("_corrupt IS NULL").drop("_corrupt")
+
+
+@query("SELECT * FROM customer WHERE c_custkey = (SELECT max(o_custkey) FROM orders)")
+def customer_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one customer of a key, here that of the greatest key in the orders; two rows of it would be an error."""
+    key = table(spark, sf_dir, "orders").agg(F.max("o_custkey")).first()[0]
+    return documents.unique_lookup(table(spark, sf_dir, "customer"), "c_custkey", key)

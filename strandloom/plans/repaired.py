@@ -10,7 +10,7 @@ from strandloom.functions import repairs
 from strandloom.operators import drafts, members
 from strandloom.plans.registry import query
 from strandloom.plans.tables import UTT, table, utterances
-from strandloom.sources import documents
+from strandloom.sources import versions
 
 
 @query()
@@ -169,10 +169,10 @@ def published_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
     l = table(spark, sf_dir, "labels").select("doc_id", "quality")
     for least in (0, 200):
-        version = documents.publish_together({"documents": d.where(F.col("n_chars") >= least).drop("n_chars"), "labels": l}, folder)
-    docs = documents.read_published(spark, folder, "documents", "doc_id long, source string, lang string")
-    labels = documents.read_published(spark, folder, "labels", "doc_id long, quality long")
-    return docs.union(labels.select("doc_id", F.lit("label"), F.col("quality").cast("string"))).withColumn("version", F.lit(version))
+        number = versions.publish({"documents": d.where(F.col("n_chars") >= least).drop("n_chars"), "labels": l}, folder)
+    newest = versions.version(spark, folder, number)
+    docs, labels = newest.read(spark, "documents"), newest.read(spark, "labels")
+    return docs.union(labels.select("doc_id", F.lit("label"), F.col("quality").cast("string"))).withColumn("version", F.lit(number))
 
 
 @query()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,9 +19,9 @@ ACQUISITION = (
 
 
 def read_documents(spark: SparkSession, path: str, schema: str = ACQUISITION) -> DataFrame:
-    """One row per JSON file, by file name, with what couldn't be read in _corrupt and the file's name in file."""
+    """One row per JSON file, with what couldn't be read in _corrupt and the file's name in file; order by file where the order matters."""
     rows = spark.read.schema(schema + ", _corrupt string").option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return rows.withColumn("file", F.col("_metadata.file_name")).orderBy("file")
+    return rows.withColumn("file", F.col("_metadata.file_name"))
 
 
 def document_kind() -> Column:
@@ -89,38 +87,6 @@ def publish(rows: DataFrame, path: str, force: bool = False) -> None:
     rows.write.mode("overwrite" if force else "errorifexists").json(path)
 
 
-CATALOGUE = "version long, name string, path string"
-
-
-def published(spark: SparkSession, folder: str) -> DataFrame:
-    """(version, name, path) of all that was published into a folder."""
-    return spark.read.schema(CATALOGUE).json(f"{folder}/catalogue")
-
-
-def publish_together(targets: dict[str, DataFrame], folder: str) -> int:
-    """Writes several tables as one version, which readers see as a whole or not at all; returns the version.
-
-    The tables go to folders of their own first. The version then comes into being by one small file added to the catalogue, so a
-    failure before that leaves all that was published as it was.
-    """
-    spark = next(iter(targets.values())).sparkSession
-    tag = uuid.uuid4().hex
-    paths = {name: f"{folder}/{name}/{tag}" for name in targets}
-    for name, rows in targets.items():
-        rows.write.json(paths[name])
-    empty = spark.createDataFrame([], CATALOGUE)
-    empty.write.mode("append").json(f"{folder}/catalogue")
-    version = (published(spark, folder).agg(F.max("version")).first()[0] or 0) + 1
-    spark.createDataFrame([(version, n, p) for n, p in paths.items()], CATALOGUE).coalesce(1).write.mode("append").json(f"{folder}/catalogue")
-    return version
-
-
-def read_published(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """The newest version of a table that was published into a folder."""
-    newest = published(spark, folder).where(F.col("name") == name).orderBy(F.desc("version")).first()
-    return spark.read.schema(schema).json(newest["path"])
-
-
 def report_lines(violations: DataFrame, ids: list[str]) -> DataFrame:
     """One text line per id: its rules, sorted."""
     return violations.groupBy(*ids).agg(F.concat_ws("; ", F.array_sort(F.collect_set("rule"))).alias("line"))

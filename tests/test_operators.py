@@ -137,7 +137,7 @@ def test_documents_are_read_with_corrupt_ones_marked(spark, tmp_path):
     good = {"metadata": {"video_id": "v1", "duration_seconds": 60.0}, "creator_chapters": [{"start_seconds": 0.0, "label": "a"}, {"start_seconds": 20.0, "label": "b"}], "transcript": {"items": [{"segment_id": "s0", "text": " hi ", "start_seconds": 0.0, "duration_seconds": 4.0}, {"segment_id": "s1", "text": " ", "start_seconds": 5.0, "duration_seconds": 4.0}]}}
     (tmp_path / "a.json").write_text(json.dumps(good))
     (tmp_path / "b.json").write_text("{broken")
-    docs = documents.read_documents(spark, str(tmp_path))
+    docs = documents.read_documents(spark, str(tmp_path)).orderBy("file")
     rows = docs.select("file", "_corrupt", documents.document_kind().alias("kind")).collect()
     assert [(r["file"], r["_corrupt"] is None, r["kind"]) for r in rows] == [("a.json", True, "acquisition"), ("b.json", False, "unknown")]
     assert [tuple(r) for r in documents.segments_of(docs).select("segment_id", "text", "end_s").collect()] == [("s0", "hi", 4.0)]
@@ -156,17 +156,6 @@ def test_publish_refuses_to_overwrite(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out")).count() == 3
 
 
-def test_versions_are_published_whole(spark, tmp_path):
-    folder = f"file://{tmp_path}/published"
-    assert documents.publish_together({"a": spark.range(4), "b": spark.range(1)}, folder) == 1
-    broken = spark.range(2).select(F.raise_error(F.lit("broken")).cast("string").alias("id"))
-    with pytest.raises(Exception, match="broken"):
-        documents.publish_together({"a": spark.range(9), "b": broken}, folder)
-    assert documents.read_published(spark, folder, "a", "id long").count() == 4
-    assert documents.publish_together({"a": spark.range(5), "b": spark.range(2)}, folder) == 2
-    assert [documents.read_published(spark, folder, n, "id long").count() for n in ("a", "b")] == [5, 2]
-
-
 def test_cleanup_by_hand(spark):
     texts = ["[음악] 어 좀 어 좀 그냥 음 그 그 그 말", "어떤 A/B 시험 A 음", "요런 것 끝나는게 좋다 .", "감나  뽑는 무드을"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from strandloom.operators import editorial, evidence
+from strandloom.operators import editorial, evidence, mappings
 from strandloom.plans.registry import query
-from strandloom.plans.tables import utterances
+from strandloom.plans.tables import table, utterances
 
 #: Invented: spoken names and their official form.
 SPOKEN_NAMES = {"클로드": "Claude", "미드저니": "Midjourney"}
@@ -64,3 +65,33 @@ def editorial_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = editorial.edit_videos(videos(spark, sf_dir), display_metadata(spark, sf_dir), "video", "pos", "ko", NAMES)
     each = done.select("video", "pos", F.sha2("edited", 256).alias("edited_sha256"), F.size("near").alias("n_near"), F.posexplode("changes").alias("nth", "c"))
     return each.select("video", "pos", (F.col("nth") + 1).alias("nth_change"), F.col("c.from").alias("from_text"), F.col("c.to").alias("to_text"), "c.reason", "c.evidence", "n_near", "edited_sha256")
+
+
+def heard_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video, pos, raw, canonical, text, label): parts as products said in a video of their type, their names in two words and, by key, with a letter lost, changed or added."""
+    first, second, by = F.initcap(F.split_part("p_name", F.lit(" "), F.lit(1))), F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_partkey") % 5
+    lost, changed = F.expr("left(split_part(p_name, ' ', 2), length(split_part(p_name, ' ', 2)) - 1)"), F.overlay(first, F.lit("u"), F.lit(2), F.lit(1))
+    raw = F.when(by == 0, F.concat_ws(" ", first, second)).when(by == 1, F.concat_ws(" ", first, lost)).when(by == 2, F.concat_ws(" ", changed, second)).when(by == 3, F.concat(first, F.lit(" "), second, F.lit("s"))).otherwise(F.concat(first, second))
+    label = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("About "), first, second)).otherwise(F.col("p_type"))
+    return table(spark, sf_dir, "part").select(F.col("p_type").alias("video"), F.col("p_partkey").alias("pos"), raw.alias("raw"), F.concat(first, F.initcap(second)).alias("canonical"), F.concat(F.lit("We have the "), raw, F.lit(" in "), F.lower("p_type")).alias("text"), label.alias("label"))
+
+
+@query()
+def mapping_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed spellings of a video's products, right and wrong ones, with what keeps each from being applied."""
+    said = heard_parts(spark, sf_dir)
+    names = said.select("video", F.col("canonical").alias("name"), F.lit(True).alias("verified")).distinct()
+    right = said.select("video", "raw", "canonical")
+    wrong = said.select("video", "raw", F.regexp_extract("canonical", "([A-Z][a-z]+)$", 1)).union(said.select("video", F.concat("raw", F.lit(" Pro")), "canonical")).union(said.select("video", "raw", F.concat("canonical", F.lit(" Nimbus"))))
+    wrong = wrong.union(said.select("video", F.concat(F.lit("www."), F.lower("canonical"), F.lit(".com")), "canonical")).union(said.select("video", "raw", F.max("canonical").over(Window.partitionBy("video"))))
+    return mappings.mapping_safety(right.union(wrong), said.select("video", "pos", "text"), names).withColumn("reason", F.coalesce("reason", F.lit("safe")))
+
+
+@query()
+def variant_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases that take a product's name because accepted spellings, and phrases before them that took it, are like them."""
+    said = heard_parts(spark, sf_dir)
+    names = said.select("video", F.col("canonical").alias("name"), F.lit(True).alias("verified")).distinct()
+    accepted = said.where("pos % 3 = 0").select("video", "raw", "canonical").distinct()
+    phrases = said.groupBy("video", "raw").agg(F.min("pos").cast("long").alias("nth"))
+    return mappings.propagate_families(phrases, accepted, said.select("video", "pos", "text", "label"), names)

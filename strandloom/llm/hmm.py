@@ -30,6 +30,7 @@ ROUNDS = 8  # of Baum-Welch over classes of words
 CLASSES = 4096  # the first of them is the end alone
 PIECE = 16 << 20  # bytes of text in a piece
 BLOCK = 1 << 19  # tokens looked at together
+WIDE = 256  # texts from which on a step's sums are made state by state
 ROWS = 1 << 19  # of words and pieces matched at a time
 UNIT = 1 << 16  # expected counts travel as multiples of 1 / UNIT
 SEED = 7
@@ -129,24 +130,27 @@ def blocks(lengths: np.ndarray, tokens: np.ndarray, use: np.ndarray) -> Iterator
 
 
 def expected(chain: Chain, seen: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(chance of each state at each token, expected moves, log likelihood) for emissions seen (state, token)."""
-    k, n = seen.shape
-    fore, back, scale = np.empty_like(seen), np.ones_like(seen), np.empty(n, seen.dtype)
-    move = chain.move.astype(seen.dtype)
-    turned = np.ascontiguousarray(move.T)
-    steps = len(at) - 1
-    for t in range(steps):
-        a, b = at[t], at[t + 1]
-        now = seen[:, a:b] * (turned @ fore[:, at[t - 1] : at[t - 1] + b - a] if t else chain.start.astype(seen.dtype)[:, None])
-        scale[a:b] = now.sum(0)
-        fore[:, a:b] = now / scale[a:b]
-    for t in range(steps - 1, 0, -1):
-        a, b = at[t], at[t + 1]
-        back[:, at[t - 1] : at[t - 1] + b - a] = move @ (seen[:, a:b] * back[:, a:b] / scale[a:b])
-    later = slice(at[1], n)
-    before = np.arange(at[1], n) - np.repeat(np.diff(at)[:-1], np.diff(at)[1:])  # the same text's token one step earlier
-    moves = chain.move * (fore[:, before].astype(np.float64) @ (seen[:, later] * back[:, later] / scale[later]).T.astype(np.float64))
-    return fore * back, moves, float(np.log(scale.astype(np.float64)).sum())
+    """(chance of each state at each token, expected moves, log likelihood) for emissions seen (token, state), which are used up."""
+    n, k = seen.shape
+    fore, back, scale, ones = np.empty_like(seen), np.ones_like(seen), np.empty((n, 1), seen.dtype), np.ones((k, 1), seen.dtype)
+    move = np.ascontiguousarray(chain.move.astype(seen.dtype))
+    turned, moves = np.ascontiguousarray(move.T), np.zeros((k, k))
+    edges = at.tolist()
+    for t in range(len(edges) - 1):
+        a, b = edges[t], edges[t + 1]
+        now = fore[edges[t - 1] : edges[t - 1] + b - a] @ move if t else np.broadcast_to(chain.start.astype(seen.dtype), (b, k)).copy()
+        now *= seen[a:b]
+        np.matmul(now, ones, out=scale[a:b])
+        np.divide(now, scale[a:b], out=fore[a:b])
+    for t in range(len(edges) - 2, 0, -1):
+        a, b, p = edges[t], edges[t + 1], edges[t - 1]
+        later = seen[a:b]
+        later *= back[a:b]
+        later /= scale[a:b]
+        moves += fore[p : p + b - a].T @ later
+        np.matmul(later, turned, out=back[p : p + b - a])
+    fore *= back
+    return fore, chain.move * moves, float(np.log(scale.astype(np.float64)).sum())
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:
@@ -163,17 +167,17 @@ def _round(chain: Chain, states: int) -> Callable[[Iterator[pa.RecordBatch]], It
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         emitted, moved, started, likely = np.zeros((states, CLASSES)), np.zeros((states, states)), np.zeros(states), 0.0
-        emit = chain.emit.astype(np.float32)
+        emit = np.ascontiguousarray(chain.emit.T, np.float32)
         for row, lengths, tokens, learned in _rows(batches):
             classes = np.frombuffer(row["classes"].as_buffer(), np.uint16).astype(np.int64)
             for b in blocks(lengths, tokens, learned):
                 own = classes[b.tokens]
-                share, moves, ll = expected(chain, emit[:, own], b.at)
+                share, moves, ll = expected(chain, emit[own], b.at)
                 moved += moves
                 likely += ll
-                started += share[:, : b.at[1]].sum(1, dtype=np.float64)
+                started += share[: b.at[1]].sum(0, dtype=np.float64)
                 for s in range(states):
-                    emitted[s] += np.bincount(own, weights=share[s], minlength=CLASSES)
+                    emitted[s] += np.bincount(own, weights=share[:, s], minlength=CLASSES)
         table = np.concatenate((emitted.T, started[None], moved, np.full((1, states), likely)))
         keys = np.concatenate((np.arange(CLASSES), -1 - np.arange(states + 2)))
         some = np.flatnonzero(table.any(1))
@@ -214,15 +218,15 @@ def _told(chain: Chain, states: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     """(word, piece, pos, n, share) of every word of every piece: its learned occurrences, and the states' shares of them, a byte each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emit = chain.emit.astype(np.float32)
+        emit = np.ascontiguousarray(chain.emit.T, np.float32)
         for row, lengths, tokens, learned in _rows(batches):
             classes = np.frombuffer(row["classes"].as_buffer(), np.uint16).astype(np.int64)
             n = np.frombuffer(row["counts"].as_buffer(), np.int32)
             found = np.zeros((states, len(n)))
             for b in blocks(lengths, tokens, learned):
-                share, _, _ = expected(chain, emit[:, classes[b.tokens]], b.at)
+                share, _, _ = expected(chain, emit[classes[b.tokens]], b.at)
                 for s in range(states):
-                    found[s] += np.bincount(b.tokens, weights=share[s], minlength=len(n))
+                    found[s] += np.bincount(b.tokens, weights=share[:, s], minlength=len(n))
             bytes8 = np.zeros((len(n), 8), np.uint8)
             bytes8[:, :states] = np.rint(255 * found / np.maximum(n, 1)).clip(0, 255).T
             columns = [row["words"].values, pa.array(np.full(len(n), row["piece"].as_py())), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n), pa.array(bytes8.reshape(-1).view(np.int64))]
@@ -319,14 +323,25 @@ def emissions(n: np.ndarray, share: np.ndarray, totals: Totals) -> np.ndarray:
 
 
 def log10_likelihood(start: np.ndarray, move: np.ndarray, emit: np.ndarray, block: Block) -> np.ndarray:
-    """Each text's log10 probability, summed over all paths of states; sums run over states and steps in one order."""
-    scale = np.empty(len(block.tokens))
-    for t in range(len(block.at) - 1):
-        a, b = block.at[t], block.at[t + 1]
-        seen = emit[:, block.tokens[a:b]]
-        now = seen * ((fore[:, None, : b - a] * move[:, :, None]).sum(0) if t else start[:, None])
-        scale[a:b] = now.sum(0)
-        fore = now / scale[a:b]
+    """Each text's log10 probability, summed over all paths of states, for emissions by (state, token); sums run over states and steps in one order."""
+    scale, edges, seen = np.empty(len(block.tokens)), block.at.tolist(), emit[:, block.tokens]
+    fore = np.empty((len(start), 0))
+    for t in range(len(edges) - 1):
+        a, b = edges[t], edges[t + 1]
+        before = fore[:, : b - a]
+        if t == 0:
+            now = start[:, None] * seen[:, :b]
+        elif b - a < WIDE:
+            now = (before[:, None] * move[:, :, None]).sum(0)
+            now *= seen[:, a:b]
+        else:  # the same sums in the same order, without the products of all pairs of states at once
+            now = before[0] * move[0][:, None]
+            for k in range(1, len(start)):
+                now += before[k] * move[k][:, None]
+            now *= seen[:, a:b]
+        now.sum(0, out=scale[a:b])
+        now /= scale[a:b]
+        fore = now
     return np.bincount(block.of, weights=np.log10(scale), minlength=len(block.texts))
 
 

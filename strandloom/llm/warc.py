@@ -117,11 +117,25 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], int, int]:
 CAPTURES = "page string, url string, path string, offset long, length long"
 
 
+def storage(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark tells it, and the file's name there.
+
+    Spark doesn't encode paths, so only scheme and authority are read as a URI; s3a and s3n are s3 here. Schemes that only Hadoop knows need its
+    native library on the executors.
+    """
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest if colon else path).lstrip("/")
+    authority, _, name = rest.removeprefix("//").partition("/")
+    system, base = fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme) }://{authority}/")
+    return system, f"{base.rstrip('/')}/{name}"
+
+
 class Archive:
     """A file of the shared file system, read by ranges."""
 
     def __init__(self, path: str) -> None:
-        system, name = fs.FileSystem.from_uri(path)
+        system, name = storage(path)
         self.file = system.open_input_file(name)
         self.size, self.at, self.held = self.file.size(), 0, b""
 

@@ -80,3 +80,23 @@ def test_query(spark, tmp_path):
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = [(str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in queries.op9_warc(spark, str(tmp_path)).collect()]
     assert sorted(got, key=repr) == sorted((x[:5] for x in expected(pages)), key=repr)
+
+
+def test_paths_as_spark_tells_them(tmp_path, monkeypatch):
+    from pyarrow import fs
+
+    folder = tmp_path / "with space" / "50% ?#"
+    folder.mkdir(parents=True)
+    (folder / "part-0").write_bytes(b"0123456789")
+    for path in (f"file:{folder}/part-0", f"file://{folder}/part-0", f"{folder}/part-0"):
+        assert warc.Archive(path).read(3, 4) == b"3456"
+    asked = []
+
+    def from_uri(uri):
+        asked.append(uri)
+        return fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem()), {"s3": "with space", "hdfs": "/with space/"}[uri.split(":")[0]]
+
+    monkeypatch.setattr(warc.fs, "FileSystem", type("F", (), {"from_uri": staticmethod(from_uri)}))
+    assert warc.Archive("s3a://bucket/50% ?#/part-0").read(0, 2) == b"01"
+    assert warc.Archive("hdfs://host:8020/50% ?#/part-0").read(8, 2) == b"89"
+    assert asked == ["s3://bucket/", "hdfs://host:8020/"]

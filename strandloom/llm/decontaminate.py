@@ -14,6 +14,7 @@ then joined to the documents.
 from __future__ import annotations
 
 import hashlib
+import uuid
 import re
 from collections.abc import Iterable
 
@@ -106,16 +107,24 @@ def merge_spans(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+_BUILT: dict = {}  # of a Python worker, which outlives its tasks: the tables of the block that it searched last
+
+
+def _tables_of(tag: str, build):
+    if tag not in _BUILT:
+        _BUILT.clear()
+        _BUILT[tag] = build()
+    return _BUILT[tag]
+
+
 def _hits_of(block: DataFrame, width: int):
     items = [(r["item"], bytes(r["body"]) if r["body"] is not None else None) for r in block.collect()]
-    shared = block.sparkSession.sparkContext.broadcast(items)
-    built: list = []
+    shared, tag = block.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     @F.pandas_udf(HITS)
     def hits(texts: pd.Series) -> pd.DataFrame:
-        if not built:
-            built.append(build_tables(shared.value, width))
-        rows = [find_hits(t, built[0]) for t in texts]
+        tables = _tables_of(tag, lambda: build_tables(shared.value, width))
+        rows = [find_hits(t, tables) for t in texts]
         as_rows = [[{"start": a, "end": b} for a, b in spans] for _, spans, _ in rows]
         return pd.DataFrame({"n_words": [r[0] for r in rows], "spans": as_rows, "items": [r[2] for r in rows]})
 

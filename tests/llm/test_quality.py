@@ -69,3 +69,14 @@ def test_held_out_accuracy(spark):
     good = [r["predicted"] for r in rows if r["quality"] == 1]
     bad = [r["predicted"] for r in rows if r["quality"] == 0]
     assert np.mean(good) >= 0.95 and np.mean(bad) <= 0.2
+
+
+def test_equal_rows_get_equal_scores_in_any_batch():
+    rnd = np.random.default_rng(0)
+    x = rnd.random((700, quality.N_FEATURES))
+    x[::7] = x[0]
+    ranker = quality.Ranker(rnd.random(quality.N_FEATURES), rnd.random(quality.N_FEATURES) + 0.1, rnd.normal(size=quality.N_FEATURES), 0.2)
+    whole = ranker.score(x)
+    assert len(set(whole[::7])) == 1
+    for size in (1, 3, 64):
+        assert np.array_equal(np.concatenate([ranker.score(x[i : i + size]) for i in range(0, 700, size)]), whole)

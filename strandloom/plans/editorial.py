@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.operators import editorial, evidence, mappings
+from strandloom.operators import editorial, evidence, mappings, naming
 from strandloom.plans.registry import query
 from strandloom.plans.tables import table, utterances
 
@@ -95,3 +95,49 @@ def variant_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     accepted = said.where("pos % 3 = 0").select("video", "raw", "canonical").distinct()
     phrases = said.groupBy("video", "raw").agg(F.min("pos").cast("long").alias("nth"))
     return mappings.propagate_families(phrases, accepted, said.select("video", "pos", "text", "label"), names)
+
+
+def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Turns with what they become, and names (name, form): capitalised words of the turns that occur five times, and those before a lower-case word that occur three times."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    runs = turns.select(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+|[^A-Za-z0-9]+)"), 1).alias("r"))
+    at = runs.select("r", F.explode(F.filter(F.sequence(F.lit(1), F.size("r")), lambda i: F.try_element_at("r", i).rlike("^[A-Z][a-z]{2,}$"))).alias("i"))
+    word, gap, after = (F.try_element_at("r", F.col("i") + k) for k in range(3))
+    pair = F.when((gap == " ") & after.rlike("^[a-z]{2,}$"), F.concat_ws(" ", word, after))
+    one = at.groupBy(word.alias("name")).agg(F.count("*").alias("n")).where("n >= 5")
+    two = at.groupBy(pair.alias("name")).agg(F.count("*").alias("n")).where("n >= 3 AND name IS NOT NULL")
+    names = one.union(two).select("name", F.col("name").alias("form"))
+    # every other turn loses its capitals, the others their words after "The" and "In" and the blanks behind some names
+    lost = F.regexp_replace(F.regexp_replace("text", r"(?<![A-Za-z])(The|In) [a-z]+", " "), "(?<![A-Za-z])([A-Z])([a-z]+)(?= die| of| and)", "$1-$2")
+    return turns.withColumn("out", F.when(F.col("turn") % 2 == 0, F.lower("text")).otherwise(lost)), names
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS r FROM conversations),
+p AS (SELECT conv_id, turn, r[i] AS w, CASE WHEN i + 2 <= len(r) AND r[i + 1] = ' ' THEN r[i] || ' ' || r[i + 2] END AS two FROM t, unnest(range(1, len(r) + 1)) AS u(i)),
+names AS (
+  SELECT w AS name FROM p WHERE regexp_matches(w, '^[A-Z][a-z]{2,}$') GROUP BY w HAVING count(*) >= 5
+  UNION ALL SELECT two FROM p WHERE regexp_matches(two, '^[A-Z][a-z]{2,} [a-z]{2,}$') GROUP BY two HAVING count(*) >= 3)
+SELECT conv_id, turn, name, count(*) AS n_mentions
+FROM (SELECT conv_id, turn, lower(w) AS form FROM p UNION ALL SELECT conv_id, turn, lower(two) FROM p WHERE two IS NOT NULL) JOIN names ON lower(name) = form GROUP BY 1, 2, 3
+""")
+def name_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each turn holds each name of the table's own texts, in any case."""
+    turns, names = _named(spark, sf_dir)
+    return naming.mentions(turns, ["conv_id", "turn"], "text", names).groupBy("conv_id", "turn", "name").agg(F.count("*").alias("n_mentions"))
+
+
+@query()
+def output_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rewritten turns lack of their sources' names, and what they leave untranslated: counts by turn and kind."""
+    turns, names = _named(spark, sf_dir)
+    found = naming.name_issues(turns, ["conv_id", "turn"], "text", "out", names)
+    return found.groupBy("conv_id", "turn", "kind").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("what")), ","), 256).alias("what_sha256"))
+
+
+@query()
+def rewrites_around_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns in capitals, with their vowels gone, but for the names in them."""
+    turns, names = _named(spark, sf_dir)
+    done = naming.rewritten_around_names(turns, ["conv_id", "turn"], "text", names, lambda c: F.upper(F.regexp_replace(c, "[aeiou]", "")))
+    return done.select("conv_id", "turn", "rewritten")

@@ -30,6 +30,8 @@ ROUNDS = 8  # of Baum-Welch over classes of words
 CLASSES = 4096  # the first of them is the end alone
 PIECE = 16 << 20  # bytes of text in a piece
 BLOCK = 1 << 19  # tokens looked at together
+SCALE = 4  # steps between scalings, by which no value leaves the range of single precision
+RAREST = 1e-9  # chance of a class in any state at least; SCALE steps of it stay above zero
 WIDE = 256  # texts from which on a step's sums are made state by state
 ROWS = 1 << 19  # of words and pieces matched at a time
 UNIT = 1 << 16  # expected counts travel as multiples of 1 / UNIT
@@ -129,28 +131,46 @@ def blocks(lengths: np.ndarray, tokens: np.ndarray, use: np.ndarray) -> Iterator
         at = end
 
 
+def last_tokens(at: np.ndarray) -> np.ndarray:
+    """Where the texts of a block end: at each step those that have no other, its last ones."""
+    texts = np.diff(at)
+    over = texts - np.append(texts[1:], 0)
+    first = at[1:] - over
+    return np.arange(over.sum()) + np.repeat(first - (np.cumsum(over) - over), over)
+
+
 def expected(chain: Chain, seen: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """(chance of each state at each token, expected moves, log likelihood) for emissions seen (token, state), which are used up."""
+    """(chance of each state at each token, expected moves, log likelihood) for emissions seen (token, state), which are used up.
+
+    Forward values are scaled to 1 at every SCALE-th step, and at the end by what the backward values start with.
+    """
     n, k = seen.shape
-    fore, back, scale, ones = np.empty_like(seen), np.ones_like(seen), np.empty((n, 1), seen.dtype), np.ones((k, 1), seen.dtype)
+    fore, back, scale = np.empty_like(seen), np.ones_like(seen), np.ones((n, 1), seen.dtype)
     move = np.ascontiguousarray(chain.move.astype(seen.dtype))
     turned, moves = np.ascontiguousarray(move.T), np.zeros((k, k))
     edges = at.tolist()
-    for t in range(len(edges) - 1):
+    np.multiply(seen[: edges[1]], chain.start.astype(seen.dtype), out=fore[: edges[1]])
+    for t in range(1, len(edges) - 1):
         a, b = edges[t], edges[t + 1]
-        now = fore[edges[t - 1] : edges[t - 1] + b - a] @ move if t else np.broadcast_to(chain.start.astype(seen.dtype), (b, k)).copy()
+        now = fore[a:b]
+        np.matmul(fore[edges[t - 1] : edges[t - 1] + b - a], move, out=now)
         now *= seen[a:b]
-        np.matmul(now, ones, out=scale[a:b])
-        np.divide(now, scale[a:b], out=fore[a:b])
+        if t % SCALE == 0:
+            scale[a:b] = now.sum(1, keepdims=True)
+            now /= scale[a:b]
+    last = last_tokens(at)
+    ends = fore[last].sum(1, keepdims=True)  # of each text's last token
+    back[last] = 1 / ends
     for t in range(len(edges) - 2, 0, -1):
         a, b, p = edges[t], edges[t + 1], edges[t - 1]
         later = seen[a:b]
         later *= back[a:b]
-        later /= scale[a:b]
+        if t % SCALE == 0:
+            later /= scale[a:b]
         moves += fore[p : p + b - a].T @ later
         np.matmul(later, turned, out=back[p : p + b - a])
     fore *= back
-    return fore, chain.move * moves, float(np.log(scale.astype(np.float64)).sum())
+    return fore, chain.move * moves, float(np.log(scale.astype(np.float64)).sum() + np.log(ends.astype(np.float64)).sum())
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray, np.ndarray]]:
@@ -210,6 +230,7 @@ def fit(table: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> tuple[C
         likely.append(float(counts[-1, 0]))
         share = emitted.sum(0) / max(emitted.sum(), 1)  # a little of the whole to each state, so that none is without a class
         emit = emitted + 10 * share + 1e-3
+        emit = np.maximum(emit / emit.sum(1, keepdims=True), RAREST)
         chain = Chain((started + 1) / (started + 1).sum(), (moved + 1) / (moved + 1).sum(1, keepdims=True), emit / emit.sum(1, keepdims=True))
     return chain, likely
 
@@ -324,7 +345,7 @@ def emissions(n: np.ndarray, share: np.ndarray, totals: Totals) -> np.ndarray:
 
 def log10_likelihood(start: np.ndarray, move: np.ndarray, emit: np.ndarray, block: Block) -> np.ndarray:
     """Each text's log10 probability, summed over all paths of states, for emissions by (state, token); sums run over states and steps in one order."""
-    scale, edges, seen = np.empty(len(block.tokens)), block.at.tolist(), emit[:, block.tokens]
+    told, edges, seen = np.zeros(len(block.texts)), block.at.tolist(), emit[:, block.tokens]
     fore = np.empty((len(start), 0))
     for t in range(len(edges) - 1):
         a, b = edges[t], edges[t + 1]
@@ -339,10 +360,15 @@ def log10_likelihood(start: np.ndarray, move: np.ndarray, emit: np.ndarray, bloc
             for k in range(1, len(start)):
                 now += before[k] * move[k][:, None]
             now *= seen[:, a:b]
-        now.sum(0, out=scale[a:b])
-        now /= scale[a:b]
+        if t % SCALE == 0:
+            scale = now.sum(0)
+            now /= scale
+            told[: b - a] += np.log10(scale)
+        stay = edges[t + 2] - b if t + 2 < len(edges) else 0
+        if stay < b - a:  # these texts end here
+            told[stay : b - a] += np.log10(now[:, stay:].sum(0))
         fore = now
-    return np.bincount(block.of, weights=np.log10(scale), minlength=len(block.texts))
+    return told
 
 
 def _scored(chain: Chain, totals: Totals) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

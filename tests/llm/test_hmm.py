@@ -30,8 +30,8 @@ def chain(states, seed=1):
 
 def test_forward_and_backward_match_a_sum_over_all_paths():
     c = chain(3)
-    lengths = np.array([4, 1, 5, 4])
-    tokens_ = np.array([0, 3, 2, 5, 1, 4, 4, 0, 2, 1, 0, 3, 2, 5])
+    lengths = np.array([4, 1, 6, 4])
+    tokens_ = np.array([0, 3, 2, 5, 1, 4, 4, 0, 2, 1, 3, 0, 3, 2, 5])
     total, moves = 0.0, np.zeros((3, 3))
     for b in hmm.blocks(lengths, tokens_, np.arange(4)):
         share, moved, ll = hmm.expected(c, c.emit.T[b.tokens], b.at)

@@ -196,8 +196,8 @@ def _round(chain: Chain, states: int) -> Callable[[Iterator[pa.RecordBatch]], It
                 moved += moves
                 likely += ll
                 started += share[: b.at[1]].sum(0, dtype=np.float64)
-                for s in range(states):
-                    emitted[s] += np.bincount(own, weights=share[:, s], minlength=CLASSES)
+                for s, chance in enumerate(np.ascontiguousarray(share.T, np.float64)):
+                    emitted[s] += np.bincount(own, weights=chance, minlength=CLASSES)
         table = np.concatenate((emitted.T, started[None], moved, np.full((1, states), likely)))
         keys = np.concatenate((np.arange(CLASSES), -1 - np.arange(states + 2)))
         some = np.flatnonzero(table.any(1))
@@ -246,8 +246,8 @@ def _told(chain: Chain, states: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
             found = np.zeros((states, len(n)))
             for b in blocks(lengths, tokens, learned):
                 share, _, _ = expected(chain, emit[classes[b.tokens]], b.at)
-                for s in range(states):
-                    found[s] += np.bincount(b.tokens, weights=share[:, s], minlength=len(n))
+                for s, chance in enumerate(np.ascontiguousarray(share.T, np.float64)):
+                    found[s] += np.bincount(b.tokens, weights=chance, minlength=len(n))
             bytes8 = np.zeros((len(n), 8), np.uint8)
             bytes8[:, :states] = np.rint(255 * found / np.maximum(n, 1)).clip(0, 255).T
             columns = [row["words"].values, pa.array(np.full(len(n), row["piece"].as_py())), pa.array(np.arange(len(n), dtype=np.int32)), pa.array(n), pa.array(bytes8.reshape(-1).view(np.int64))]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strandloom.operators import editorial, evidence, mappings, naming
+from strandloom.operators import contracts, editorial, evidence, mappings, naming, relations, ruletable
 from strandloom.plans.registry import query
 from strandloom.plans.tables import table, utterances
 
@@ -141,3 +141,58 @@ def rewrites_around_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, names = _named(spark, sf_dir)
     done = naming.rewritten_around_names(turns, ["conv_id", "turn"], "text", names, lambda c: F.upper(F.regexp_replace(c, "[aeiou]", "")))
     return done.select("conv_id", "turn", "rewritten")
+
+
+@query(r"""
+WITH t AS (SELECT conv_id, turn, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS r FROM conversations),
+p AS (SELECT conv_id, turn, unnest(r) AS w FROM t),
+names AS (SELECT w AS name FROM p WHERE regexp_matches(w, '^[A-Z][a-z]{2,}$') GROUP BY w HAVING count(*) >= 5)
+SELECT conv_id, turn, name AS rule, count(*)::INTEGER AS n FROM p JOIN names ON w = name GROUP BY 1, 2, 3
+""")
+def rule_table_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a table of rules changes in the turns: each frequent capitalised word, as a word of its own, gets a mark around it."""
+    turns, names = _named(spark, sf_dir)
+    single = names.where(~F.contains("name", F.lit(" ")))
+    pattern = F.concat(F.lit("(?<![A-Za-z0-9])("), "name", F.lit(")(?![A-Za-z0-9])"))
+    rules = single.select(F.row_number().over(Window.orderBy(F.desc(F.char_length("name")), "name")).alias("nth"), F.col("name").alias("id"), pattern.alias("pattern"), F.lit("<$1>").alias("replacement"), F.lit("regex").alias("kind"), F.lit("high").alias("confidence"), F.lit(None).cast("string").alias("followed_by"))
+    done, _ = ruletable.apply_rule_table(turns, rules, "text")
+    return done.select("conv_id", "turn", F.explode("changes").alias("c")).select("conv_id", "turn", "c.rule", "c.n")
+
+
+@query(r"""
+WITH p AS (SELECT p_type AS video, upper(split_part(p_name, ' ', 1)[1]) || split_part(p_name, ' ', 1)[2:] || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] AS product, p_brand AS brand FROM part),
+r AS (SELECT video, product, brand, 3 * count(*) AS weight FROM p GROUP BY 1, 2, 3)
+SELECT *, weight = max(weight) OVER w AND count(*) OVER (PARTITION BY video, product, weight) = 1 AS is_owner FROM r WINDOW w AS (PARTITION BY video, product)
+""")
+def product_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as products attributed to their brands in text, in a video of their type: the weights, and each product's one owner."""
+    said = heard_parts(spark, sf_dir)
+    first = F.regexp_replace("canonical", "(?<=[a-z])(?=[A-Z])", " ")
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), "p_brand")
+    texts = said.join(part, "pos").select("video", "pos", F.concat(F.lit("Here "), F.when(F.col("pos") % 2 == 0, F.col("canonical")).otherwise(F.lower(first)), F.lit(" is made by "), "p_brand", F.lit(".")).alias("text"))
+    names = said.select("video", F.col("canonical").alias("name")).union(said.join(part, "pos").select("video", "p_brand")).distinct()
+    rel = relations.explicit_relations(texts, names, said.select("video", "raw", "canonical").limit(0))
+    own = relations.owner(rel).select("video", "product", "brand", F.lit(True).alias("is_owner"))
+    return rel.join(own, ["video", "product", "brand"], "left").withColumn("is_owner", F.coalesce("is_owner", F.lit(False)))
+
+
+@query()
+def segmentation_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers made of each order's lines as sections, with what their columns get wrong: every error with its path."""
+    l = table(spark, sf_dir, "lineitem")
+    role = F.when(F.col("l_returnflag") == "A", "learning").when(F.col("l_returnflag") == "R", F.when(F.col("l_linenumber") == 1, "promotion").otherwise("other_non_learning")).otherwise(F.when(F.col("l_quantity") < 45, "learning").otherwise("advert"))
+    learns = role == "learning"
+    part = lambda test, name, value: F.when(test, F.concat(F.lit(f'"{name}": '), value))
+    said = F.array_join(F.array_compact(F.array(
+        part(F.lit(True), "start_utterance_id", F.when(F.col("l_tax") == 0.08, F.lit('" "')).otherwise(F.format_string('"U%d"', "l_linenumber"))),
+        part(F.lit(True), "role", F.concat(F.lit('"'), role, F.lit('"'))),
+        part(F.lit(True), "confidence", F.round(F.col("l_discount") * 12, 2).cast("string")),
+        part(F.col("l_quantity") > 2, "needs_review", F.when(F.col("l_tax") > 0.07, F.lit('"yes"')).otherwise(F.lit("true"))),
+        part(learns | (F.col("l_quantity") > 48), "title", F.lit('"T"')), part(learns, "summary", F.lit('"S"')), part(learns & (F.col("l_discount") > 0.01), "boundary_reason", F.lit('"B"')),
+        part(F.col("l_quantity") == 50, "end_seconds", F.lit("5")),
+    )), ", ")
+    one = F.struct("l_linenumber", F.concat(F.lit("{"), said, F.lit("}")).alias("s"))
+    answers = l.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(one)).alias("x"), F.sum("l_linenumber").alias("n"))
+    whole = F.concat(F.lit('{"sections": ['), F.array_join(F.transform("x", lambda y: y["s"]), ", "), F.lit("]"), F.when(F.col("n") % 5 == 0, F.lit("}")).otherwise(F.lit(', "warnings": ["w"]}')))
+    raw = F.when(F.col("n") % 11 == 0, F.concat(F.lit("```json "), whole, F.lit("```"))).otherwise(whole)
+    return answers.select("l_orderkey", F.posexplode(contracts.answer_errors(raw, contracts.SEGMENTATION)).alias("nth", "error"))

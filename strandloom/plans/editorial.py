@@ -171,7 +171,8 @@ def product_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pos"), "p_brand")
     texts = said.join(part, "pos").select("video", "pos", F.concat(F.lit("Here "), F.when(F.col("pos") % 2 == 0, F.col("canonical")).otherwise(F.lower(first)), F.lit(" is made by "), "p_brand", F.lit(".")).alias("text"))
     names = said.select("video", F.col("canonical").alias("name")).union(said.join(part, "pos").select("video", "p_brand")).distinct()
-    rel = relations.explicit_relations(texts, names, said.select("video", "raw", "canonical").limit(0))
+    # brands are names that texts attribute nothing to
+    rel = relations.explicit_relations(texts, names, said.select("video", "raw", "canonical").limit(0)).where(~F.startswith("product", F.lit("Brand#")))
     own = relations.owner(rel).select("video", "product", "brand", F.lit(True).alias("is_owner"))
     return rel.join(own, ["video", "product", "brand"], "left").withColumn("is_owner", F.coalesce("is_owner", F.lit(False)))
 

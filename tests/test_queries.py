@@ -11,6 +11,9 @@ from strandloom.plans import catalogue
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Queries without SQL whose whole results other tests hold against plain Python, or walk through.
+TESTED_ELSEWHERE = {"evidence_repairs", "editorial_changes", "mapping_reasons", "variant_families", "spacing_repairs", "segmentation_contract"}
+
 pytestmark = pytest.mark.skipif(not pathlib.Path(SF_DIR).exists(), reason="test tables aren't here")
 
 
@@ -47,7 +50,7 @@ def test_query_matches_its_sql(spark, duck, name):
     assert sorted_rows(df.columns, df.collect()) == sorted_rows(told.columns, told.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLES) - TESTED_ELSEWHERE))
 def test_query_without_sql_runs(spark, name):
     df = catalogue.QUERIES[name](spark, SF_DIR)
     assert len(set(df.columns)) == len(df.columns)

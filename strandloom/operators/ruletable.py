@@ -26,10 +26,12 @@ def compiled(rules: DataFrame) -> tuple[str, DataFrame]:
     """(the valid rules as JSON, in order; (id, error) of the invalid ones).
 
     rules has (nth, id, pattern, replacement, kind, confidence, followed_by): kind is literal or regex; confidence high, medium or low; followed_by, if not
-    null, a pattern that must follow a match, behind any space. Of a regex's replacement $1 and the like stand for groups.
+    null, a pattern that must follow a match, behind any space. Of a regex's replacement $1 and the like stand for groups. A column anchor, if there is one, has a literal
+    that every match of a regex holds; only texts that have it are searched by pattern.
     """
     spark = rules.sparkSession
-    told = rules.select("nth", "id", "pattern", "replacement", "kind", "confidence", "followed_by").limit(MOST_RULES + 1).collect()
+    anchor = F.col("anchor") if "anchor" in rules.columns else F.lit("")
+    told = rules.select("nth", "id", "pattern", "replacement", "kind", "confidence", "followed_by", F.coalesce(anchor, F.lit("")).alias("anchor")).limit(MOST_RULES + 1).collect()
     if len(told) > MOST_RULES:
         raise TooManyRules(f"more than {MOST_RULES} rules")
     quote, quoted = spark._jvm.java.util.regex.Pattern.quote, spark._jvm.java.util.regex.Matcher.quoteReplacement
@@ -45,7 +47,7 @@ def compiled(rules: DataFrame) -> tuple[str, DataFrame]:
             continue
         if r["pattern"]:
             to = quoted(r["replacement"]) if literal else r["replacement"]
-            valid.append({"id": r["id"], "regex": regex, "literal": r["pattern"] if literal else "", "to": to, "confidence": r["confidence"] or "medium"})
+            valid.append({"id": r["id"], "regex": regex, "literal": r["pattern"] if literal else r["anchor"], "to": to, "confidence": r["confidence"] or "medium"})
     said = json.dumps(valid, ensure_ascii=False)
     if len(said.encode()) > MOST_BYTES:
         raise TooManyRules(f"rules of more than {MOST_BYTES} bytes")

@@ -75,6 +75,7 @@ class Editor:
 
     def __init__(self, names: list[Name]) -> None:
         self.names = names
+        self.about, self.about_compact = "", ""
         longest = lambda n: max(map(len, (*n.aliases, *n.pronunciations)), default=0)
         self.by_length = sorted(range(len(names)), key=lambda i: -longest(names[i]))
 
@@ -151,7 +152,16 @@ class Editor:
         return changed
 
     def _registry(self, context: str, scores: list[int], about: str) -> None:
-        supported = lambda n: not n.anchors or any(h.contains(f"{context}\n{self.text}\n{about}", a) for a in n.anchors)
+        if about != self.about:
+            self.about, self.about_compact = about, h.compact(about)
+        context_compact = h.compact(context)
+
+        def holds(anchor: str) -> bool:
+            if re.search("[가-힣]", anchor):  # without spaces the parts simply follow one another
+                return h.compact(anchor) in context_compact + h.compact(self.text) + self.about_compact
+            return h.contains(f"{context}\n{self.text}\n{about}", anchor)
+
+        supported = lambda n: not n.anchors or any(map(holds, n.anchors))
         for name in (self.names[i] for i in self.by_length):
             if supported(name):
                 for spoken in sorted(name.pronunciations, key=len, reverse=True):

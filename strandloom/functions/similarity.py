@@ -6,7 +6,9 @@ import difflib
 import json
 import re
 import unicodedata
+from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,10 +16,84 @@ from pyspark.sql import types as T
 _TOKEN = re.compile(r"[가-힣A-Za-z0-9À-ÿ]+")
 
 
+LONG = 1 << 14  # characters from which on slices of all places would take too much memory
+SHORT = 20_000  # pairs of places up to which the standard library is quicker
+
+
+def _common(a: str, b: str) -> int:
+    """Of some run that both hold, how long it is: the longest at one of the nearest shifts."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
+    n, most = len(x), 0
+    for shift in {*range(min(len(y) - n, 8) + 1), len(y) - n}:
+        apart = np.flatnonzero(x != y[shift : shift + n])
+        most = max(most, int(np.diff(apart, prepend=-1, append=n).max()) - 1)
+    return most
+
+
+def longest_run(a: str, b: str) -> tuple[int, int, int]:
+    """(start in a, start in b, length) of the longest run of characters that both hold; of equally long ones the first in a, then in b."""
+    runs = lambda s, k: [s[i : i + k] for i in range(len(s) - k + 1)]
+    holds = lambda k: k <= min(len(a), len(b)) and not set(runs(b, k)).isdisjoint(runs(a, k))
+    low = _common(a, b)
+    if holds(low + 1):
+        low, step = low + 1, 1
+        while holds(low + step):
+            low, step = low + step, 2 * step
+        high = low + step  # too long
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if holds(middle) else (low, middle)
+    if not low:
+        return 0, 0, 0
+    there = set(runs(b, low))
+    i = next(i for i in range(len(a)) if a[i : i + low] in there)
+    return i, b.find(a[i : i + low]), low
+
+
+def matched(a: str, b: str) -> int:
+    """Characters in matching blocks: those of the longest run that both hold, and of what lies before it and behind it in both.
+
+    A run's length is found by bisection over hashed slices, so the work isn't quadratic in the texts' length, as the standard library's is.
+    """
+    total, left = 0, [(a, b)]
+    while left:
+        x, y = left.pop()
+        if x == y:
+            total += len(x)
+        elif len(x) * len(y) <= SHORT or max(len(x), len(y)) > LONG:
+            total += sum(block.size for block in difflib.SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks())
+        else:
+            i, j, k = longest_run(x, y)
+            if k:
+                total += k
+                left += [(x[:i], y[:j]), (x[i + k :], y[j + k :])]
+    return total
+
+
 def ratio(a: str | None, b: str | None) -> float | None:
     if a is None or b is None:
         return None
-    return 1.0 if a == b else difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+    return 1.0 if a == b else 2.0 * matched(a, b) / (len(a) + len(b))
+
+
+def ratio_bounds(left: list[str], right: list[str]) -> np.ndarray:
+    """For each pair of texts a number that its ratio doesn't exceed: the characters that both have, wherever they are."""
+    kinds = {c: k for k, c in enumerate(sorted(set().union(*left, *right)))}
+    counts = []
+    for texts in (left, right):
+        of = np.zeros((len(kinds), len(texts)), np.int32)
+        for i, t in enumerate(texts):
+            for c, n in Counter(t).items():
+                of[kinds[c], i] = n
+        counts.append(of)
+    both = np.zeros((len(left), len(right)), np.int32)
+    for x, y in zip(*counts):
+        i, j = np.flatnonzero(x), np.flatnonzero(y)
+        both[np.ix_(i, j)] += np.minimum.outer(x[i], y[j])
+    size = np.add.outer([len(t) for t in left], [len(t) for t in right])
+    return np.where(size > 0, 2.0 * both / np.maximum(size, 1), 1.0)
 
 
 @F.pandas_udf(T.DoubleType())

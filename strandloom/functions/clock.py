@@ -42,10 +42,15 @@ def video_id(text: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in forms])
 
 
-def count_label(n: Column) -> Column:
-    """Korean short form of a count: thousands, ten thousands, hundred millions."""
-    one = lambda x, d: F.regexp_replace(F.format_string("%.1f", F.floor(x * 10 / d) / 10), r"\.0$", "")
-    return F.when(n >= 100_000_000, F.concat(one(n, 1e8), F.lit("억"))).when(n >= 10_000, F.concat(one(n, 1e4), F.lit("만"))).when(n >= 1000, F.concat(one(n, 1e3), F.lit("천"))).otherwise(n.cast("string"))
+UNITS = ((100_000_000, "억"), (10_000, "만"), (1000, "천"))
+
+
+def count_label(n: Column, units: tuple[tuple[int, str], ...] = UNITS) -> Column:
+    """Korean short form of a count, in the largest of the units (size, name) that it reaches: hundred millions, ten thousands and thousands by default."""
+    label = F.when(F.lit(False), F.lit(""))
+    for size, name in units:
+        label = label.when(n >= size, F.concat(F.regexp_replace(F.format_string("%.1f", F.floor(n * 10 / float(size)) / 10), r"\.0$", ""), F.lit(name)))
+    return label.otherwise(n.cast("string"))
 
 
 def segment_key(doc: Column, start_ms: Column, end_ms: Column, text: Column) -> Column:

@@ -3,8 +3,11 @@
 import difflib
 import random
 
+import duckdb
+
 from strandloom.functions import similarity
 from strandloom.operators import align
+from strandloom.plans import catalogue
 
 
 def word(rnd, letters, most):
@@ -42,3 +45,12 @@ def test_a_long_conversation_compares_few_pairs(monkeypatch):
     told = align.monotone(left, right)
     assert [(s, i) for s, i, _, _ in told] == [("current_only" if i % 5 == 3 else "matched", i) for i in range(150)]
     assert len(calls) < 4 * len(left)  # all pairs: 18,000
+
+
+def test_labels_beyond_ten_thousand_match_their_sql(spark, tmp_path):
+    keys = [999, 1000, 1234, 9999, 10_000, 19_999, 100_000, 1_234_567]
+    spark.createDataFrame([(k, k % 50 + 1) for k in keys], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    told = sorted(con.execute(catalogue.ORACLES["durations_and_labels"]).fetchall())
+    assert sorted(map(tuple, catalogue.QUERIES["durations_and_labels"](spark, str(tmp_path)).collect())) == told

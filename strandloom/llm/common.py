@@ -28,13 +28,17 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and returns that table.
+#: Of rows with megabytes each: without these Parquet looks at sizes only after a hundred rows, so that a task holds as many, and reads them back together.
+LARGE_ROWS = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
+
+
+def cut(df: DataFrame, name: str, large_rows: bool = False) -> DataFrame:
+    """Writes df as a table in the shared folder and returns that table. large_rows: a row may have megabytes, so a row group has few.
 
     Later steps start from files that outlive any executor, and what made them runs once.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**LARGE_ROWS if large_rows else {}).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

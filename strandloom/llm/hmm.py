@@ -97,7 +97,7 @@ def tokenised(docs: DataFrame, learn: Column) -> DataFrame:
     given = docs.select("doc_id", F.coalesce(learn, F.lit(False)).alias("learn"), F.col("text").cast("binary").alias("body"))
     kind = given.schema["doc_id"].dataType.simpleString()
     schema = f"piece long, ids array<{kind}>, learn array<boolean>, lengths binary, tokens binary, classes binary, counts binary, words array<string>"
-    return cut(given.mapInArrow(_tokenise, schema), "tokens")
+    return cut(given.mapInArrow(_tokenise, schema), "tokens", large_rows=True)
 
 
 @dataclass(frozen=True)

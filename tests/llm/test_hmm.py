@@ -159,3 +159,16 @@ def test_query_learns_from_its_fold_only(spark, tmp_path):
     assert got == {(d, not learn, len(w := tokens(t)), sum(c[x] > 0 for x in w), n) for d, t, learn in docs}
     held = rows.where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert held["s"] > held["b"]
+
+
+def test_large_rows_come_in_small_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from strandloom.llm.common import cut
+
+    rows = spark.range(40).coalesce(1).select("id", F.expr("cast(array_join(transform(sequence(1, 16384), i -> sha2(cast(id * 100000 + i as string), 512)), '') as binary)").alias("body"))
+    table = cut(rows, "large", large_rows=True)
+    assert table.count() == 40
+    for f in table.inputFiles():
+        parts = pq.ParquetFile(f.removeprefix("file:").replace("//", "/")).metadata
+        assert all(parts.row_group(i).total_byte_size <= 24 << 20 for i in range(parts.num_row_groups))  # 2 MB a row

@@ -153,9 +153,8 @@ def rule_table_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a table of rules changes in the turns: each frequent capitalised word, as a word of its own, gets a mark around it."""
     turns, names = _named(spark, sf_dir)
     single = names.where(~F.contains("name", F.lit(" ")))
-    pattern = F.concat(F.lit("(?<![A-Za-z0-9])("), "name", F.lit(")(?![A-Za-z0-9])"))
-    rules = single.select(F.row_number().over(Window.orderBy(F.desc(F.char_length("name")), "name")).alias("nth"), F.col("name").alias("id"), pattern.alias("pattern"), F.lit("<$1>").alias("replacement"), F.lit("regex").alias("kind"), F.lit("high").alias("confidence"), F.lit(None).cast("string").alias("followed_by"), F.col("name").alias("anchor"))
-    done, _ = ruletable.apply_rule_table(turns, rules, "text")
+    rules = single.select((-F.char_length("name")).alias("nth"), F.col("name").alias("id"), F.col("name").alias("word"), F.lit("<$1>").alias("replacement"), F.lit("high").alias("confidence"))
+    done = ruletable.apply_word_rules(turns, ["conv_id", "turn"], rules, "text")
     return done.select("conv_id", "turn", F.explode("changes").alias("c")).select("conv_id", "turn", "c.rule", "c.n")
 
 

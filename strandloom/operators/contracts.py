@@ -6,6 +6,7 @@ in one pass without Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -47,6 +48,11 @@ class Object:
     top: bool = False
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What use makes of a value that is computed once, however often use names it: within lambdas Spark computes a repeated expression again."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _strings(*xs: Column) -> Column:
     return F.array_compact(F.array(*xs)) if xs else F.array().cast(NONE)
 
@@ -89,7 +95,14 @@ def errors(v: Column, contract: Object, prefix: Column | None = None) -> Column:
     """The errors of a variant value against a contract, in order; an empty array for none. Null is no object."""
     prefix = F.lit("") if prefix is None else prefix
     fields = F.when(_kind_of(v) == "OBJECT", F.try_variant_get(v, "$", "map<string,variant>"))
-    keys = F.map_keys(fields)
+    get = lambda f, x: F.coalesce(F.to_json(F.try_element_at(f, F.lit(x))), F.lit("null"))
+    tags = lambda f: F.array(*[get(f, x) for x in contract.tag]) if contract.tag else F.array().cast(NONE)
+    found = _let(fields, lambda f: _let(F.map_keys(f), lambda k: _let(tags(f), lambda t: _object_errors(f, k, t, contract, prefix))))
+    return F.when(v.isNull(), F.array(_said(prefix, "must_be_an_object"))).otherwise(found)
+
+
+def _object_errors(fields: Column, keys: Column, tags: Column, contract: Object, prefix: Column) -> Column:
+    """The errors of an object's fields (null: no object), with their names and its tag as JSON scalars."""
     word = "top_level_fields" if contract.top else "fields"
 
     def names_of(required: tuple[str, ...], allowed: set[str]) -> Column:
@@ -106,8 +119,7 @@ def errors(v: Column, contract: Object, prefix: Column | None = None) -> Column:
         parts.append(names_of(own, set(contract.fields)))
         more: list[tuple[Column, Object]] = []
     else:
-        get = lambda f: F.to_json(F.try_element_at(fields, F.lit(f)))
-        tag = [F.coalesce(get(f), F.lit("null")) for f in contract.tag]
+        tag = [F.get(tags, F.lit(i)) for i in range(len(contract.tag))]
         more = [(_all(t == x for t, x in zip(tag, values)), o) for values, o in contract.variants]
         every = set(contract.fields).union(*(o.fields for _, o in more))
         chosen = F.when(F.lit(False), F.array().cast(NONE))
@@ -141,8 +153,13 @@ def _field(fields: Column, name: str, rule: Value | Items, prefix: Column) -> Co
     if isinstance(rule, Value):
         error = rule.error or f"{name}_{KINDS.get(rule.kind, '')}"
         return _strings(F.when(there & ~_fits(v, rule), _said(prefix, error)))
-    path = F.concat(F.when(prefix == "", "").otherwise(F.concat(prefix, F.lit("."))), F.lit(f"{name}["))
     items = F.when(_kind_of(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>"))
+    checked = _let(items, lambda xs: _items_errors(xs, name, rule, prefix))
+    return F.when(there, checked).otherwise(F.array(_said(prefix, f"{name}_must_be_a_list")))
+
+
+def _items_errors(items: Column, name: str, rule: Items, prefix: Column) -> Column:
+    path = F.concat(F.when(prefix == "", "").otherwise(F.concat(prefix, F.lit("."))), F.lit(f"{name}["))
     at = lambda i: F.concat(path, i.cast("string"), F.lit("]"))
     each = F.flatten(F.transform(items, lambda x, i: errors(x, rule.of, at(i))))
     more = []
@@ -155,13 +172,15 @@ def _field(fields: Column, name: str, rule: Value | Items, prefix: Column) -> Co
         said = F.transform(items, lambda x: F.try_variant_get(x, f"$.{field}", "string"))
         more.append(_strings(F.when(~_all(F.array_contains(F.array_compact(said), x) for x in values.split(",")), _said(prefix, error))))
     empty = F.array(_said(prefix, f"{name}_must_not_be_empty"))
-    checked = F.when(items.isNull(), F.array(_said(prefix, f"{name}_must_be_a_list"))).when(F.size(items) == 0, empty).otherwise(F.concat(each, *more))
-    return F.when(there, checked).otherwise(F.array(_said(prefix, f"{name}_must_be_a_list")))
+    return F.when(items.isNull(), F.array(_said(prefix, f"{name}_must_be_a_list"))).when(F.size(items) == 0, empty).otherwise(F.concat(each, *more))
 
 
 def answer_errors(raw: Column, contract: Object) -> Column:
     """The errors of an answer's text: it must be one JSON object without a fence around it, and keep the contract."""
-    v = F.try_parse_json(F.trim(raw))
+    return _let(raw, lambda text: _let(F.try_parse_json(F.trim(text)), lambda v: _answer(text, v, contract)))
+
+
+def _answer(raw: Column, v: Column, contract: Object) -> Column:
     return (
         F.when(F.trim(F.coalesce(raw, F.lit(""))) == "", F.array(F.lit("response_text_is_empty")))
         .when(F.contains(raw, F.lit("```")), F.array(F.lit("markdown_fence_is_forbidden")))

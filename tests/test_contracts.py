@@ -74,3 +74,9 @@ def test_query_tells_paths(spark):
     rows = catalogue.QUERIES["segmentation_contract"](spark, "/root/testdata/sf0.001").collect()
     kinds = {r["error"].split(":")[1] if r["error"].startswith("sections[") else r["error"].split(":")[0] for r in rows}
     assert {"markdown_fence_is_forbidden", "missing_top_level_fields", "missing_fields", "unknown_fields", "unsupported_role", "confidence_must_be_between_0_and_1"} <= kinds
+
+
+def test_an_answer_is_parsed_once(spark):
+    df = spark.createDataFrame([("{}",)], "raw string")
+    said = df.select(c.answer_errors(df["raw"], c.SEGMENTATION))._jdf.queryExecution().analyzed().expressions().toString()
+    assert said.count("parse_json(") <= 2  # once in the expression, once in the name of its column

@@ -9,18 +9,20 @@ Cartesian tree, cut where fewer than LEAST tokens are left; there are about 2 n
 2. Each window left takes the words around its anchor c along (``AROUND`` tokens to each side at most, within l..r), so that windows of
    one min-hash are compared where they meet, on the subsequences of LEAST tokens that both hold.
 3. Equal subsequences: equality is transitive, so all that have a hash in common are one class, however many they are; nothing is lost.
-4. Similar ones (Jaccard of ``SIMILAR`` or more): up to ``ALL_PAIRS`` different windows of a min-hash are all compared. Of more, those
-   that share a token which few of them have, and neighbours by what follows and by what precedes the anchor.
-   So a frequent phrase in unlike texts hides no pair: the words around it tell them apart.
+4. Similar ones (Jaccard of ``SIMILAR`` or more): up to ``ALL_PAIRS`` different windows of a min-hash are all compared. Of more, first those
+   that share a token which few of them have, and neighbours by what follows and by what precedes the anchor; then all pairs that
+   share enough tokens, but for those that are one class already and whose subsequences all have a partner. No pair is left out.
 
 Min-hashes of more than ``FEW`` windows never meet in one task: the windows, sorted by
 what follows and by what precedes, are compared in blocks. Equal subsequences of different blocks are joined by hash; only windows take part that
-share enough tokens with their neighbours in both orders, as in a sorted order no other window shares more.
+share enough tokens with their neighbours in both orders, as in a sorted order no other window shares more. Similar ones of different blocks
+meet in two steps: all that share the run of ``SHARED`` tokens at one place are similar and become one class by its hash; the others meet by the tokens that fewest windows of the min-hash have: two subsequences that are similar share one of the first ``PREFIX`` tokens of each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,9 @@ ENOUGH = 2  # functions whose shared windows must overlap
 SIMILAR = 0.8
 AROUND = LEAST - 1  # tokens to each side of an anchor
 SPAN = 2 * AROUND + 1
+OVERLAP = int(np.ceil(SIMILAR * LEAST - 1e-9))  # tokens that a passage of different tokens shares with a similar one, at least
+PREFIX = LEAST - OVERLAP + 1
+SHARED = int(np.ceil(SIMILAR * 2 * LEAST / (1 + SIMILAR) - 1e-9))  # tokens that similar passages of different tokens share
 FEW = 1024
 ALL_PAIRS = 64
 RARE = 16  # windows that share a token, at most, for it to make pairs
@@ -319,6 +324,39 @@ def candidates(b: Block) -> tuple[np.ndarray, np.ndarray]:
     return found // n, found % n
 
 
+def remaining(b: Block, label: np.ndarray, settled: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of keys of more than ALL_PAIRS rows all pairs of rows that share enough tokens, key by key, but for settled rows of one label; rows are sorted by key.
+
+    A row whose tokens repeat has fewer different ones to share, by as many as repeat in it at most.
+    """
+    bounds = np.flatnonzero(np.concatenate(([True], b.key[1:] != b.key[:-1], [True])))
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        if hi - lo <= ALL_PAIRS or (settled[lo:hi].all() and (label[lo:hi] == label[lo]).all()):
+            continue
+        n, held = hi - lo, b.held[lo:hi]
+        row = np.nonzero(held)[0]
+        kinds, which, count = np.unique(b.tokens[lo:hi][held], return_inverse=True, return_counts=True)
+        both = np.unique(row * len(kinds) + which)
+        more = held.sum(axis=1) - np.bincount(both // len(kinds), minlength=n)
+        need = np.ceil(SIMILAR * np.maximum(LEAST - more, 1) - 1e-9)
+        some = count[both % len(kinds)] > 1
+        place = np.cumsum(count > 1) - 1
+        row, column = both[some] // len(kinds), place[both[some] % len(kinds)]
+        shared = np.zeros((n, n), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, ROWS):
+            i, j = np.searchsorted(column, (at, at + ROWS))
+            holds = np.zeros((n, ROWS), np.float32)
+            holds[row[i:j], column[i:j] - at] = 1
+            shared += holds @ holds.T
+        open_ = ~settled[lo:hi]
+        apart = open_[:, None] | open_ | (label[lo:hi, None] != label[lo:hi])
+        plain = (more == 0)[:, None] & (more == 0)
+        x, y = np.nonzero(np.triu(apart & (shared >= np.where(plain, SHARED, np.maximum(need[:, None], need))), 1))
+        yield x + lo, y + lo
+
+
 def shared_tokens(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How many tokens the passages at each start of rows x and y share; no token, as a number below the bound, repeats within a row."""
     m, bound = len(x), int(max(x.max(), y.max())) + 1
@@ -355,17 +393,16 @@ def similar_starts(b: Block, i: np.ndarray, j: np.ndarray, unequal: bool = False
     repeats = (ordered[:, 1:] == ordered[:, :-1]).any(axis=1)
     valid = b.valid()
     out = np.zeros((len(i), LEAST), bool)
-    enough = int(np.ceil(SIMILAR * 2 * LEAST / (1 + SIMILAR) - 1e-9))  # shared of LEAST and LEAST different tokens
     for at in range(0, len(i), PAIRS):
         p, q = i[at : at + PAIRS], j[at : at + PAIRS]
         x, y, ok = ranks[p], ranks[q], valid[p] & valid[q]
         same = np.concatenate((np.zeros((len(p), 1), np.int64), np.cumsum(x == y, axis=1)), axis=1)
         aligned = same[:, LEAST:] - same[:, :-LEAST]
         plain = ~(repeats[p] | repeats[q])
-        good = ok & np.where(plain[:, None], aligned >= enough, aligned == LEAST)
+        good = ok & np.where(plain[:, None], aligned >= SHARED, aligned == LEAST)
         rest = np.flatnonzero(plain & ~good.any(axis=1) & ok.any(axis=1))
         if len(rest):
-            good[rest] = ok[rest] & (shared_tokens(x[rest], y[rest]) >= enough)
+            good[rest] = ok[rest] & (shared_tokens(x[rest], y[rest]) >= SHARED)
         for k in np.flatnonzero(~plain & ~good.any(axis=1) & ok.any(axis=1)):
             if len(set(x[k].tolist()) & set(y[k].tolist())) > 1:
                 good[k] = _by_sets(x[k], y[k], ok[k])
@@ -375,6 +412,21 @@ def similar_starts(b: Block, i: np.ndarray, j: np.ndarray, unequal: bool = False
     return out
 
 
+def _labels(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """For each of n rows the first row that it is joined with."""
+    a, z = (np.concatenate(x) for x in zip(*links)) if links else (np.zeros(0, np.int64),) * 2
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[z])
+        told = label.copy()
+        np.minimum.at(told, a, low)
+        np.minimum.at(told, z, low)
+        told = told[told]
+        if (told == label).all():
+            return label
+        label = told
+
+
 def compare(b: Block, exact: bool = True, unequal: bool = False, similar: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Links (uid, uid) that join all that belong together, and the word spans (uid, start, end) that others repeat; rows are sorted by key.
 
@@ -396,29 +448,32 @@ def compare(b: Block, exact: bool = True, unequal: bool = False, similar: bool =
     once = Block.__new__(Block)
     for name in ("key", "uid", "tokens", "held", "first", "last"):
         setattr(once, name, getattr(b, name)[kinds])
-    i, j = candidates(once) if similar else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    other = (once.uid[i] != once.uid[j]) | shared[kinds[i]] | shared[kinds[j]]
-    i, j = i[other], j[other]
-    good = similar_starts(once, i, j, unequal)
-    hit = good.any(axis=1)
-    i, j, good = i[hit], j[hit], good[hit]
     seen = np.zeros((len(kinds), LEAST), bool)
-    np.logical_or.at(seen, i, good)
-    np.logical_or.at(seen, j, good)
+
+    def meet(i: np.ndarray, j: np.ndarray) -> None:
+        other = (once.uid[i] != once.uid[j]) | shared[kinds[i]] | shared[kinds[j]]
+        i, j = i[other], j[other]
+        good = similar_starts(once, i, j, unequal)
+        hit = good.any(axis=1)
+        i, j, good = i[hit], j[hit], good[hit]
+        np.logical_or.at(seen, i, good)
+        np.logical_or.at(seen, j, good)
+        links.append((kinds[i], kinds[j]))
+
+    if similar:
+        meet(*candidates(once))
+    if similar and not unequal:  # of min-hashes in several blocks all blocks' windows meet later
+        label = _labels(n, links)[kinds]
+        settled = (mark[kinds] | seen | ~once.valid()).all(axis=1)
+        for i, j in remaining(once, label, settled):
+            for at in range(0, len(i), PAIRS):
+                x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+                settled = (mark[kinds] | seen | ~once.valid()).all(axis=1) if at else settled
+                label = _labels(n, links)[kinds] if at else label
+                k = ~(settled[x] & settled[y] & (label[x] == label[y]))
+                meet(x[k], y[k])
     mark |= seen[np.searchsorted(kinds, leader)]
-    links.append((kinds[i], kinds[j]))
-    a, z = (np.concatenate(x) for x in zip(*links))
-    # one link from each row to the first it is joined with
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[z])
-        told = label.copy()
-        np.minimum.at(told, a, low)
-        np.minimum.at(told, z, low)
-        told = told[told]
-        if (told == label).all():
-            break
-        label = told
+    label = _labels(n, links)
     edges = np.unique(np.stack((b.uid[label], b.uid), axis=1)[b.uid[label] != b.uid], axis=0)
     row, start = np.nonzero(mark)
     new = np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))) if len(row) else np.zeros(0, bool)
@@ -517,6 +572,156 @@ def _groups(whole: bool, right: bool = False) -> Callable[[Iterator[pa.RecordBat
     return run
 
 
+def _split(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Block]]:
+    """Parts of rows (key, uid, at, fore, aft, ...) with their windows."""
+    for k in range(0, len(batch), FEW):
+        part = batch.slice(k, FEW)
+        key, uid, at, fore, aft = (x.to_numpy(zero_copy_only=False) for x in part.columns[:5])
+        yield part, Block(key, uid, at, _joined(unpack(at)[1], list(fore), list(aft)))
+
+
+def _near_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, hash, uid, start, mask) for each run of SHARED tokens in rows (key, uid, at, fore, aft) whose tokens don't repeat.
+
+    The hash is of the tokens and their place beside the anchor. start is the first word of the subsequence that begins with the run; bit k of the mask: the row holds that which begins k tokens before.
+    """
+    base = 0x9E3779B97F4A7C15
+    powers, inverse = (np.array([pow(base, sign * i, 2**64) for i in range(SPAN)], np.uint64) for sign in (1, -1))
+    for batch in batches:
+        for _, b in _split(batch):
+            ordered = np.sort(b.tokens, axis=1)
+            plain = (ordered[:, 1:] != ordered[:, :-1]).all(axis=1)
+            n = SPAN - SHARED + 1
+            sums = np.concatenate((np.zeros((len(b.key), 1), np.uint64), np.cumsum(b.tokens * powers, axis=1, dtype=np.uint64)), axis=1)
+            hashes = mix64((sums[:, SHARED:] - sums[:, :-SHARED]) * inverse[:n]) ^ mix64(np.arange(n, dtype=np.uint64))
+            mask = np.zeros((len(b.key), n), np.int64)
+            for k in range(LEAST - SHARED + 1):
+                s = np.arange(n) - k
+                mask |= ((s >= b.first[:, None]) & (s <= b.last[:, None])).astype(np.int64) << k
+            row, place = np.nonzero((mask > 0) & plain[:, None])
+            columns = b.key[row], hashes[row, place].view(np.int64), b.uid[row], b.c[row] - AROUND + place, mask[row, place].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "hash", "uid", "start", "mask"])
+
+
+def nearly_equal(hot: DataFrame) -> DataFrame:
+    """Links and spans of hot windows (key, uid, at, fore, aft) whose subsequences share a run of SHARED tokens at one place: all that do are similar, so each is linked with one of them."""
+    runs = cut(hot.select("key", "uid", "at", "fore", "aft").mapInArrow(_near_runs, "key long, hash long, uid long, start long, mask int"), "hot-near-runs")
+    each = range(LEAST - SHARED + 1)
+    has = lambda k: F.col("mask").bitwiseAND(1 << k) > 0
+    many = runs.groupBy("key", "hash").agg(F.count("*").alias("n"), *[F.count_if(has(k)).alias(f"n{k}") for k in each], *[F.min(F.when(has(k), F.col("uid"))).alias(f"u{k}") for k in each]).where("n > 1")
+    told = F.array_compact(F.array(*[F.when(has(k) & (F.col(f"n{k}") > 1), F.struct(F.col(f"u{k}").alias("other"), (F.col("start") - k).alias("start"))) for k in each]))
+    found = runs.join(many, ["key", "hash"]).select("uid", F.explode(told).alias("t")).select("uid", "t.other", "t.start").distinct()
+    return cut(found.select("uid", "other", "start", (F.col("start") + PASSAGE).alias("end")), "hot-near")
+
+
+def _held_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, token, wid, place) for each token of rows (key, uid, at, fore, aft, wid)."""
+    for batch in batches:
+        for part, b in _split(batch):
+            row, place = np.nonzero(b.held)
+            wid = part.column(5).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b.key[row], b.tokens[row, place].view(np.int64), wid[row], place.astype(np.int32))], names=["key", "token", "wid", "place"])
+
+
+def _first_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, token, wid, open, wide, repeats) for the first tokens, by number of windows, of the subsequences of rows (key, uid, at, fore, aft, wid, shared, spans); open: one of those subsequences has no partner yet.
+
+    shared are the (place, n) of tokens that n windows have, spans the word spans that have partners. Of rows whose tokens repeat all tokens count as first;
+    other rows meet these by PREFIX tokens (wide), but one another by fewer, as they have more to share.
+    """
+    for batch in batches:
+        for part, b in _split(batch):
+            count = np.ones(b.tokens.shape, np.int64)
+            row, (place, n) = _flat(part.column(6))
+            count[row, place] = n
+            valid, start = b.valid(), b.c[:, None] - AROUND + np.arange(LEAST)
+            done = np.zeros(valid.shape, bool)
+            row, (begin, end) = _flat(part.column(7))
+            low = np.clip(begin - start[row, 0], 0, LEAST)
+            high = np.clip(end - PASSAGE + 1 - start[row, 0], low, LEAST)
+            change = np.zeros((len(b.key), LEAST + 1), np.int64)
+            np.add.at(change, (row, low), 1)
+            np.add.at(change, (row, high), -1)
+            done = np.cumsum(change, axis=1)[:, :LEAST] > 0
+            rank = np.unique(np.stack((count.ravel(), b.tokens.view(np.int64).ravel()), axis=1), axis=0, return_inverse=True)[1].reshape(b.tokens.shape)
+            ordered = np.sort(b.tokens, axis=1)
+            repeats = (ordered[:, 1:] == ordered[:, :-1]).any(axis=1)
+            first, open_ = np.zeros((2, *b.held.shape), bool), np.zeros((2, *b.held.shape), bool)
+            for s in range(LEAST):
+                k = np.flatnonzero(valid[:, s])
+                mine = rank[k, s : s + LEAST]
+                for wide, most in enumerate((LEAST - SHARED + 1, PREFIX)):
+                    into = mine <= np.partition(mine, most - 1, axis=1)[:, most - 1 : most]
+                    into |= repeats[k, None]
+                    first[wide, k, s : s + LEAST] |= into
+                    open_[wide, k, s : s + LEAST] |= into & ~done[k, s, None]
+            first[1] &= ~first[0] | (open_[1] & ~open_[0])
+            wide, row, place = np.nonzero(first & (count > 1))
+            columns = b.key[row], b.tokens[row, place].view(np.int64), part.column(5).to_numpy()[row], open_[wide, row, place], wide == 1, repeats[row]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "token", "wid", "open", "wide", "repeats"])
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rows and fields of the structs in a column of lists."""
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    return row, [x.to_numpy(zero_copy_only=False) for x in lists.flatten().flatten()]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links and spans of pairs of windows (key, uid, at, fore, aft of both)."""
+    for batch in batches:
+        for k in range(0, len(batch), FEW):
+            part = batch.slice(k, FEW)
+            left, right = ([x.to_numpy(zero_copy_only=False) for x in part.columns[i : i + 5]] for i in (0, 5))
+            key, uid, at, fore, aft = (np.concatenate(x) for x in zip(left, right))
+            b = Block(key, uid, at, _joined(unpack(at)[1], list(fore), list(aft)))
+            n = len(part)
+            good = similar_starts(b, np.arange(n), np.arange(n, 2 * n))
+            hit = np.flatnonzero(good.any(axis=1))
+            yield _rows(FOUND, uid=b.uid[n + hit], other=b.uid[hit])
+            row, start = np.nonzero(np.concatenate((good, good)))
+            if len(row):
+                place = b.c[row] - AROUND + start
+                head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))))
+                tail = np.append(head[1:], len(row)) - 1
+                yield _rows(FOUND, uid=b.uid[row[head]], start=place[head], end=place[tail] + PASSAGE)
+
+
+def similar_across(hot: DataFrame, found: DataFrame) -> DataFrame:
+    """What pairs of hot windows (key, uid, at, fore, aft) add to what was found: links and spans of all that are similar, whatever block they are in.
+
+    Windows that are equal as a whole hold equal passages, so one of them is compared. Pairs that meet by a frequent token are dealt in a grid of blocks. No pair
+    is compared where both belong together already and all that the token stands for has a partner.
+    """
+    before, held = F.shiftright("at", 10).bitwiseAND(63), F.shiftright("at", 4).bitwiseAND(63)
+    one = hot.groupBy("key", before.alias("before"), held.alias("on"), "fore", "aft").agg(F.min(F.struct("uid", "at")).alias("w"), (F.min("uid") != F.max("uid")).alias("many"))
+    one = cut(one.select("key", "w.uid", "w.at", "fore", "aft", "many").withColumn("wid", F.monotonically_increasing_id()), "hot-kinds")
+    near = nearly_equal(one)
+    found = found.union(near)
+    tokens = cut(one.select("key", "uid", "at", "fore", "aft", "wid").mapInArrow(_held_tokens, "key long, token long, wid long, place int"), "hot-tokens")
+    counts = tokens.groupBy("key", "token").agg(F.count_distinct("wid").alias("n")).where("n > 1")
+    shared = tokens.join(counts, ["key", "token"]).groupBy("wid").agg(F.collect_list(F.struct("place", F.col("n").cast("int").alias("n"))).alias("shared"))
+    edges = found.where("other IS NOT NULL AND other <> uid").select(F.col("other").alias("a"), F.col("uid").alias("b")).distinct()
+    labels = connected_components(edges, "hot").select(F.col("node").alias("uid"), "label")
+    spans = found.where("start IS NOT NULL").join(one.select("uid").distinct(), "uid", "left_semi").groupBy("uid").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    ready = one.join(shared, "wid").join(spans, "uid", "left")
+    ready = ready.select("key", "uid", "at", "fore", "aft", "wid", "shared", F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("spans"))
+    label = one.select("wid", "uid").join(labels, "uid", "left").select("wid", F.coalesce("label", "uid").alias("label"))
+    first = cut(ready.mapInArrow(_first_tokens, "key long, token long, wid long, open boolean, wide boolean, repeats boolean").join(label, "wid"), "hot-first")
+    narrow = lambda c: F.when(~F.col("wide"), F.col(c))
+    some = first.groupBy("key", "token").agg(F.max("repeats").alias("r"), *[f(of(c)).alias(n + k) for k, of in (("", F.col), ("0", narrow)) for n, f, c in (("n", F.count, "wid"), ("any", F.max, "open"), ("a", F.min, "label"), ("z", F.max, "label"))])
+    some = some.where("IF(r, n > 1 AND (any OR a <> z), n0 > 1 AND (any0 OR a0 <> z0))")
+    blocks = F.ceil(F.col("n") / FEW).cast("int")
+    dealt = first.join(some.select("key", "token", "r", blocks.alias("blocks")), ["key", "token"]).where("r OR NOT wide").withColumn("mine", F.pmod(F.xxhash64("wid"), "blocks").cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = lambda n: dealt.select("key", "token", F.least("mine", "with").alias("i"), F.greatest("mine", "with").alias("j"), *[F.col(c).alias(c + n) for c in ("wid", "open", "label", "mine", "wide", "repeats")])
+    met = side("1").join(side("2"), ["key", "token", "i", "j"]).where("wid1 < wid2 AND (open1 OR open2 OR label1 <> label2) AND (mine1 <> mine2 OR i = j) AND (NOT wide1 OR repeats2) AND (NOT wide2 OR repeats1)")
+    pairs = cut(met.select("wid1", "wid2").distinct(), "hot-pairs")
+    window = lambda n: one.select(F.col("wid").alias(f"wid{n}"), *[F.col(c).alias(c + n) for c in ("key", "uid", "at", "fore", "aft", "many")])
+    both = pairs.join(window("1"), "wid1").join(window("2"), "wid2").where("uid1 <> uid2 OR many1 OR many2")
+    return cut(both.select(*[c + n for n in "12" for c in ("key", "uid", "at", "fore", "aft")]).mapInArrow(_met, FOUND), "hot-similar").union(near)
+
+
 def shared_windows(texts: DataFrame) -> DataFrame:
     """(uid, least, at): each text's windows whose min-hash another text has, as (key, at, n); n counts the min-hash's windows.
 
@@ -563,9 +768,8 @@ def repeated_passages(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
         same = runs.groupBy("hash").agg(F.min("uid").alias("a"), F.max("uid").alias("z")).where("a <> z").select("hash", "a")
         told = F.col("end").isNotNull()
         found.append(cut(runs.join(same, "hash").select("uid", F.col("a").alias("other"), F.when(told, F.col("start")).alias("start"), "end"), "hot-equal"))
-    joined = found[0]
-    for more in found[1:]:
-        joined = joined.union(more)
+        found.append(similar_across(hot, reduce(DataFrame.union, found[1:])))
+    joined = reduce(DataFrame.union, found)
     edges = joined.where("other IS NOT NULL AND other <> uid").select(F.col("other").alias("a"), F.col("uid").alias("b")).distinct()
     return edges, joined.where("start IS NOT NULL").select("uid", "start", "end")
 

@@ -166,6 +166,37 @@ def test_hot_groups_are_compared_in_blocks(spark):
     assert sum(a is not None and a == b for a, b in pairs) >= 9
 
 
+def test_no_pair_of_a_large_key_is_left_out():
+    """Pairs whose words other windows have too, and that sort far from each other on both sides."""
+    rnd = random.Random(31)
+    line, heads, tails = rnd.sample(range(60000), 30), [rnd.sample(range(60000), 14) for _ in range(20)], [rnd.sample(range(60000), 14) for _ in range(20)]
+    rows = [rnd.sample(range(60000), 19) + h + line + t + rnd.sample(range(60000), 18) for h in heads for t in tails]
+    for k in range(0, 40, 2):  # others with one word changed beside the line
+        rows.append(rnd.sample(range(60000), 19) + rows[k * 10][19:32] + [60001 + k] + rows[k * 10][33:77] + rnd.sample(range(60000), 18))
+    b = block(rows)
+    i, j = np.triu_indices(len(rows), 1)
+    near = p.similar_starts(b, i, j).any(axis=1)
+    expected = set(zip(i[near].tolist(), j[near].tolist()))
+    first = set(zip(*(x.tolist() for x in p.candidates(b))))
+    rest = {pair for x, y in p.remaining(b, np.arange(len(rows)), np.zeros(len(rows), bool)) for pair in zip(x.tolist(), y.tolist())}
+    assert len(expected) > 10 and not expected <= first and expected <= rest
+    x, y, *_ = p.compare(b)
+    assert all(any(k in (u, v) for u, v in zip(x.tolist(), y.tolist())) for pair in expected for k in pair)
+
+
+def test_hot_windows_of_different_blocks_are_compared(spark):
+    rnd = random.Random(41)
+    words = make(rnd, 50000)
+    line, heads, tails = words(30), [words(12) for _ in range(115)], [words(12) for _ in range(10)]
+    texts = [words(40) + h + line + t + words(40) for h in heads for t in tails]
+    pairs = [(k, len(texts) + n) for n, k in enumerate(range(0, len(texts), 50))]
+    texts += [words(40) + texts[k][40:50] + ["other"] + texts[k][51:94] + words(40) for k, _ in pairs]
+    rows = classes(spark, texts)
+    caught = sum(rows[a]["class_id"] is not None and rows[a]["class_id"] == rows[b]["class_id"] for a, b in pairs)
+    print("pairs", len(pairs), "caught", caught)
+    assert caught >= 0.9 * len(pairs)
+
+
 def test_classes(spark):
     rnd = random.Random(3)
     words = make(rnd, 400)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from strandloom.operators import joins
 from strandloom.plans.registry import query
-from strandloom.plans.tables import CHAP, SEG, chapters, segments, table
+from strandloom.plans.tables import CHAP, SEG, chapters, pieces, segments, table
 
 DAY = 86400.0
 
@@ -207,11 +207,13 @@ def integrity_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References that lead nowhere, and those that are used."""
     o, l, c = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
     rule = lambda df, name, key: df.select(F.lit(name).alias("rule"), F.col(key).alias("id"))
+    n, buyers = pieces(l), o.select("o_orderkey", "o_custkey").repartition(pieces(o), "o_custkey")
+    o, l, c = o.select("o_orderkey").repartition(n, "o_orderkey"), l.select("l_orderkey").repartition(n, "l_orderkey").distinct(), c.select("c_custkey").repartition(pieces(o), "c_custkey")
     return (
         rule(o.join(l, o["o_orderkey"] == l["l_orderkey"], "left_anti"), "order_without_lines", "o_orderkey")
-        .union(rule(l.join(o, o["o_orderkey"] == l["l_orderkey"], "left_anti"), "line_without_order", "l_orderkey").distinct())
-        .union(rule(o.join(c, o["o_custkey"] == c["c_custkey"], "left_anti"), "order_without_customer", "o_orderkey"))
-        .union(rule(c.join(o, o["o_custkey"] == c["c_custkey"], "left_semi"), "customer_with_orders", "c_custkey"))
+        .union(rule(l.join(o, o["o_orderkey"] == l["l_orderkey"], "left_anti"), "line_without_order", "l_orderkey"))
+        .union(rule(buyers.join(c, buyers["o_custkey"] == c["c_custkey"], "left_anti"), "order_without_customer", "o_orderkey"))
+        .union(rule(c.join(buyers, buyers["o_custkey"] == c["c_custkey"], "left_semi"), "customer_with_orders", "c_custkey"))
     )
 
 

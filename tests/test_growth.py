@@ -54,3 +54,12 @@ def test_labels_beyond_ten_thousand_match_their_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     told = sorted(con.execute(catalogue.ORACLES["durations_and_labels"]).fetchall())
     assert sorted(map(tuple, catalogue.QUERIES["durations_and_labels"](spark, str(tmp_path)).collect())) == told
+
+
+def dealt(spark, name):
+    """How often a query deals rows into parts whose number Spark doesn't lessen."""
+    return catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression")
+
+
+def test_references_are_joined_in_parts_that_grow_in_number(spark):
+    assert dealt(spark, "integrity_semi_anti") >= 4

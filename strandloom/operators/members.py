@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from strandloom.functions.names import fresh
 
 
-def cover_violations(sections: DataFrame, rows: DataFrame, key: list[str], first: str, last: str, pos: str) -> DataFrame:
-    """(key, pos, problem) for rows that no section covers (gap) or several do (overlap), and for sections' positions without a row (unknown)."""
-    spread = sections.select(*key, F.explode(F.sequence(first, last)).alias(pos))
+def cover_violations(sections: DataFrame, rows: DataFrame, key: list[str], first: str, last: str, pos: str, pieces: int | None = None) -> DataFrame:
+    """(key, pos, problem) for rows that no section covers (gap) or several do (overlap), and for sections' positions without a row (unknown).
+
+    pieces: how many tasks share the positions, if not as many as Spark chooses.
+    """
+    dealt = lambda df: df.repartition(pieces, *key, pos) if pieces else df
+    spread = dealt(sections.select(*key, F.explode(F.sequence(first, last)).alias(pos)))
     covered = spread.groupBy(*key, pos).agg(F.count("*").alias("n"))
     there, n = fresh(rows, "there", "n")
-    joined = rows.select(*key, pos, F.lit(True).alias(there)).join(covered.withColumnRenamed("n", n), [*key, pos], "full_outer")
+    joined = dealt(rows.select(*key, pos)).withColumn(there, F.lit(True)).join(covered.withColumnRenamed("n", n), [*key, pos], "full_outer")
     problem = F.when(F.col(there).isNull(), "unknown").when(F.col(n).isNull(), "gap").when(F.col(n) > 1, "overlap")
     return joined.select(*key, pos, problem.alias("problem")).where("problem IS NOT NULL")
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from strandloom.operators import islands, members
 from strandloom.plans.registry import query
-from strandloom.plans.tables import table
+from strandloom.plans.tables import pieces, table
 
 
 @query("""SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1""")
@@ -30,8 +30,10 @@ SELECT coalesce(l.o, n.o) AS o, coalesce(l.pos, n.pos) AS pos, CASE WHEN l.o IS
 def exact_cover_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line positions of an order that its two sections leave out, share or make up."""
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("pos"), "l_returnflag")
+    n = pieces(l)
+    l = l.repartition(n, "o")
     s = l.where("l_returnflag IN ('A', 'N')").groupBy("o", "l_returnflag").agg(F.min("pos").alias("f"), F.max("pos").alias("t"))
-    return members.cover_violations(s, l.select("o", "pos").distinct(), ["o"], "f", "t", "pos")
+    return members.cover_violations(s, l.select("o", "pos").distinct(), ["o"], "f", "t", "pos", n)
 
 
 @query("""

@@ -63,3 +63,7 @@ def dealt(spark, name):
 
 def test_references_are_joined_in_parts_that_grow_in_number(spark):
     assert dealt(spark, "integrity_semi_anti") >= 4
+
+
+def test_positions_are_covered_in_parts_that_grow_in_number(spark):
+    assert dealt(spark, "exact_cover_violations") >= 4

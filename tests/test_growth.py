@@ -6,7 +6,7 @@ import random
 import duckdb
 
 from strandloom.functions import similarity
-from strandloom.operators import align
+from strandloom.operators import align, folds
 from strandloom.plans import catalogue
 
 
@@ -67,3 +67,13 @@ def test_references_are_joined_in_parts_that_grow_in_number(spark):
 
 def test_positions_are_covered_in_parts_that_grow_in_number(spark):
     assert dealt(spark, "exact_cover_violations") >= 4
+
+
+def test_a_fold_gets_narrow_rows_a_few_at_a_time(spark):
+    """Texts don't pass through the fold's Python, and its values come in parts that cross no border of a key."""
+    plan = catalogue.QUERIES["lookback_groups"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    (line,) = [x for x in plan.splitlines() if "MapInArrow" in x]
+    assert "text#" not in line and "ko#" not in line
+    rows = spark.range(5000).selectExpr("id div 2500 AS k", "id", "repeat('x', 100) AS wide")
+    told = folds.fold(rows, ["k"], ["id"], ["id"], lambda: (lambda seen: lambda _: seen.append(1) or len(seen))([]))
+    assert told.where("grp <> id % 2500 + 1 OR length(wide) <> 100").isEmpty() and told.count() == 5000

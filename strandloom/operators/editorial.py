@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,6 +24,7 @@ ACRONYM = re.compile(r"(?<![A-Za-z0-9])[A-Z][A-Z0-9]{1,4}(?![A-Za-z0-9])")
 HANGUL_WORD = re.compile("[가-힣]{2,}")
 ANY_WORD = re.compile("[가-힣]{2,}|[A-Za-z][A-Za-z0-9+./-]*")
 HONORIFIC = re.compile(r"([가-힣]{2,8})\s*님")
+ROWS = 128  # whose texts are held at once
 REACH = 2  # rows on either side that count as nearby
 #: How near, by letters, a word must be to a name: with an honorific, with a creator's first name, with a lost beginning, at any place, in the registry.
 NEAR_HONORIFIC, NEAR_CREATOR, NEAR_ENDING, NEAR_WORD, NEAR_REGISTRY, AMBIGUOUS = 0.26, 0.34, 0.45, 0.22, 0.28, 0.03
@@ -192,32 +193,36 @@ def edit_videos(rows: DataFrame, metadata: DataFrame, video: str, pos: str, text
     """(video, pos, text, edited, changes, near) of every row.
 
     metadata has (video, at, source, weight, text). changes has (from, to, reason, evidence) in the order in which they were made, near what is too weak or ambiguous. A null text
-    is empty. One video is one task's stream of rows, of which two texts are held; its metadata, which comes with each of its rows, is short.
+    is empty. One video is one task's stream of rows, of which two texts are held; its metadata comes with its first row.
     """
-    v, p, t, spaced, made, a1, a2 = fresh(rows, "video", "pos", "text", "spaced", "made", "after1", "after2")
+    v, p, t, spaced, made, a1, a2, nth = fresh(rows, "video", "pos", "text", "spaced", "made", "after1", "after2", "nth")
     given = rows.select(F.col(video).alias(v), F.col(pos).alias(p), F.coalesce(F.col(text), F.lit("")).alias(t))
     said = metadata.withColumnRenamed(video, v)
     about = said.groupBy(v).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "source", "text"))), lambda r: r["text"]), "\n").alias("about"))
     order = Window.partitionBy(v).orderBy(p)
     clean, changes = repairs.repaired_spacing(F.col(t))
-    ready = given.withColumns({spaced: clean, made: changes, a1: F.lead(t, 1).over(order), a2: F.lead(t, 2).over(order)})
-    ready = ready.join(name_scores(given, said, v, t, names), v).join(identities(said, v), v, "left").join(about, v, "left")
+    ready = given.withColumns({spaced: clean, made: changes, a1: F.lead(t, 1).over(order), a2: F.lead(t, 2).over(order), nth: F.rank().over(order)})
+    of_video = name_scores(given, said, v, t, names).join(identities(said, v), v, "left").join(about, v, "left")
+    ready = ready.join(of_video, v).withColumns({c: F.when(F.col(nth) == 1, F.col(c)) for c in ("scores", "short", "full", "about")}).drop(nth)
     placed = ready.repartition(v).sortWithinPartitions(v, p)
     kinds = {f.name: f.dataType.simpleString() for f in given.schema}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         editor, now, held = Editor(names), object(), []
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                if r[v] != now:
-                    now, held = r[v], []
-                after = [x for x in (r[a1], r[a2]) if isinstance(x, str)]
-                short, full = (r["short"], r["full"]) if isinstance(r["short"], str) else (None, None)
-                edited, changed, near = editor.row(r[spaced], held, r[t], after, short, full, list(r["scores"]), r["about"] if isinstance(r["about"], str) else "")
-                first = [tuple(c.values()) if isinstance(c, dict) else tuple(c) for c in r[made]]
-                out.append((r[v], r[p], r[t], edited, first + changed, near))
-                held = [*held, edited][-REACH:]
-            yield pd.DataFrame(out, columns=[v, p, t, "edited", "changes", "near"])
-
-    return placed.mapInPandas(run, f"`{v}` {kinds[v]}, `{p}` {kinds[p]}, `{t}` string, edited string, changes array<{CHANGE}>, near array<{NEAR}>").select(F.col(v).alias(video), F.col(p).alias(pos), F.col(t).alias(text), "edited", "changes", "near")
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                part, out = batch.slice(at, ROWS), []
+                for r in part.to_pylist():
+                    if r[v] != now:
+                        now, held, short, full, scores, said_of = r[v], [], r["short"], r["full"], r["scores"], r["about"] or ""
+                    after = [x for x in (r[a1], r[a2]) if x is not None]
+                    edited, changed, near = editor.row(r[spaced], held, r[t], after, short, full, scores, said_of)
+                    out.append((edited, [tuple(c.values()) for c in r[made]] + changed, near))
+                    held = [*held, edited][-REACH:]
+                edited, changed, near = zip(*out)
+                made_of = lambda xs, fields: pa.array([[dict(zip(fields, x)) for x in row] for row in xs], pa.list_(pa.struct(fields)))
+                texts = dict.fromkeys(("from", "to", "reason", "evidence"), pa.string())
+                columns = [*part.select([v, p, t]).columns, pa.array(edited, pa.string()), made_of(changed, texts), made_of(near, {"surface": pa.string(), "reason": pa.string(), "names": pa.list_(pa.string())})]
+                yield pa.RecordBatch.from_arrays(columns, names=[v, p, t, "edited", "changes", "near"])
+
+    return placed.mapInArrow(run, f"`{v}` {kinds[v]}, `{p}` {kinds[p]}, `{t}` string, edited string, changes array<{CHANGE}>, near array<{NEAR}>").select(F.col(v).alias(video), F.col(p).alias(pos), F.col(t).alias(text), "edited", "changes", "near")

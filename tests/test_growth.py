@@ -77,3 +77,8 @@ def test_a_fold_gets_narrow_rows_a_few_at_a_time(spark):
     rows = spark.range(5000).selectExpr("id div 2500 AS k", "id", "repeat('x', 100) AS wide")
     told = folds.fold(rows, ["k"], ["id"], ["id"], lambda: (lambda seen: lambda _: seen.append(1) or len(seen))([]))
     assert told.where("grp <> id % 2500 + 1 OR length(wide) <> 100").isEmpty() and told.count() == 5000
+
+
+def test_a_video_s_metadata_comes_with_its_first_row_only(spark):
+    plan = catalogue.QUERIES["editorial_changes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan and any("THEN about" in x for x in plan.splitlines())

@@ -623,11 +623,30 @@ def _held_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b.key[row], b.tokens[row, place].view(np.int64), wid[row], place.astype(np.int32))], names=["key", "token", "wid", "place"])
 
 
+def _ranks(count: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The place of each token among all different ones in order of count, then token."""
+    order = np.lexsort((tokens.ravel(), count.ravel()))
+    c, t = count.ravel()[order], tokens.ravel()[order]
+    rank = np.empty(len(order), np.int32)
+    rank[order] = np.cumsum(np.concatenate(([0], (c[1:] != c[:-1]) | (t[1:] != t[:-1])))) if len(order) else 0
+    return rank.reshape(tokens.shape)
+
+
+def _leading(ranks: np.ndarray) -> np.ndarray:
+    """Which places of each row hold one of the least m - SIMILAR * m + 1 of its m different ranks: rows similar as sets have one of these in common."""
+    ordered = np.sort(ranks, axis=1)
+    nth = np.cumsum(np.diff(ordered, axis=1, prepend=-1) > 0, axis=1)
+    kinds = nth[:, -1]
+    most = kinds - np.ceil(SIMILAR * kinds - 1e-9).astype(np.int64) + 1
+    return ranks <= np.where(nth <= most[:, None], ordered, -1).max(axis=1, keepdims=True)
+
+
 def _first_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, token, wid, open, wide, repeats) for the first tokens, by number of windows, of the subsequences of rows (key, uid, at, fore, aft, wid, shared, spans); open: one of those subsequences has no partner yet.
 
-    shared are the (place, n) of tokens that n windows have, spans the word spans that have partners. Of rows whose tokens repeat all tokens count as first;
-    other rows meet these by PREFIX tokens (wide), but one another by fewer, as they have more to share.
+    shared are the (place, n) of tokens that n windows have, spans the word spans that have partners. Of a subsequence of m different tokens, those that it may lack of
+    a similar one and one more count as first, in rows whose tokens repeat too; rows without repeats meet these by PREFIX tokens (wide), but one another by fewer,
+    as they have more to share. A token that repeats in a window is told once.
     """
     for batch in batches:
         for part, b in _split(batch):
@@ -643,21 +662,28 @@ def _first_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             np.add.at(change, (row, low), 1)
             np.add.at(change, (row, high), -1)
             done = np.cumsum(change, axis=1)[:, :LEAST] > 0
-            rank = np.unique(np.stack((count.ravel(), b.tokens.view(np.int64).ravel()), axis=1), axis=0, return_inverse=True)[1].reshape(b.tokens.shape)
-            ordered = np.sort(b.tokens, axis=1)
+            rank = _ranks(count, b.tokens)
+            ordered = np.sort(rank, axis=1)
             repeats = (ordered[:, 1:] == ordered[:, :-1]).any(axis=1)
             first, open_ = np.zeros((2, *b.held.shape), bool), np.zeros((2, *b.held.shape), bool)
             for s in range(LEAST):
                 k = np.flatnonzero(valid[:, s])
-                mine = rank[k, s : s + LEAST]
-                for wide, most in enumerate((LEAST - SHARED + 1, PREFIX)):
-                    into = mine <= np.partition(mine, most - 1, axis=1)[:, most - 1 : most]
-                    into |= repeats[k, None]
+                again = repeats[k]
+                once, more = k[~again], k[again]
+                mine = rank[once, s : s + LEAST]
+                least = np.partition(mine, (LEAST - SHARED, PREFIX - 1), axis=1)
+                told = [(0, once, mine <= least[:, LEAST - SHARED, None]), (1, once, mine <= least[:, PREFIX - 1, None])]
+                if len(more):
+                    told.append((0, more, _leading(rank[more, s : s + LEAST])))
+                for wide, k, into in told:
                     first[wide, k, s : s + LEAST] |= into
                     open_[wide, k, s : s + LEAST] |= into & ~done[k, s, None]
             first[1] &= ~first[0] | (open_[1] & ~open_[0])
             wide, row, place = np.nonzero(first & (count > 1))
-            columns = b.key[row], b.tokens[row, place].view(np.int64), part.column(5).to_numpy()[row], open_[wide, row, place], wide == 1, repeats[row]
+            _, head, same = np.unique((wide * len(rank) + row) * rank.size + rank[row, place], return_index=True, return_inverse=True)
+            open_ = np.bincount(same, open_[wide, row, place], len(head)) > 0
+            wide, row, place = wide[head], row[head], place[head]
+            columns = b.key[row], b.tokens[row, place].view(np.int64), part.column(5).to_numpy()[row], open_, wide == 1, repeats[row]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "token", "wid", "open", "wide", "repeats"])
 
 

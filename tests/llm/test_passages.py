@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from strandloom.llm import passages as p
 
@@ -197,6 +198,43 @@ def test_hot_windows_of_different_blocks_are_compared(spark):
     assert caught >= 0.9 * len(pairs)
 
 
+def test_windows_whose_words_repeat_meet_by_few_tokens():
+    """One word over and over between others, as in junk: all windows hold its token many times, and only those alike as sets may meet."""
+    rnd = random.Random(51)
+    rows = []
+    for _ in range(150):
+        head = rnd.randint(10, 36)
+        rows.append([rnd.choice([rnd.randrange(60000), 7, 8]) for _ in range(head)] + [1] * 46 + [rnd.choice([rnd.randrange(60000), 7, 8]) for _ in range(49 - head)])
+    for k in range(0, 100, 2):  # one word changed
+        at = rnd.choice([x for x in range(95) if not 36 <= x < 56])
+        rows.append(rows[k][:at] + [rnd.randrange(60000)] + rows[k][at + 1 :])
+    rows += [rnd.sample(range(60000), 20) + [1] * 5 + rnd.sample(range(60000), 70) for _ in range(50)]
+    b, n = block(rows), len(rows)
+    i, j = np.triu_indices(n, 1)
+    expected = p.similar_starts(b, i, j).any(axis=1)
+    counts = {}
+    for x, t in enumerate(b.tokens):
+        for token in t.tolist():
+            counts.setdefault(token, set()).add(x)
+    shared = [[{"place": q, "n": len(counts[token])} for q, token in enumerate(t.tolist()) if len(counts[token]) > 1] for t in b.tokens]
+    columns = {"key": b.key, "uid": b.uid, "at": np.full(n, p.pack(np.array([0]), np.array([45]), np.array([91]), 0)[0])}
+    words = [np.array(r, np.uint16) for r in rows]
+    given = pa.table(columns | {"fore": [w[45:].tobytes() for w in words], "aft": [w[:50][::-1].tobytes() for w in words], "wid": np.arange(n)})
+    given = given.append_column("shared", pa.array(shared, pa.list_(pa.struct([("place", pa.int32()), ("n", pa.int32())]))))
+    given = given.append_column("spans", pa.array([[]] * n, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))))
+    told = pa.Table.from_batches(list(p._first_tokens(iter(given.to_batches())))).to_pylist()
+    of, wide = {}, {}
+    for r in told:
+        of.setdefault((r["token"], r["wid"]), []).append(r["wide"])
+    assert all(len(x) == len(set(x)) for x in of.values())
+    meets = {}
+    for (token, w), x in of.items():
+        meets.setdefault(token, set()).add(w)
+    met = {(x, y) for s in meets.values() for x in s for y in s if x < y}
+    assert expected.sum() > 20 and set(zip(i[expected].tolist(), j[expected].tolist())) <= met
+    assert len(met) < len(i) / 4
+
+
 def test_classes(spark):
     rnd = random.Random(3)
     words = make(rnd, 400)

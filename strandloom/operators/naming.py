@@ -1,16 +1,16 @@
 """Names in texts: all mentions in one pass, what an output lacks of its source's names, and rewrites that leave names alone.
 
-A text's runs of letters and digits are numbered, and its windows of as many runs as some name has meet the names' forms by equality. Every
-form is found wherever it stands, overlapping ones too, whatever the number of forms; Spark broadcasts the forms if they are few and shuffles otherwise.
+A text's words are numbered, and its windows of as many words as some name has meet the names' forms by equality. Every
+form is found wherever it stands, overlapping ones too, whatever the number of forms; they are broadcast if they are few and shuffled otherwise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strandloom.functions.names import fresh
 from strandloom.functions.repairs import GENERIC_PHRASES, name_tokens
@@ -28,6 +28,60 @@ LATIN_SPANS = (
 ADDED = "(?:스|즈)(?=(?:은|는|이|가|을|를|에|에서|의|와|과|로|으로|예요|이에요|입니다))"
 CODE_AGAIN = r"\s+코드(?=[을를이가은는에의와과로으로,.!?\s]|$)"
 SPAN = "array<struct<start:int,end:int,name:string>>"
+MENTION = "array<struct<name:string,form:string,start:int,end:int>>"
+#: How many forms are sent to every executor; more are shuffled.
+BROADCAST = 300_000
+
+
+def _within(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What use makes of a value, which is computed once however often functions of arrays use it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _low(text: Column) -> Column:
+    """The text with A-Z in lower case and all else as it is."""
+    return F.translate(text, ascii_uppercase, ascii_lowercase)
+
+
+def _with_mentions(rows: DataFrame, key: list[str], text: str, forms: DataFrame, out: str) -> DataFrame:
+    """rows with their texts' mentions in column out, as an array.
+
+    A text's words meet the forms by equality, alone and as many together as some form has. Only those that a form has are shuffled, without their text; each row meets its own
+    once, and there the characters between and beside them decide.
+    """
+    words_of = lambda c: F.regexp_extract_all(_low(c), F.lit("([a-z0-9]+)"), 1)
+    k, nth, window, name, form, lead, word, met = fresh(rows, "k", "nth", "window", "name", "form", "lead", "word", "met")
+    f = forms.select(F.col("name").alias(name), F.col("form").alias(form)).distinct().withColumn("words", words_of(F.col(form)))
+    before, alone = F.char_length(F.regexp_extract(form, "^([^A-Za-z0-9]*)", 1)), F.col(form).rlike(r"^[A-Za-z0-9]+\z")
+    f = f.select(name, form, F.size("words").alias(k), F.array_join("words", " ").alias(window), before.alias(lead), alone.alias(word)).where(F.col(k) > 0)
+    sizes = {r[k]: r["count"] for r in f.groupBy(k).count().collect()}
+    f = F.broadcast(f) if sum(sizes.values()) <= BROADCAST else f
+
+    def windows(words: Column, n: int) -> Column:
+        joined = lambda w, i: w if n == 1 else F.concat_ws(" ", *[F.get(words, i + j) for j in range(n)])
+        return F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0))), lambda w, i: F.struct(F.lit(n).alias(k), i.alias(nth), joined(w, i).alias(window)))
+
+    every = _within(words_of(F.col(text)), lambda words: F.concat(*[windows(words, n) for n in sorted(sizes) or [1]]))
+    told = rows.select(*key, F.explode(every).alias(met)).select(*key, f"{met}.*").join(f, [k, window])
+    told = told.groupBy(*key).agg(F.collect_list(F.struct(nth, name, form, lead, word)).alias(met))
+
+    # the text's outline, with a bar before each word: as long as the text, but for the bars
+    outline = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z0-9]", " "), "([A-Za-z0-9]+)", "|$1")
+
+    def placed(bars: Column) -> Column:
+        start = lambda m: F.char_length(F.call_function("substring_index", bars, F.lit("|"), m[nth] + 1)) - m[nth] - m[lead]
+        return F.transform(met, lambda m: F.struct(m[name].alias("name"), m[form].alias("form"), start(m).alias("start"), m[word].alias("word")))
+
+    def stands(m: Column) -> Column:
+        size = F.char_length(m["form"])
+        same = F.lower(F.substring(text, m["start"] + 1, size)) == F.lower(m["form"])
+        beside = lambda at: ~F.coalesce(F.substring(text, at, F.lit(1)).rlike("^[A-Za-z0-9]"), F.lit(False))
+        return m["word"] | ((m["start"] >= 0) & same & beside(m["start"] + size + 1) & ((m["start"] == 0) | beside(F.greatest(m["start"], F.lit(1)))))
+
+    found = F.filter(_within(outline, placed), stands)
+    found = F.transform(found, lambda m: F.struct(m["name"].alias("name"), m["form"].alias("form"), m["start"].alias("start"), (m["start"] + F.char_length(m["form"])).alias("end")))
+    none = F.array().cast(MENTION)
+    return rows.join(told, key, "left").withColumn(out, F.when(F.col(met).isNull(), none).otherwise(found.cast(MENTION))).drop(met)
 
 
 def mentions(rows: DataFrame, key: list[str], text: str, forms: DataFrame) -> DataFrame:
@@ -35,35 +89,25 @@ def mentions(rows: DataFrame, key: list[str], text: str, forms: DataFrame) -> Da
 
     Places are in characters from 0. A form without letters or digits is never found; a null text holds none.
     """
-    runs_of = lambda c: F.regexp_extract_all(c, F.lit("([A-Za-z0-9]+|[^A-Za-z0-9]+)"), 1)
-    f = forms.select("name", "form").distinct().withColumn("runs", F.filter(runs_of(F.col("form")), lambda r: r.rlike("^[A-Za-z0-9]")))
-    f = f.select("name", "form", F.size("runs").alias("k"), F.lower(F.array_join("runs", " ")).alias("window"), F.char_length(F.regexp_extract("form", "^([^A-Za-z0-9]*)", 1)).alias("lead")).where("k > 0")
-    sizes = sorted(r["k"] for r in f.select("k").distinct().collect())
-    order = Window.partitionBy(*key).orderBy("at")
-    runs = rows.select(*key, F.posexplode(runs_of(F.col(text))).alias("at", "run"))
-    runs = runs.withColumn("offset", F.coalesce(F.sum(F.char_length("run")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
-    joined = lambda k: F.concat(*[x for i in range(k) for x in ([F.lit(" ")] if i else []) + [F.lower(F.lead("run", 2 * i).over(order))]])
-    windows = runs.withColumn("windows", F.array(*[F.struct(F.lit(k).alias("k"), joined(k).alias("window")) for k in sizes] or [F.struct(F.lit(0).alias("k"), F.lit("").alias("window"))]))
-    windows = windows.where(F.col("run").rlike("^[A-Za-z0-9]")).select(*key, "offset", F.explode("windows").alias("w")).select(*key, "offset", "w.k", "w.window")
-    met = windows.join(f, ["k", "window"]).withColumn("start", F.col("offset") - F.col("lead")).where("start >= 0")
-    met = met.join(rows.select(*key, F.col(text).alias("body")), key)
-    size = F.char_length("form")
-    same = F.lower(F.substring("body", F.col("start") + 1, size)) == F.lower("form")
-    beside = lambda at: ~F.coalesce(F.substring("body", at, F.lit(1)).rlike("^[A-Za-z0-9]"), F.lit(False))
-    alone = beside(F.col("start") + size + 1) & ((F.col("start") == 0) | beside(F.greatest(F.col("start"), F.lit(1))))
-    return met.where(same & alone).select(*key, "name", "form", "start", (F.col("start") + size).cast("int").alias("end"))
+    (m,) = fresh(rows, "m")
+    return _with_mentions(rows.select(*key, text), key, text, forms, m).select(*key, F.explode(m).alias(m)).select(*key, f"{m}.*")
 
 
-def chosen_spans(found: DataFrame, key: list[str]) -> DataFrame:
-    """(key, spans): of overlapping mentions the longest, then the first; in order of place."""
+def _chosen(found: Column) -> Column:
+    """Of an array's overlapping mentions the longest, then the first; in order of place."""
 
     def add(held: Column, m: Column) -> Column:
         meets = F.exists(held, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
         return F.when(meets, held).otherwise(F.concat(held, F.array(F.struct(m["start"].alias("start"), m["end"].alias("end"), m["name"].alias("name")))))
 
-    one = F.struct((F.col("start") - F.col("end")).alias("shorter"), F.lower("name").alias("low"), "start", "end", "name")
-    every = found.groupBy(*key).agg(F.array_sort(F.collect_set(one)).alias("m"))
-    return every.select(*key, F.array_sort(F.aggregate("m", F.array().cast(SPAN), add)).alias("spans"))
+    one = lambda m: F.struct((m["start"] - m["end"]).alias("shorter"), F.lower(m["name"]).alias("low"), m["start"].alias("start"), m["end"].alias("end"), m["name"].alias("name"))
+    return F.array_sort(F.aggregate(F.array_sort(F.array_distinct(F.transform(found, one))), F.array().cast(SPAN), add))
+
+
+def chosen_spans(found: DataFrame, key: list[str]) -> DataFrame:
+    """(key, spans): of overlapping mentions the longest, then the first; in order of place."""
+    every = found.groupBy(*key).agg(F.collect_list(F.struct("name", "form", "start", "end")).alias("m"))
+    return every.select(*key, _chosen(F.col("m")).alias("spans"))
 
 
 def _pieces(text: Column, spans: Column, put: Callable[[Column, Column], Column]) -> Column:
@@ -77,8 +121,7 @@ def _pieces(text: Column, spans: Column, put: Callable[[Column, Column], Column]
 
 
 def _with_spans(rows: DataFrame, key: list[str], text: str, forms: DataFrame, out: str) -> DataFrame:
-    spans = chosen_spans(mentions(rows, key, text, forms), key).withColumnRenamed("spans", out)
-    return rows.join(spans, key, "left").withColumn(out, F.coalesce(out, F.array().cast(SPAN)))
+    return _with_mentions(rows, key, text, forms, out).withColumn(out, _chosen(F.col(out)))
 
 
 def name_issues(rows: DataFrame, key: list[str], source: str, output: str, forms: DataFrame) -> DataFrame:
@@ -149,5 +192,14 @@ def rewritten_around_names(rows: DataFrame, key: list[str], text: str, forms: Da
         return F.when(F.lower(F.element_at(name_tokens(name), -1)) == "code", code).otherwise(x)
 
     names = F.array_sort(F.array_distinct(kept), lambda a, b: F.char_length(b) - F.char_length(a))
-    whole = F.when(F.size(kept) > 0, F.aggregate(names, F.aggregate(numbers, done, back), once)).otherwise(done)
+
+    # a name's patterns leave a text as it is that doesn't hold, in any case and with any blanks, what they look for
+    flat = lambda c: F.regexp_replace(_low(c), r"\s+", " ")
+    last = lambda name: F.try_element_at(name_tokens(name), F.lit(-1))
+    told = lambda name: F.struct(name.alias("name"), flat(F.concat(name, F.lit(" "), last(name))).alias("one"), flat(F.concat(name, F.lit(" "), name)).alias("two"), ((F.lower(last(name)) == "code") | F.contains(name, F.lit(r"\E"))).alias("code"))
+    state = lambda x: F.struct(x.alias("x"), flat(x).alias("low"))
+    may = lambda held, n: F.coalesce(n["code"] | F.contains(held["low"], n["one"]) | F.contains(held["low"], n["two"]), F.lit(True))
+    step = lambda held, n: F.when(may(held, n), _within(once(held["x"], n["name"]), state)).otherwise(held)
+    restored = F.aggregate(numbers, done, back)
+    whole = F.when(F.size(kept) > 0, F.aggregate(F.transform(names, told), _within(restored, state), step)["x"]).otherwise(done)
     return given.withColumn(out, F.trim(F.regexp_replace(whole, r"(?U)\s+", " "))).drop(body, spans, mark, kept)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from strandloom.operators import contracts, editorial, evidence, mappings, naming, relations, ruletable
 from strandloom.plans.registry import query
-from strandloom.plans.tables import table, utterances
+from strandloom.plans.tables import spread, table, utterances
 
 #: Invented: spoken names and their official form.
 SPOKEN_NAMES = {"클로드": "Claude", "미드저니": "Midjourney"}
@@ -99,14 +99,10 @@ def variant_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _named(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Turns with what they become, and names (name, form): capitalised words of the turns that occur five times, and those before a lower-case word that occur three times."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
-    runs = turns.select(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+|[^A-Za-z0-9]+)"), 1).alias("r"))
-    at = runs.select("r", F.explode(F.filter(F.sequence(F.lit(1), F.size("r")), lambda i: F.try_element_at("r", i).rlike("^[A-Z][a-z]{2,}$"))).alias("i"))
-    word, gap, after = (F.try_element_at("r", F.col("i") + k) for k in range(3))
-    pair = F.when((gap == " ") & after.rlike("^[a-z]{2,}$"), F.concat_ws(" ", word, after))
-    one = at.groupBy(word.alias("name")).agg(F.count("*").alias("n")).where("n >= 5")
-    two = at.groupBy(pair.alias("name")).agg(F.count("*").alias("n")).where("n >= 3 AND name IS NOT NULL")
-    names = one.union(two).select("name", F.col("name").alias("form"))
+    turns = spread(table(spark, sf_dir, "conversations")).select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    word, pair = (F.regexp_extract_all("text", F.lit(f"(?<![A-Za-z0-9])({p})(?![A-Za-z0-9])"), 1) for p in ("[A-Z][a-z]{2,}", "[A-Z][a-z]{2,} [a-z]{2,}"))
+    counted = turns.select(F.explode(F.concat(word, pair)).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    names = counted.where(F.col("n") >= F.when(F.contains("name", F.lit(" ")), 3).otherwise(5)).select("name", F.col("name").alias("form"))
     # every other turn loses its capitals, the others their words after "The" and "In" and the blanks behind some names
     lost = F.regexp_replace(F.regexp_replace("text", r"(?<![A-Za-z])(The|In) [a-z]+", " "), "(?<![A-Za-z])([A-Z])([a-z]+)(?= die| of| and)", "$1-$2")
     return turns.withColumn("out", F.when(F.col("turn") % 2 == 0, F.lower("text")).otherwise(lost)), names

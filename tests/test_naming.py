@@ -85,3 +85,22 @@ def test_longest_mention_wins(spark):
     rows = spark.createDataFrame([(1, "Claude Code Lab and A B C D")], "i int, t string")
     spans = n.chosen_spans(n.mentions(rows, ["i"], "t", forms(spark)), ["i"]).first()["spans"]
     assert [(s["start"], s["end"], s["name"]) for s in spans] == [(0, 11, "Claude Code"), (22, 27, "B C D")]
+
+
+def test_texts_are_neither_numbered_by_shuffle_nor_sent_along_with_mentions(spark):
+    rows = spark.createDataFrame([(1, "Claude Code Lab")], "i int, t string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    found = plan(n.mentions(rows, ["i"], "t", forms(spark)))
+    assert "Window" not in found and found.count("Join") == 2  # with the forms and, once a row, with its text
+    assert plan(n.rewritten_around_names(rows, ["i"], "t", forms(spark), F.upper)).count("Join") == 2
+
+
+def test_names_behind_themselves_in_any_case_and_across_blanks(spark):
+    texts = ("Claude\n\tClaude x", "Claude Claude Claude", "CLAUDE CODE code", "Claude Code Claude  Code", "AI ai,AI", "A B  b", "C++ c")
+    assert around(spark, lambda c: c, *texts) == ["Claude x", "Claude", "Claude Code", "Claude Code Claude Code", "AI,AI", "A B", "C++ c"]
+
+
+def test_places_are_in_characters_whatever_the_gaps_hold(spark):
+    rows = spark.createDataFrame([(1, "😀|한글|AI | 😀 C++|x"), (2, "|"), (3, "AI|AI")], "i int, t string")
+    got = sorted((r["i"], r["form"], r["start"], r["end"]) for r in n.mentions(rows, ["i"], "t", forms(spark)).collect())
+    assert got == [(1, "AI", 5, 7), (1, "C++", 12, 15), (3, "AI", 0, 2), (3, "AI", 3, 5)]

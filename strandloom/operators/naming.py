@@ -136,12 +136,14 @@ def name_issues(rows: DataFrame, key: list[str], source: str, output: str, forms
     itself = whole.select("name", F.col("name").alias("form")).distinct()
     words = name_tokens(F.col("name"))
     counted = whole.where(F.size(words).between(1, 2) & ~F.lower("name").isin(*GENERIC_PHRASES) & ~((F.size(words) == 1) & F.upper("name").isin(*LATIN_TERMS)))
-    asked = mentions(given, key, plain, counted).select(*key, "name").distinct()
-    there = mentions(given, key, o, itself).select(*key, "name").distinct().withColumn("there", F.lit(True))
-    lacking = asked.join(given.select(*key, o), key).where(~F.contains(o, F.col("name"))).join(there, [*key, "name"], "left")
-    lacking = lacking.select(*key, F.when(F.col("there"), "misspelt_name").otherwise("missing_name").alias("kind"), F.col("name").alias("what"))
-
-    bare = _with_spans(given, key, o, itself, "spans").withColumn("left", _pieces(F.col(o), F.col("spans"), lambda m, i: F.lit(" ")))
+    asked, there, named_in = fresh(given, "asked", "there", "named_in")
+    given = _with_mentions(_with_mentions(given, key, plain, counted, asked), key, o, itself, there)
+    named = lambda c: F.array_distinct(F.transform(c, lambda m: m["name"]))
+    given = given.withColumn(asked, named(F.col(asked))).withColumn(named_in, named(F.col(there))).withColumn("spans", _chosen(F.col(there)))
+    lacking = F.filter(asked, lambda name: ~F.contains(F.col(o), name))
+    lacking = F.transform(lacking, lambda name: F.struct(F.when(F.array_contains(named_in, name), "misspelt_name").otherwise("missing_name").alias("kind"), name.alias("what")))
+
+    bare = given.withColumn("left", _pieces(F.col(o), F.col("spans"), lambda m, i: F.lit(" ")))
     text = F.col("left")
     for pattern in LATIN_SPANS:
         text = F.regexp_replace(text, pattern, " ")
@@ -158,8 +160,8 @@ def name_issues(rows: DataFrame, key: list[str], source: str, output: str, forms
     invented = low.rlike(r"\bjust\s+because\s+(?:yeah|yes|you know|whatever)\b") & F.col(o).rlike("왜냐하면|때문")
     relations = F.array_compact(F.array(F.when(lost, F.struct(F.lit("lost_beneficiary").alias("kind"), F.lit("for me").alias("what"))), F.when(invented, F.struct(F.lit("invented_cause").alias("kind"), F.lit("just because").alias("what")))))
     (issue,) = fresh(rows, "issue")
-    found = bare.select(*key, F.explode(F.concat(said("leak", leaks), said("untranslated", other), relations)).alias(issue)).select(*key, f"{issue}.kind", f"{issue}.what")
-    return lacking.union(found)
+    found = bare.select(*key, F.explode(F.concat(lacking, said("leak", leaks), said("untranslated", other), relations)).alias(issue))
+    return found.select(*key, f"{issue}.kind", f"{issue}.what")
 
 
 def rewritten_around_names(rows: DataFrame, key: list[str], text: str, forms: DataFrame, rewrite: Callable[[Column], Column], out: str = "rewritten") -> DataFrame:

@@ -93,6 +93,7 @@ def test_texts_are_neither_numbered_by_shuffle_nor_sent_along_with_mentions(spar
     found = plan(n.mentions(rows, ["i"], "t", forms(spark)))
     assert "Window" not in found and found.count("Join") == 2  # with the forms and, once a row, with its text
     assert plan(n.rewritten_around_names(rows, ["i"], "t", forms(spark), F.upper)).count("Join") == 2
+    assert plan(n.name_issues(rows, ["i"], "t", "t", forms(spark))).count("Join") == 4
 
 
 def test_names_behind_themselves_in_any_case_and_across_blanks(spark):

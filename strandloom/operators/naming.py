@@ -94,14 +94,14 @@ def mentions(rows: DataFrame, key: list[str], text: str, forms: DataFrame) -> Da
 
 
 def _chosen(found: Column) -> Column:
-    """Of an array's overlapping mentions the longest, then the first; in order of place."""
+    """Of an array's overlapping mentions the longest, then the first; in order of place. One that comes again meets itself."""
 
     def add(held: Column, m: Column) -> Column:
         meets = F.exists(held, lambda s: (s["start"] < m["end"]) & (m["start"] < s["end"]))
         return F.when(meets, held).otherwise(F.concat(held, F.array(F.struct(m["start"].alias("start"), m["end"].alias("end"), m["name"].alias("name")))))
 
     one = lambda m: F.struct((m["start"] - m["end"]).alias("shorter"), F.lower(m["name"]).alias("low"), m["start"].alias("start"), m["end"].alias("end"), m["name"].alias("name"))
-    return F.array_sort(F.aggregate(F.array_sort(F.array_distinct(F.transform(found, one))), F.array().cast(SPAN), add))
+    return F.array_sort(F.aggregate(F.array_sort(F.transform(found, one)), F.array().cast(SPAN), add))
 
 
 def chosen_spans(found: DataFrame, key: list[str]) -> DataFrame:
